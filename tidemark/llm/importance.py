@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,7 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     lists = [_TOKEN.findall(x) if x else [] for x in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     place = np.repeat(np.arange(len(texts)), sizes)
-    codes = np.fromiter((c for x in lists for c in map(_code, x)), np.uint64, int(sizes.sum()))
+    codes = np.fromiter(map(_code, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
     inside = place[:-1] == place[1:]
     two = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])[inside]
     return (

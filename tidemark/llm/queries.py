@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import (
     bpe_automaton,
+    dart_minhash,
     decontamination,
     importance,
     line_spread,
@@ -20,6 +21,7 @@ QUERIES = {
         token_counts.op3_two_tier_counts,
         sharding.op5_rendezvous_shards,
         rule_ledger.op7_rule_ledger,
+        dart_minhash.op8_dart_minhash,
         bpe_automaton.op9_bpe_automaton,
         line_spread.op10_distinct_site_spread,
     )

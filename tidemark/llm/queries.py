@@ -6,11 +6,13 @@ from tidemark.llm import (
     bpe_automaton,
     dart_minhash,
     decontamination,
+    html_tree,
     importance,
     line_spread,
     rule_ledger,
     sharding,
     token_counts,
+    tool_calls,
 )
 
 QUERIES = {
@@ -19,7 +21,9 @@ QUERIES = {
         decontamination.op1_suffix_automaton,
         importance.op2_importance_resampling,
         token_counts.op3_two_tier_counts,
+        tool_calls.op4_tool_call_linking,
         sharding.op5_rendezvous_shards,
+        html_tree.op6_tree_marginals,
         rule_ledger.op7_rule_ledger,
         dart_minhash.op8_dart_minhash,
         bpe_automaton.op9_bpe_automaton,

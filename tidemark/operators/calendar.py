@@ -26,11 +26,11 @@ def build_calendar(spark: SparkSession, first: str, last: str, holidays: Sequenc
         close = F.when(F.col("date") == F.lit(day).cast("date"), sec).otherwise(close)
     days = days.withColumns({"is_trading": (F.weekday("date") < 5) & ~holiday, "close_sec": close})
     trading = F.when(F.col("is_trading"), F.col("date"))
-    ahead = W.orderBy("date").rowsBetween(0, W.unboundedFollowing)
+    ahead = W.orderBy(F.desc("date"))  # backwards: a frame that grows, where one that shrinks would be summed up anew for each row
     return days.withColumns(
         {
-            "next_on_or_after": F.min(trading).over(ahead),
-            "next_after": F.min(trading).over(W.orderBy("date").rowsBetween(1, W.unboundedFollowing)),
+            "next_on_or_after": F.min(trading).over(ahead.rowsBetween(W.unboundedPreceding, 0)),
+            "next_after": F.min(trading).over(ahead.rowsBetween(W.unboundedPreceding, -1)),
             "prev": F.max(trading).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, -1)),
         }
     )

@@ -89,5 +89,7 @@ def shown(df: DataFrame, places: int = 6) -> DataFrame:
             c = F.round(c, places) + F.lit(0.0)
         elif isinstance(f.dataType, (T.ShortType, T.ByteType, T.IntegerType)):
             c = c.cast("long")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = F.round(c.cast("double"), places) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(*out)

@@ -84,11 +84,11 @@ bars AS (
 
 def long_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily close from orders, over years: for regressions that need history."""
-    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close"), F.count("*").alias("volume"))
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / F.lit(97.0)).alias("close"), F.count("*").alias("volume"))
 
 
 LONG_BARS_SQL = """
-long_bars AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close, count(*) AS volume FROM orders GROUP BY 1)"""
+long_bars AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / CAST(97.0 AS DOUBLE) AS close, count(*) AS volume FROM orders GROUP BY 1)"""
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:

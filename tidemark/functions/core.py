@@ -147,3 +147,13 @@ def sorted_list(values: Column, by: str = ",") -> Column:
 
 def listed(text: Column, by: str = ",") -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), by), lambda x: x != "")
+
+
+def safe_corr(a, b, over=None) -> Column:
+    """Pearson's r over rows where both are known; NULL, not an error, where one of them is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = [p.over(over) for p in parts] if over is not None else parts
+    return cov / F.nullif(sx * sy, F.lit(0.0))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,6 @@ def fold(x: Column, collapse: bool = True) -> Column:
 
 def fold_marks(x: Column) -> Column:
     """Folds all combining marks too, through full Unicode decomposition, for letters beyond FOLD_FROM."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(values: pd.Series) -> pd.Series:
         plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s.casefold().replace("ı", "i")) if not unicodedata.combining(c))

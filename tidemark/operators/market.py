@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import percent_return
+from tidemark.functions.core import percent_return, safe_corr
 
 SETTLED = ("complete", "corrected")
 #: Fixed value: minutes after the close until a bar counts as settled.
@@ -71,7 +71,7 @@ def rolling_mean(series: DataFrame, value: str, n: int = 5, least: int = 3, keys
 def rolling_corr(a: str, b: str, n: int = 30, least: int = 10, keys: Sequence[str] = ()) -> Column:
     w = W.partitionBy(*keys).orderBy("date").rowsBetween(1 - n, 0)
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return F.when(F.count(F.when(both, 1)).over(w) >= least, F.corr(a, b).over(w))
+    return F.when(F.count(F.when(both, 1)).over(w) >= least, safe_corr(a, b, w))
 
 
 def neighbours(days: DataFrame, bars: DataFrame, day: str = "date") -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.core import safe_corr
+
 
 @dataclass(frozen=True)
 class Geometry:
@@ -124,7 +126,7 @@ def walk_forward(units: DataFrame, folds: DataFrame, session: str, target: str,
     rows = rows.withColumn("spec", F.explode(F.array(*[F.lit(n) for n in by_name])))
     kind = units.schema[session].dataType.simpleString()
 
-    def one(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         features, model = by_name[key[0]]
         batch = batch.dropna(subset=["_y", *features]).sort_values(session)
         train, test = batch[batch["role"] == "train"], batch[batch["role"] == "test"]
@@ -139,7 +141,7 @@ def walk_forward(units: DataFrame, folds: DataFrame, session: str, target: str,
 def regression_metrics(p: DataFrame, *by: str) -> DataFrame:
     """MAE, RMSE, correlation and R2 against the mean of the actual values."""
     e = F.col("actual") - F.col("predicted")
-    out = p.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.corr("actual", "predicted").alias("r"), F.var_pop("actual").alias("_v"), F.avg(e * e).alias("_m"))
+    out = p.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), safe_corr("actual", "predicted").alias("r"), F.var_pop("actual").alias("_v"), F.avg(e * e).alias("_m"))
     return out.withColumn("r2", F.when(F.col("_v") > 0, 1 - F.col("_m") / F.col("_v"))).drop("_v", "_m")
 
 
@@ -168,7 +170,7 @@ def cluster_bootstrap(p: DataFrame, cluster: str, value: str, by: Sequence[str]
     """
     sums = p.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
 
-    def one(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(cluster)
         s, n = batch["_s"].to_numpy(float), batch["_n"].to_numpy(float)
         row = {**dict(zip(by, key)), "estimate": s.sum() / n.sum() if n.sum() else None, "low": None, "high": None, "clusters": len(s)}

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.core import safe_corr
+
 
 def beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -59,7 +61,7 @@ def correlation(rows: DataFrame, a: str, b: str, spearman: bool = False) -> Data
             counts = t.groupBy(c).agg(F.count("*").alias("_n"))
             upto = F.sum("_n").over(W.orderBy(c)) - (F.col("_n") - 1) / 2
             t = t.join(counts.withColumn("_rank", upto).select(c, "_rank"), c).drop(c).withColumnRenamed("_rank", c)
-    out = t.agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
+    out = t.agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
 
     @F.pandas_udf("double")
     def p(n: pd.Series, r: pd.Series) -> pd.Series:
@@ -101,7 +103,7 @@ def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, n, r of all pairs of columns in one pass; each pair over the rows where both are known."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    wide = rows.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("r")).alias(f"{a}_{b}") for a, b in pairs])
+    wide = rows.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both(a, b)).alias("n"), safe_corr(a, b).alias("r")).alias(f"{a}_{b}") for a, b in pairs])
     return wide.select(F.explode(F.array(*wide.columns)).alias("x")).select("x.*")
 
 
@@ -121,7 +123,7 @@ def predictive(rows: DataFrame, signal: str, target: str) -> DataFrame:
     s, t = F.when(known, F.col(signal)), F.when(known, F.col(target))
     signed = known & (s != 0) & (t != 0)
     hit = F.count_if(signed & (F.signum(s) == F.signum(t)))
-    return rows.agg(F.count_if(known).alias("n"), F.corr(s, t).alias("r"), F.count_if(signed).alias("n_signed"), hit.alias("hits"), F.try_divide(hit, F.nullif(F.count_if(signed), F.lit(0))).alias("hit_rate"), F.count_if(s == 0).alias("zero_signals"), F.count_if(t == 0).alias("zero_targets"))
+    return rows.agg(F.count_if(known).alias("n"), safe_corr(s, t).alias("r"), F.count_if(signed).alias("n_signed"), hit.alias("hits"), F.try_divide(hit, F.nullif(F.count_if(signed), F.lit(0))).alias("hit_rate"), F.count_if(s == 0).alias("zero_signals"), F.count_if(t == 0).alias("zero_targets"))
 
 
 def beta_adjusted(rows: DataFrame, y: str, x: str, least: int = 10) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _schema(ddl: str) -> dict[str, str]:
+    return dict(f.split(" ", 1) for f in ddl.split(", "))
 
 
-SCHEMAS: dict[str, T.StructType] = {
+#: Column types by table and name.
+SCHEMAS: dict[str, dict[str, str]] = {
     "headlines": _schema(
         "id long, source string, title string, url string, published_date date, published_ts timestamp_ntz, category string, "
         "sentiment_score double, sentiment_label string, relevance double, model_name string, experiment_id string, processing_status string, "
@@ -34,7 +34,7 @@ SCHEMAS: dict[str, T.StructType] = {
 def conform(df: DataFrame, table: str) -> DataFrame:
     """``df`` with exactly the table's columns: missing ones null, others dropped, all cast."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
+    return df.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in SCHEMAS[table].items()])
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

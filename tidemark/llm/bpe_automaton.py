@@ -5,6 +5,7 @@ arc (state, token) exists when the two may stand side by side in a BPE encoding.
 It starts with the base symbols, each free to follow each, and every merge
 (a, b) -> c adds, in rank order, one gadget:
 
+* nothing, where a has no arc to b just then: c can never come about;
 * a new state c, whose outgoing arcs are those that state b has just then;
 * an arc to c for every state that has an arc to a just then (but not from a
   itself when a = b, since merging runs from the left);
@@ -59,12 +60,16 @@ class MergeAutomaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.removed: dict[tuple[int, int], int] = {}
+        self.never: set[int] = set()
+        self.gadgets = len(merges)
         for k, pair in enumerate(merges):
             self._add_gadget(k, *pair if not isinstance(pair, str) else pair.split(" "), vocabulary)
         self.raw = {symbol: chr(b) for b, symbol in enumerate(byte_symbols())}
         # the trie of labels: by a character to the next node, under "" the token that ends here
         self.trie: dict = {}
         for text, i in vocabulary.items():
+            if i in self.never:
+                continue
             node = self.trie
             for ch in self._spelled(text):
                 node = node.setdefault(ch, {})
@@ -79,6 +84,9 @@ class MergeAutomaton:
 
     def _add_gadget(self, k: int, a: str, b: str, vocabulary: dict[str, int]) -> None:
         left, right, new = vocabulary[a], vocabulary[b], vocabulary[a + b]
+        if left in self.never or right in self.never or not self._arc(left, right, k):
+            self.never.add(new)
+            return
         self.removed[left, right] = k
         self.rank[new], self.left[new], self.right[new] = k, left, right
 
@@ -94,7 +102,7 @@ class MergeAutomaton:
         if (known := self.arcs.get(key)) is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            self.arcs[key] = known = self._arc(state, token, len(self.removed))
+            self.arcs[key] = known = self._arc(state, token, self.gadgets)
         return known
 
     def _arc(self, state: int, token: int, before: int) -> bool:

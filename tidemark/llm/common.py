@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: dict[str, str] = {}
@@ -50,13 +50,26 @@ def durable(df: DataFrame) -> DataFrame:
 
 def _remove_written(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
-    if jvm is None:  # the session ended first
+    if jvm is None or spark.sparkContext._jsc is None:  # the session ended first
         return
     for key, path in _WRITTEN.items():
         hadoop_path = jvm.org.apache.hadoop.fs.Path("file://" + path if key == "local" else path)
         hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def durable_with(df: DataFrame, files: int | None = None, **measures: Column) -> tuple[DataFrame, dict]:
+    """``durable``, and aggregates of the rows that come with the write, without another job.
+
+    ``files`` merges the tasks of a narrow result into so many at most.
+    """
+    df = df.coalesce(files) if files else df
+    if not measures:
+        return durable(df), {}
+    seen = Observation()
+    out = durable(df.observe(seen, *[c.alias(k) for k, c in measures.items()]))
+    return out, seen.get
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores put before it until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

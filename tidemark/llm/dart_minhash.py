@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import durable, durable_with, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
@@ -173,9 +174,9 @@ def sign(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = R
     return rows_in.mapInPandas(run, rows_in.drop("text").withColumn("bands", F.array(F.lit(0).cast("long"))).schema)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table with a broadcast hint, if it has no more than BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def files_for(df: DataFrame) -> int:
+    """Files of tables of links, which are narrow and few beside the documents."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
@@ -184,11 +185,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float,
     Texts are taken once for each node that is in a pair; a hub's many pairs may
     be split over tasks, each of which reads the hub's text again.
     """
-    pairs = durable(pairs)
+    files = files_for(pairs)
+    pairs, seen = durable_with(pairs, files, n=F.count("*"))
+    few = F.broadcast if 2 * seen["n"] <= BROADCAST_ROWS else lambda df: df
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = durable(wanted.join(nodes.select("node", "id", "digest"), "node"))
+    wanted = durable_with(nodes.join(few(wanted), "node").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest")), files)[0]
     # one row for each node: rows that repeat id and text hold the same text
-    found = texts.join(small(wanted.select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest"))), F.expr("id <=> _id AND digest = _digest"))
+    found = texts.join(few(wanted), F.expr("id <=> _id AND digest = _digest"))
     found = durable(found.dropDuplicates(["node"]).select("node", "text"))
     left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -207,7 +210,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float,
             ok = [similarity(strips(a, x), strips(b, y)) >= least for a, x, b, y in zip(batch["a"], batch["text_a"], batch["b"], batch["text_b"])]
             yield batch.loc[ok, ["a", "b"]]
 
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,18 +220,18 @@ def components(edges: DataFrame) -> DataFrame:
     and joins a node's edges to its least neighbour, so stars with many leaves
     are split like any skewed join.
     """
-    now, before = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
+    files = files_for(edges)
+    measures = {"n": F.count("*"), "mix": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, state = durable_with(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files, **measures)
+    before = None
+    while state != before:
         before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = durable(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = durable_with(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), files)[0]
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        now = durable(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now, state = durable_with(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), files, **measures)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
 
 
@@ -237,40 +240,45 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: i
 
     Candidates are nodes that share a bucket.  A round compares each node of a
     bucket with its hub, the node that shares most with others; the hub then
-    leaves the bucket, and buckets whose nodes are all in one component are done.
-    When few pairs are left, all of them are compared; so no candidate pair that
-    could join two components goes without a comparison, and a group of copies
-    of a text costs a star, not all its pairs.
+    leaves the bucket, and buckets whose nodes are all known to be connected are
+    done.  When few pairs are left, all of them are compared; so no candidate
+    pair that could join two components goes without a comparison, and a group of
+    copies of a text costs a star, not all its pairs.
     """
+    files = files_for(nodes)
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = durable(entries.join(sizes, "bucket"))
+    open_, seen = durable_with(entries.join(sizes, "bucket"), files, n=F.count("*"))
+    total = seen["n"]
     reach = open_.groupBy("node").agg(F.sum("n").alias("reach"))
-    open_ = durable(open_.join(reach, "node").select("bucket", "node", "reach", F.col("node").alias("label")))
-    entries_n = open_.count()
-    found = nodes.sparkSession.createDataFrame([], "a long, b long")
+    open_ = open_.join(reach, "node").select("bucket", "node", "reach", F.col("node").alias("label"))
+    rest = F.col("label") != F.col("hub.label")
+    found: list[DataFrame] = []
     for step in range(STAR_ROUNDS + 1):
-        per_label = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        per_bucket = per_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        mixed = durable(per_bucket.where("n * n > same"))
-        pairs_n = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if not pairs_n:
+        hub = F.max(F.struct("reach", "node", "label")).alias("hub")
+        hubs = open_.groupBy("bucket").agg(hub, F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        met, seen = durable_with(open_.join(hubs, "bucket"), files, pairs=F.sum(F.when(rest, F.col("n"))))
+        if not seen["pairs"]:
             break
-        open_ = durable(open_.join(mixed.select("bucket"), "bucket"))
-        last = pairs_n <= OPEN_PAIRS * entries_n and step > 0 or step == STAR_ROUNDS
+        last = step == STAR_ROUNDS or step > 0 and seen["pairs"] <= OPEN_PAIRS * total
         if last:
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.node < y.node AND x.label <> y.label")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            # nodes with the hub's label are connected; each other node meets all of its bucket
+            y = met.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = met.where(rest).join(y, "bucket").where("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         else:
-            hubs = durable(open_.groupBy("bucket").agg(F.max(F.struct("reach", "node", "label")).alias("hub")))
-            met = open_.join(hubs, "bucket").where("node <> hub.node")
-            pairs = met.where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        found = durable(found.union(verified(pairs.distinct(), nodes, texts, least, size)))
+            pairs = met.where(rest).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        found.append(durable_with(verified(pairs.distinct(), nodes, texts, least, size), files)[0])
         if last:
             break
-        labels = components(found).withColumnRenamed("label", "new")
-        open_ = durable(met.select("bucket", "node", "reach").join(labels, "node", "left").select("bucket", "node", "reach", F.coalesce("new", "node").alias("label")))
-    return found
+        # a node goes by the label of the hub that reaches most, and that hub by its own hub's
+        to_hub = found[-1].join(met.select(F.col("hub.node").alias("b"), F.col("hub.reach").alias("r")).distinct(), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("r", "b")).alias("h")).select("node", F.col("h.b").alias("up"))
+        to_hub = durable_with(to_hub, files)[0]
+        over = to_hub.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        up = to_hub.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        open_ = met.where("node <> hub.node").select("bucket", "node", "reach", "label").join(up, "node", "left").select("bucket", "node", "reach", F.coalesce("up", "label").alias("label"))
+    if not found:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicate_classes(
@@ -305,9 +313,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows that repeat key and text are one document and stay or go together.
     """
     found = near_duplicate_classes(docs, key, text, **options)
-    gone = durable(found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_id"), F.col("digest").alias("_digest")).distinct())
+    gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_id"), F.col("digest").alias("_digest")).distinct()
+    gone, seen = durable_with(gone, files_for(docs), n=F.count("*"))
     same = docs[key].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("_digest"))
-    return docs.join(small(gone), same, "left_anti")
+    return docs.join(F.broadcast(gone) if seen["n"] <= BROADCAST_ROWS else gone, same, "left_anti")
 
 
 def op8_dart_minhash(spark, sf_dir):

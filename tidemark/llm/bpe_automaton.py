@@ -31,10 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, worker_table
 
 #: Entries of the word table and the arc table of a worker before they are emptied.
-WORDS, ARCS = 250_000, 500_000
+WORDS, ARCS = 150_000, 250_000
 #: Stands for the tokenizer's end-of-word suffix inside a spelled word, whose other characters stand for single bytes.
 _END = "\u0100"
 
@@ -204,16 +204,14 @@ class Encoder(dict):
         return out
 
 
-_WORKER: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = Encoder(path)
+    def make() -> Encoder:
+        built = Encoder(path)
         gc.collect()
-        gc.freeze()  # the automaton stays for good; the collector need not walk it again and again
-    return _WORKER[path]
+        gc.freeze()  # the automaton stays; the collector need not walk it again and again
+        return built
+
+    return worker_table(f"encoder {path}", make)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -78,5 +79,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+_TABLES: dict[str, object] = {}
+
+
+def worker_table(key: str, make: Callable[[], object]):
+    """A Python worker's table for the operator at work.
+
+    Workers live on from stage to stage, so the tables of the operator before are
+    let go when another begins; a worker never holds those of two.
+    """
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 def utf8_length(column: str):
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

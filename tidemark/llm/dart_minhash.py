@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, durable_with, table
+from tidemark.llm.common import durable, durable_with, table, worker_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
@@ -31,7 +31,7 @@ BANDS, ROWS = 30, 6
 OPEN_PAIRS, STAR_ROUNDS = 10, 6
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 200_000
-TOKENS = 300_000
+TOKENS = 150_000
 
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -49,9 +49,6 @@ class _Codes(dict):
         return code
 
 
-_code = _Codes().__getitem__
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -68,7 +65,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     lists = [x if not x or len(x) >= size else x + [""] * (size - len(x)) for x in lists]
     sizes = np.array([len(x) for x in lists], np.int64)
     place = np.repeat(np.arange(len(texts)), sizes)
-    codes = np.fromiter(map(_code, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    codes = np.fromiter(map(worker_table("codes of words", _Codes).__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
     n = max(0, len(codes) - size + 1)
     whole = place[:n] == place[size - 1 :] if n else np.empty(0, bool)
     out = np.zeros(n, np.uint64)

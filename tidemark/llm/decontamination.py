@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, worker_table
 
 WINDOW = 10
 #: Most UTF-8 bytes of test items in one automaton; more items go to more automata, one after another.
@@ -175,17 +175,6 @@ def find_all(automaton: SuffixAutomaton, texts: list[str | None]) -> list[tuple[
     return [(n, joined(spans), items, longest) for n, spans, items, longest in out]
 
 
-_BUILT: dict[tuple, SuffixAutomaton] = {}
-
-
-def _automaton(key: str, items: list[tuple[str, str | None]], window: int) -> SuffixAutomaton:
-    """One automaton is kept in a worker at a time."""
-    if (key, window) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key, window] = SuffixAutomaton.of(items, window)
-    return _BUILT[key, window]
-
-
 def item_blocks(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
     """The test items, in blocks of about ``max_bytes``, so that no broadcast or automaton outgrows a worker."""
     total = benchmark.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -232,7 +221,7 @@ def match_benchmark(
         sent = sc.broadcast(block)
 
         def read(batches, sent=sent, key=key):
-            automaton = _automaton(key, sent.value, window)
+            automaton = worker_table(f"suffix automaton {key} {window}", lambda: SuffixAutomaton.of(sent.value, window))
             for batch in batches:
                 found = []
                 for (n, spans, items, longest), before in zip(find_all(automaton, batch[text].tolist()), batch["_match"]):

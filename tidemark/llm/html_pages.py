@@ -56,6 +56,8 @@ class _Page:
         """A block of article text."""
         r = self.r
         text = _sentences(r, r.choice([1, 1, 2, 3, 5, 9, 20]))
+        if self.chance(0.6 if kind[0] == "h" else 0.12):
+            text = _words(r, r.randint(1, 9)).capitalize()
         if self.chance(0.1):
             text = " ".join(w + r.choice(["", "&", " #", "%", "$", "***"]) for w in text.split())
         if self.chance(0.08):
@@ -65,6 +67,8 @@ class _Page:
         if self.chance(0.06):
             times = r.choice([1, 12, 20])
             text = " ".join(w for w in _words(r, r.randint(2, 20)).split() for _ in range(times)) + r.choice(["", "."])
+        if self.chance(0.05):
+            text = f"{r.choice(['©', '|', 'Copyright ©'])} {text}"
         self.content.add(" ".join(text.split()))
         text = html.escape(text, quote=self.chance(0.5))
         if self.chance(0.15):
@@ -83,7 +87,7 @@ class _Page:
     def article(self) -> str:
         r = self.r
         parts = [self.prose(r.choice(["h1", "h1", "h2"]))] if self.chance(0.85) else []
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15])):
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 15, 25])):
             x = r.random()
             if x < 0.82:
                 parts.append(self.prose())
@@ -99,6 +103,12 @@ class _Page:
                 parts.append(self.prose("pre"))
             if self.chance(0.05):
                 parts.append(self.noise())
+        if self.chance(0.1):  # verse, or a line again and again
+            lines = [_words(r, r.randint(1, 4)).capitalize() + r.choice(["", "", "."]) for _ in range(r.choice([1, 2, 12]))]
+            for _ in range(r.choice([3, 10, 30])):
+                line = r.choice(lines)
+                self.content.add(line)
+                parts.append(f"<p>{line}</p>")
         inner = "".join(parts)
         if self.chance(0.4):
             inner = f'<div class="{r.choice(["content", "entry-content", "post-body", "article-text", "story", "c1"])}">{inner}</div>'
@@ -139,6 +149,8 @@ class _Page:
         r = self.r
         parts = [f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{_words(r, 4)}</title><style>p{{margin:0}}</style>']
         parts.append(f'<script>var t="</p>";track({r.randint(0, 9)});</script></head><body>')
+        if self.chance(0.08):  # nothing but the article
+            return "".join([*parts, self.article(), "</body></html>"]), self.content
         if self.chance(0.15):
             parts.append(f'<a class="skip" href="#main">{_words(r, 3)}</a>')
         if self.chance(0.5):

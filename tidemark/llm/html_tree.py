@@ -1,6 +1,7 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
-Each block element and each run of text is a node that is content or not.
+Each run of text is a node that is content or not, each block element one that
+holds content or not.
 Node potentials come from tags, class words and text shape; parent-child
 potentials connect the nodes.  Sum-product messages, up the tree and down again,
 give exact content marginals; runs that are more likely content than not are the
@@ -111,9 +112,16 @@ def parse(page: str | None) -> Tree:
         if run:
             text = " ".join(html.unescape("".join(t for t, _ in run)).split())
             if text:
+                body()
                 tree.add("#text", stack[-1], [], text, sum(len(t) for t, a in run if a))
             run.clear()
 
+    def body():
+        """What is in no body yet opens one, as in browsers."""
+        if tree.tag[stack[-1]] in ("html", "head"):
+            del stack[1:]
+            stack.append(tree.add("body", stack[0], []))
+
     def close(down: int):
         nonlocal links
         flush()
@@ -135,7 +143,7 @@ def parse(page: str | None) -> Tree:
                 links += name == "a" and links == 0
             elif name in VOID:
                 flush()
-            elif name in ("html", "frameset"):
+            elif name in ("html", "frameset") or name == "body" and "body" in tree.tag:
                 continue
             else:
                 inner, outer = ENDS.get(name, ((), ()))
@@ -148,6 +156,8 @@ def parse(page: str | None) -> Tree:
                     elif not inner:
                         break
                 flush()
+                if name not in ("head", "body"):
+                    body()
                 stack.append(tree.add(name, stack[-1], attribute_words(m["attrs"] or "")))
         elif name := m["end"]:
             name = name.lower()
@@ -246,10 +256,10 @@ def sum_product(forest: Forest, w: Weights) -> tuple[np.ndarray, np.ndarray, flo
     return np.exp(total - z[:, None]), np.exp(joint - z[:, None, None]) * (forest.parent >= 0)[:, None, None], log_z
 
 
-def train(pages: list[tuple[str, set[str]]], steps: int = 200, rate: float = 0.2, decay: float = 0.0005) -> Weights:
+def train(pages: list[tuple[str, set[str]]], steps: int = 250, rate: float = 0.2, decay: float = 0.0002) -> Weights:
     """Maximum likelihood over labelled pages: (html, the texts of its content runs).
 
-    A run is content if its text is listed; an element is, if most characters below it are.
+    A run is content if its text is listed, an element if some run below it is.
     """
     trees = [parse(p) for p, _ in pages]
     label = np.concatenate([labels_of(t, content) for t, (_, content) in zip(trees, pages)])
@@ -273,15 +283,10 @@ def train(pages: list[tuple[str, set[str]]], steps: int = 200, rate: float = 0.2
 
 
 def labels_of(tree: Tree, content: set[str]) -> np.ndarray:
-    n = len(tree.tag)
-    inside, size = [0] * n, [0] * n
-    for i in range(n - 1, -1, -1):
-        if (x := tree.text[i]) is not None:
-            inside[i], size[i] = len(x) * (x in content), len(x)
-        if i:
-            inside[tree.parent[i]] += inside[i]
-            size[tree.parent[i]] += size[i]
-    return np.array([2 * a > b for a, b in zip(inside, size)], np.int64)
+    label = np.array([x is not None and x in content for x in tree.text], np.int64)
+    for i in range(len(label) - 1, 0, -1):
+        label[tree.parent[i]] |= label[i]
+    return label
 
 
 def extract(pages: list[str | None], w: Weights) -> list[list[str]]:
@@ -319,7 +324,7 @@ def extract_main_text(pages: DataFrame, weights: Weights, html_column: str = "ht
     return pages.mapInPandas(run, pages.withColumn(name, F.lit("")).schema)
 
 
-def op6_tree_marginals(spark, sf_dir, training_pages=400):
+def op6_tree_marginals(spark, sf_dir, training_pages=600):
     from tidemark.llm.html_pages import labelled_pages
 
     weights = train(labelled_pages(training_pages))

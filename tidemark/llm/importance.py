@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import durable, table, worker_table
 
 #: Hash buckets of the n-gram models: a broadcast of three arrays of 0.5 MB at any corpus size.
 BUCKETS = 1 << 16
@@ -31,7 +31,7 @@ LOSS = 0.002
 #: Bits of a key that one pass of the search for the k-th key counts by.
 RADIX_BITS = 16
 #: Tokens whose codes a worker keeps.
-CODES = 300_000
+CODES = 150_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -49,9 +49,6 @@ class _Codes(dict):
         return code
 
 
-_code = _Codes().__getitem__
-
-
 def _mixed(x: np.ndarray, buckets: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
@@ -62,7 +59,7 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     lists = [_TOKEN.findall(x) if x else [] for x in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     place = np.repeat(np.arange(len(texts)), sizes)
-    codes = np.fromiter(map(_code, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
+    codes = np.fromiter(map(worker_table("codes of tokens", _Codes).__getitem__, chain.from_iterable(lists)), np.uint64, int(sizes.sum()))
     inside = place[:-1] == place[1:]
     two = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])[inside]
     return (

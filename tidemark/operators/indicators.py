@@ -66,7 +66,7 @@ def volume_counts(rows: DataFrame) -> DataFrame:
 def volume_shock(counts: DataFrame, value: str = "headline_count", lags: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     w = W.partitionBy("family").orderBy("signal_date")
     out = prior_window(counts.withColumn("_v", F.col(value).cast("double")), ["family"], "signal_date", "_v").drop("_v")
-    return out.withColumns({f"change_{n}": F.col(value) - F.lag(value, n).over(w) for n in lags if n <= SESSIONS})
+    return out.withColumns({f"change_{n}": (F.col(value) - F.lag(value, n).over(w)).cast("double") for n in lags if n <= SESSIONS})
 
 
 def entropy3(*shares: Column) -> Column:
@@ -107,7 +107,7 @@ def disagreement(rows: DataFrame, pro: list[str], opposition: list[str], officia
         F.when(n > 1, F.sqrt(var)).alias("within_day_std"), F.when(wide, F.col("om")).alias("cross_outlet_std"), F.when(wide, F.col("rng")).alias("max_minus_min"),
         (F.col("sp") / n).alias("strong_positive_share"), (F.col("sn") / n).alias("strong_negative_share"),
         F.when(labelled > 0, entropy3(F.col("pos") / labelled, F.col("neu") / labelled, F.col("neg") / labelled)).alias("sentiment_entropy"),
-        gap.alias("camp_gap"), F.when(gap.isNotNull(), F.col("camps")).alias("camp_gap_sources"),
+        gap.alias("camp_gap"), F.when(gap.isNotNull(), F.col("camps")).cast("double").alias("camp_gap_sources"),
         (F.col("t_f") / F.col("n_f") - F.col("t_g") / F.col("n_g")).alias("official_vs_media_gap"), wide.cast("int").alias("min_sources_met"),
     )
 

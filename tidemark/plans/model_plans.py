@@ -139,7 +139,7 @@ def canonical_insert_dedupe(spark, sf_dir):
 
 @query(sql("headlines", f"""WITH {CANON}, k AS (SELECT * FROM c WHERE id % 2 = 0), o AS (SELECT id + 1000000 AS obs, source, title, CASE WHEN id % 3 = 0 THEN url END AS url, published_date FROM c WHERE id % 5 = 0),
 u AS (SELECT url, min(id) AS u FROM k WHERE url IS NOT NULL GROUP BY 1), t AS (SELECT source, lower(title) AS title, published_date, min(id) AS t FROM k GROUP BY 1, 2, 3)
-SELECT obs, coalesce(u, t) AS headline_id, CASE WHEN u IS NOT NULL THEN 'url' WHEN t IS NOT NULL THEN 'title' END AS link FROM o LEFT JOIN u ON u.url = o.url LEFT JOIN t ON t.source = o.source AND t.title = lower(o.title) AND t.published_date = o.published_date"""))
+SELECT obs, CAST(coalesce(u, t) AS DOUBLE) AS headline_id, CASE WHEN u IS NOT NULL THEN 'url' WHEN t IS NOT NULL THEN 'title' END AS link FROM o LEFT JOIN u ON u.url = o.url LEFT JOIN t ON t.source = o.source AND t.title = lower(o.title) AND t.published_date = o.published_date"""))
 def observation_links(spark, sf_dir):
     c = _canonical(spark, sf_dir)
     o = c.where("id % 5 = 0").select((F.col("id") + 1000000).alias("obs"), "source", "title", F.when(F.col("id") % 3 == 0, F.col("url")).alias("url"), "published_date")

@@ -171,7 +171,7 @@ def label_confusion_matrix(spark, sf_dir):
 
 @query(sql("headlines", """WITH t AS (SELECT relevance, score > 0 AS truth FROM headlines WHERE relevance IS NOT NULL AND score IS NOT NULL), g AS (SELECT unnest(range(0, 51)) AS i),
 a AS (SELECT i, avg(CASE WHEN (floor(relevance / 0.01 + 1e-9) >= i) = truth THEN 1.0 ELSE 0.0 END) AS acc FROM t, g GROUP BY 1)
-SELECT round(i * 0.01, 6) AS threshold, round(acc, 6) AS accuracy, i = (SELECT i FROM a ORDER BY acc DESC, i LIMIT 1) AS is_best FROM a"""))
+SELECT round(CAST(i * 0.01 AS DOUBLE), 6) AS threshold, round(acc, 6) AS accuracy, i = (SELECT i FROM a ORDER BY acc DESC, i LIMIT 1) AS is_best FROM a"""))
 def threshold_sweep(spark, sf_dir):
     return shown(reports.threshold_sweep(d.headlines(spark, sf_dir), "relevance", F.col("score") > 0))
 

@@ -109,7 +109,7 @@ g AS (
 SELECT CAST(g.signal_date AS VARCHAR) AS signal_date, g.family, headline_count, source_count, CASE WHEN headline_count > 1 THEN round(sd, 6) END AS within_day_std,
        CASE WHEN source_count >= 3 THEN round(om, 6) END AS cross_outlet_std, CASE WHEN source_count >= 3 THEN round(rng, 6) END AS max_minus_min, round(sp, 6) AS strong_positive_share, round(sn, 6) AS strong_negative_share,
        round((CASE WHEN p > 0 THEN -p * ln(p) / ln(3) ELSE 0 END) + (CASE WHEN u > 0 THEN -u * ln(u) / ln(3) ELSE 0 END) + (CASE WHEN n > 0 THEN -n * ln(n) / ln(3) ELSE 0 END), 6) AS sentiment_entropy,
-       round(camp_gap, 6) AS camp_gap, CASE WHEN camp_gap IS NOT NULL THEN camps END AS camp_gap_sources, round(official, 6) AS official_vs_media_gap, CAST(CASE WHEN source_count >= 3 THEN 1 ELSE 0 END AS BIGINT) AS min_sources_met
+       round(camp_gap, 6) AS camp_gap, CAST(CASE WHEN camp_gap IS NOT NULL THEN camps END AS DOUBLE) AS camp_gap_sources, round(official, 6) AS official_vs_media_gap, CAST(CASE WHEN source_count >= 3 THEN 1 ELSE 0 END AS BIGINT) AS min_sources_met
 FROM g JOIN o ON g.signal_date = o.signal_date AND g.family = o.family"""
 
 
@@ -166,13 +166,13 @@ WITH c AS (
 
 @query(sql("eligible", VOLUME + """
 SELECT CAST(signal_date AS VARCHAR) AS signal_date, family, headline_count, observation_count, source_count, prior_n, CASE WHEN prior_n >= 5 THEN round(pm, 6) END AS prior_mean, CASE WHEN prior_n >= 5 THEN round(ps, 6) END AS prior_std,
-       CASE WHEN prior_n >= 5 AND ps > 1e-9 THEN round((headline_count - pm) / ps, 6) END AS z_score, CASE WHEN prior_n >= 5 THEN round(len(list_filter(h, lambda a: a <= headline_count)) / prior_n, 6) END AS percentile, change_1, change_5, change_20
+       CASE WHEN prior_n >= 5 AND ps > 1e-9 THEN round((headline_count - pm) / ps, 6) END AS z_score, CASE WHEN prior_n >= 5 THEN round(len(list_filter(h, lambda a: a <= headline_count)) / prior_n, 6) END AS percentile, CAST(change_1 AS DOUBLE) AS change_1, CAST(change_5 AS DOUBLE) AS change_5, CAST(change_20 AS DOUBLE) AS change_20
 FROM w"""))
 def volume_shock(spark, sf_dir):
     return shown(indicators.volume_shock(indicators.volume_counts(eligible(spark, sf_dir))))
 
 
-@query(sql("eligible", VOLUME + " SELECT CAST(signal_date AS VARCHAR) AS signal_date, family, change_1, change_5, change_20 FROM w"))
+@query(sql("eligible", VOLUME + " SELECT CAST(signal_date AS VARCHAR) AS signal_date, family, CAST(change_1 AS DOUBLE) AS change_1, CAST(change_5 AS DOUBLE) AS change_5, CAST(change_20 AS DOUBLE) AS change_20 FROM w"))
 def volume_changes(spark, sf_dir):
     return shown(indicators.volume_shock(indicators.volume_counts(eligible(spark, sf_dir))).select("signal_date", "family", "change_1", "change_5", "change_20"))
 

@@ -88,7 +88,7 @@ def family_assignment(spark, sf_dir):
 
 
 @query(f"""WITH {TITLES}, r AS (SELECT id, contains(f, 'lic') AS ex, contains(f, 'thin') AS term, regexp_matches(f, '^(in|on|at) ') AS frame FROM folded)
-SELECT CASE WHEN ex THEN 'exempt' WHEN term THEN 'term:thin' WHEN frame THEN 'frame' ELSE 'none' END AS rule, CASE WHEN ex THEN 0.0 WHEN term THEN 0.9 WHEN frame THEN 0.7 ELSE 0.0 END AS confidence, count(*) AS n FROM r GROUP BY 1, 2""")
+SELECT CASE WHEN ex THEN 'exempt' WHEN term THEN 'term:thin' WHEN frame THEN 'frame' ELSE 'none' END AS rule, CAST(CASE WHEN ex THEN 0.0 WHEN term THEN 0.9 WHEN frame THEN 0.7 ELSE 0.0 END AS DOUBLE) AS confidence, count(*) AS n FROM r GROUP BY 1, 2""")
 def market_recap_rules(spark, sf_dir):
     x = text.market_recap(F.col("f"), ["thin"], ["^(in|on|at) "], ["lic"])
     return shown(_folded(spark, sf_dir).withColumn("x", x).groupBy("x.rule", "x.confidence").agg(F.count("*").alias("n")))

@@ -28,10 +28,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
 BANDS, ROWS = 30, 6
 #: Candidate pairs a bucket entry, up to which the pairs that stars leave open are listed; beyond, another round of stars comes first.
-OPEN_PAIRS, STAR_ROUNDS = 10, 6
+OPEN_PAIRS, STAR_ROUNDS = 10, 2
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 200_000
 TOKENS = 150_000
+#: Strips of documents (8 bytes each) that a task of comparisons keeps.
+HELD_STRIPS = 4_000_000
 
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -195,12 +197,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float,
 
     def run(batches: Iterable[pd.DataFrame]):
         known: dict[int, np.ndarray] = {}
+        held = 0
 
         def strips(node, text):
+            nonlocal held
             if node not in known:
-                if len(known) > 50:
+                if held > HELD_STRIPS:
                     known.clear()
+                    held = 0
                 known[node] = strips_of(text, size)
+                held += len(known[node])
             return known[node]
 
         for batch in batches:

@@ -86,9 +86,10 @@ def test_repeated_rows_and_empty_table(spark):
     assert dart_minhash.near_duplicate_classes(df.limit(0)).count() == 0
 
 
-def test_star_rounds_lose_no_link(spark, monkeypatch):
-    """With no pair listed until the last round, classes are the same."""
-    monkeypatch.setattr(dart_minhash, "OPEN_PAIRS", 0)
+@pytest.mark.parametrize("rounds, block", [(0, 2048), (0, 4), (3, 4)])
+def test_rounds_and_blocks_lose_no_link(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(dart_minhash, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(dart_minhash, "BLOCK_NODES", block)
     r = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     rows = []

@@ -27,8 +27,8 @@ from tidemark.llm.common import durable, durable_with, table, worker_table
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
 BANDS, ROWS = 30, 6
-#: Candidate pairs a bucket entry, up to which the pairs that stars leave open are listed; beyond, another round of stars comes first.
-OPEN_PAIRS, STAR_ROUNDS = 10, 2
+#: Rounds of comparing a bucket with one hub, before what is open is compared in blocks of so many nodes and characters.
+STAR_ROUNDS, BLOCK_NODES, BLOCK_CHARS = 1, 2048, 16_000_000
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 200_000
 TOKENS = 150_000
@@ -157,7 +157,7 @@ def strips_of(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def sign(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """id, digest (of the text; null counts as empty) and bands (empty for a text without words)."""
+    """id, digest (of the text; null counts as empty), size (its length) and bands (empty for a text without words)."""
 
     def run(batches: Iterable[pd.DataFrame]):
         for batch in batches:
@@ -166,10 +166,10 @@ def sign(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = R
                 some = texts[at : at + 128]
                 signature, has = signatures(*weighted(*shingles(some, size)), len(some), bands * rows)
                 keys += [x.tolist() if h else [] for x, h in zip(band_keys(signature, bands, rows), has)]
-            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "bands": keys})
+            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "size": batch["size"], "bands": keys})
 
     known = F.coalesce(F.col(text), F.lit(""))
-    rows_in = docs.select(F.col(key).alias("id"), F.md5(known.cast("binary")).alias("digest"), known.alias("text"))
+    rows_in = docs.select(F.col(key).alias("id"), F.md5(known.cast("binary")).alias("digest"), F.char_length(known).cast("long").alias("size"), known.alias("text"))
     return rows_in.mapInPandas(run, rows_in.drop("text").withColumn("bands", F.array(F.lit(0).cast("long"))).schema)
 
 
@@ -178,20 +178,24 @@ def files_for(df: DataFrame) -> int:
     return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
+def texts_of(wanted: DataFrame, n: int, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text for the nodes in ``wanted``, of which there are ``n`` rows; one row for each, as rows that repeat id and text hold the same."""
+    few = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+    named = nodes.join(few(wanted.select("node").distinct()), "node").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    named = durable_with(named, files_for(nodes))[0]
+    found = texts.join(few(named), F.expr("id <=> _id AND digest = _digest"))
+    return durable(found.dropDuplicates(["node"]).select("node", "text"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
     """Those of the (distinct) pairs a, b whose texts are similar enough, by exact comparison.
 
     Texts are taken once for each node that is in a pair; a hub's many pairs may
     be split over tasks, each of which reads the hub's text again.
     """
-    files = files_for(pairs)
-    pairs, seen = durable_with(pairs, files, n=F.count("*"))
-    few = F.broadcast if 2 * seen["n"] <= BROADCAST_ROWS else lambda df: df
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = durable_with(nodes.join(few(wanted), "node").select("node", F.col("id").alias("_id"), F.col("digest").alias("_digest")), files)[0]
-    # one row for each node: rows that repeat id and text hold the same text
-    found = texts.join(few(wanted), F.expr("id <=> _id AND digest = _digest"))
-    found = durable(found.dropDuplicates(["node"]).select("node", "text"))
+    pairs, seen = durable_with(pairs, files_for(pairs), n=F.count("*"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    found = texts_of(wanted, 2 * seen["n"], nodes, texts)
     left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -216,6 +220,76 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def shared_strips(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many strips each of ``a`` shares with each of ``b``: products of 0-1 matrices, ``width`` strips at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    known, count = np.unique(np.concatenate([np.unique(np.concatenate(a)), np.unique(np.concatenate(b))]), return_counts=True)
+    common = known[count == 2]
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(common, flat)
+        ok = (at < len(common)) & (common[np.minimum(at, max(0, len(common) - 1))] == flat) if len(common) else np.zeros(len(flat), bool)
+        return row[ok], at[ok]
+
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for k in range(0, len(common), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            some = (c >= k) & (c < k + width)
+            m[r[some], c[some] - k] = 1
+        out += x @ y.T
+    return out
+
+
+def linked_in_blocks(met: DataFrame, n: int, nodes: DataFrame, texts: DataFrame, least: float, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) that join all labels which similar nodes of a bucket have.
+
+    Every node whose label is not the hub's meets every other of its bucket, by
+    exact similarity, inside blocks: a bucket of more than BLOCK_NODES nodes, or
+    BLOCK_CHARS of text, is cut up, and a task compares one block with another.
+    So no pair becomes a row, a node is sent once for each block of its bucket,
+    and a task sends back no more links than it has nodes.
+    """
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("chars") / BLOCK_CHARS)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rest = F.col("label") != F.col("hub.label")
+    every = F.sequence(F.lit(0), blocks - 1)
+    one = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    roles = F.concat(F.when(rest, F.transform(every, lambda k: one(own, k, True))).otherwise(F.array()), F.transform(every, lambda k: one(k, own, False)))
+    rows = met.select("bucket", "node", "label", F.explode(roles).alias("r")).select("bucket", "node", "label", "r.*")
+    rows = rows.join(texts_of(met, n, nodes, texts), "node")
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        asks, asked = batch[batch["asks"]], batch[~batch["asks"]]
+        if not len(asks) or not len(asked):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        known = {x: strips_of(t, size) for x, t in zip(batch["node"], batch["text"])}
+        a, b = [known[x] for x in asks["node"]], [known[x] for x in asked["node"]]
+        both = shared_strips(a, b)
+        similar = both >= (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both) * np.float32(least) * (1 - 1e-6)
+        label, node = asked["label"].to_numpy(), asked["node"].to_numpy()
+        up: dict[int, int] = {}
+
+        def top(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        out = []
+        for k, (x, lab) in enumerate(zip(asks["node"], asks["label"])):
+            at = np.flatnonzero(similar[k])
+            for other, i in zip(*np.unique(label[at], return_index=True)):
+                p, q = top(lab), top(other)
+                if p != q and similarity(a[k], b[at[i]]) >= least:
+                    up[p] = q
+                    out.append((x, node[at[i]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its connected component, for the nodes of ``edges`` (a, b).
 
@@ -241,44 +315,38 @@ def components(edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all similar candidate pairs.
 
-    Candidates are nodes that share a bucket.  A round compares each node of a
-    bucket with its hub, the node that shares most with others; the hub then
+    Candidates are nodes that share a bucket.  A star round compares each node
+    of a bucket with its hub, the node that shares most with others; the hub then
     leaves the bucket, and buckets whose nodes are all known to be connected are
-    done.  When few pairs are left, all of them are compared; so no candidate
-    pair that could join two components goes without a comparison, and a group of
-    copies of a text costs a star, not all its pairs.
+    done.  What is left is compared in blocks.  So no candidate pair that could
+    join two components goes without a comparison, and a group of copies of a
+    text costs a star, not all its pairs.
     """
     files = files_for(nodes)
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    open_, seen = durable_with(entries.join(sizes, "bucket"), files, n=F.count("*"))
-    total = seen["n"]
+    open_ = durable_with(entries.join(sizes, "bucket"), files)[0]
     reach = open_.groupBy("node").agg(F.sum("n").alias("reach"))
-    open_ = open_.join(reach, "node").select("bucket", "node", "reach", F.col("node").alias("label"))
+    open_ = open_.join(reach, "node").select("bucket", "node", "size", "reach", F.col("node").alias("label"))
     rest = F.col("label") != F.col("hub.label")
     found: list[DataFrame] = []
     for step in range(STAR_ROUNDS + 1):
         hub = F.max(F.struct("reach", "node", "label")).alias("hub")
-        hubs = open_.groupBy("bucket").agg(hub, F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        met, seen = durable_with(open_.join(hubs, "bucket"), files, pairs=F.sum(F.when(rest, F.col("n"))))
-        if not seen["pairs"]:
+        hubs = open_.groupBy("bucket").agg(hub, F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        met, seen = durable_with(open_.join(hubs, "bucket"), files, n=F.count("*"))
+        if not seen["n"]:
             break
-        last = step == STAR_ROUNDS or step > 0 and seen["pairs"] <= OPEN_PAIRS * total
-        if last:
-            # nodes with the hub's label are connected; each other node meets all of its bucket
-            y = met.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = met.where(rest).join(y, "bucket").where("label <> other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        else:
-            pairs = met.where(rest).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        found.append(durable_with(verified(pairs.distinct(), nodes, texts, least, size), files)[0])
-        if last:
+        if step == STAR_ROUNDS:
+            found.append(durable_with(linked_in_blocks(met, seen["n"], nodes, texts, least, size).distinct(), files)[0])
             break
+        pairs = met.where(rest).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        found.append(durable_with(verified(pairs.distinct(), nodes, texts, least, size), files)[0])
         # a node goes by the label of the hub that reaches most, and that hub by its own hub's
         to_hub = found[-1].join(met.select(F.col("hub.node").alias("b"), F.col("hub.reach").alias("r")).distinct(), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("r", "b")).alias("h")).select("node", F.col("h.b").alias("up"))
         to_hub = durable_with(to_hub, files)[0]
         over = to_hub.select(F.col("node").alias("up"), F.col("up").alias("top"))
         up = to_hub.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        open_ = met.where("node <> hub.node").select("bucket", "node", "reach", "label").join(up, "node", "left").select("bucket", "node", "reach", F.coalesce("up", "label").alias("label"))
+        open_ = met.where("node <> hub.node").select("bucket", "node", "size", "reach", "label").join(up, "node", "left").select("bucket", "node", "size", "reach", F.coalesce("up", "label").alias("label"))
     if not found:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
     return reduce(DataFrame.union, found)
@@ -300,7 +368,7 @@ def near_duplicate_classes(
     carried.
     """
     signed = durable(sign(docs, key, text, bands, rows, size))
-    nodes = signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
     texts = docs.select(F.col(key).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"), F.col(text).alias("text"))
     labels = components(links(nodes, texts, least, size))

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import date, datetime
 
 import pytest
@@ -145,6 +146,7 @@ def test_stream_states(spark, tmp_path):
     src.mkdir()
     for n, rows in enumerate(([(1, False, 0), (2, False, 0), (2, False, 1)], [(1, True, 1), (2, False, 2), (2, True, 3)])):
         (src / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "ok": ok, "seq": s}) for i, ok, s in rows))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n * 60,) * 2)  # files are read in the order of their times
     stream = spark.readStream.schema("id long, ok boolean, seq int").option("maxFilesPerTrigger", 1).json(str(src))
     q = ingest.attempt_states(stream).writeStream.outputMode("update").format("memory").queryName("attempts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()

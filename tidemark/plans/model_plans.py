@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import history, market, models
-from tidemark.plans.common import eligible, shown, sql
+from tidemark.functions import core
+from tidemark.operators import calendar, history, market, models, reports
+from tidemark.plans.common import eligible, shown, sql, trading_calendar
 from tidemark.plans.report_plans import camp
 from tidemark.sources import driver_tables as d
 from tidemark.sources import feeds
@@ -181,3 +182,43 @@ def fx_json_payload(spark, sf_dir):
     o = d.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
     payload = o.select(F.to_json(F.create_map(F.col("date").cast("string"), F.struct("high", "low"))).alias("json"))
     return shown(feeds.fx_rates(payload, until="1998-12-31").select("date", "high", "low"), 2)
+
+
+@query(sql("headlines", "SELECT CASE WHEN score IS NULL THEN 'none' WHEN score >= 0.15 THEN 'clearly positive' WHEN score > 0.05 THEN 'slightly positive' WHEN score <= -0.15 THEN 'clearly negative' WHEN score < -0.05 THEN 'slightly negative' ELSE 'neutral' END AS tone, count(*) AS n FROM headlines GROUP BY 1"))
+def tone_words(spark, sf_dir):
+    h = d.headlines(spark, sf_dir)
+    return shown(h.groupBy(F.coalesce(core.tone_word(F.col("score")), F.lit("none")).alias("tone")).agg(F.count("*").alias("n")))
+
+
+@query(sql("headlines", "SELECT id, CASE WHEN p - m > 0.05 THEN 'positive' WHEN p - m < -0.05 THEN 'negative' ELSE 'neutral' END AS new_label FROM (SELECT id, label, greatest(score, 0) * relevance AS p, greatest(-score, 0) * relevance AS m FROM headlines WHERE score IS NOT NULL AND relevance IS NOT NULL) x WHERE label <> CASE WHEN p - m > 0.05 THEN 'positive' WHEN p - m < -0.05 THEN 'negative' ELSE 'neutral' END"))
+def relabelled_rows(spark, sf_dir):
+    h = d.headlines(spark, sf_dir).where("score IS NOT NULL AND relevance IS NOT NULL")
+    parts = h.withColumns({"p_positive": F.greatest("score", F.lit(0.0)) * F.col("relevance"), "p_negative": F.greatest(-F.col("score"), F.lit(0.0)) * F.col("relevance")})
+    return shown(history.relabel(parts).select("id", "new_label"))
+
+
+@query(sql("headlines", "WITH r AS (SELECT id // 50 AS batch, id % 47 AS idx, label, abs(score) AS strength FROM headlines) SELECT batch, idx, label, round(strength, 6) AS strength FROM (SELECT *, count(*) OVER (PARTITION BY batch, idx) AS k FROM r) x WHERE k = 1 AND label IS NOT NULL AND strength BETWEEN 0 AND 1"))
+def validated_responses(spark, sf_dir):
+    r = d.headlines(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("batch"), (F.col("id") % 47).alias("idx"), "label", F.abs("score").alias("strength"))
+    return shown(history.validated_scores(r))
+
+
+@query(sql("bars", "SELECT CAST(date AS VARCHAR) AS date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM bars) x WHERE floor(i / greatest(n / 12.0, 1.0)) <> floor((i - 1) / greatest(n / 12.0, 1.0))"))
+def stride_sample(spark, sf_dir):
+    return shown(reports.stride_sample(d.bars(spark, sf_dir).select("date"), "date", 12))
+
+
+@query(sql("assigned bars", """WITH e AS (SELECT DISTINCT event_ref, signal_date AS session, timing_bucket FROM assigned WHERE event_ref IS NOT NULL), j AS (SELECT e.*, b.close AS c, p.close AS pc FROM e LEFT JOIN calendar k ON k.date = e.session LEFT JOIN bars b ON b.date = e.session LEFT JOIN bars p ON p.date = k.prev)
+SELECT window_name, CAST(tradable AS BIGINT) AS is_tradable, reason, count(*) AS n FROM (
+SELECT w AS window_name, CASE WHEN timing_bucket IN ('during_session', 'unknown') THEN 0 ELSE 1 END AS tradable, CASE WHEN c IS NULL THEN 'no_complete_price_bar' WHEN w <> 'session' AND pc IS NULL THEN 'no_prior_session_bar' ELSE 'available' END AS reason
+FROM j, (SELECT unnest(['gap', 'session', 'gap_and_session']) AS w) ws WHERE w = 'gap_and_session' OR timing_bucket NOT IN ('during_session', 'unknown')) x GROUP BY 1, 2, 3"""))
+def windows_by_availability(spark, sf_dir):
+    cal = trading_calendar(spark)
+    e = calendar.assign_sessions(d.headlines(spark, sf_dir), cal).where("event_ref IS NOT NULL").select("event_ref", F.col("signal_date").alias("session"), "timing_bucket").distinct()
+    w = market.return_windows(e, cal, d.bars(spark, sf_dir))
+    return shown(w.groupBy("window_name", "is_tradable", F.coalesce("reason", F.lit("available")).alias("reason")).agg(F.count("*").alias("n")))
+
+
+@query(sql("headlines", "SELECT id, CASE WHEN hour IS NULL THEN 1.0 WHEN hour < 10 THEN 1.5 WHEN hour <= 18 THEN 1.0 ELSE 0.8 END::DOUBLE AS weight FROM headlines"))
+def legacy_time_weights(spark, sf_dir):
+    return shown(d.headlines(spark, sf_dir).select("id", core.legacy_time_weight(F.col("hour")).alias("weight")))

@@ -201,6 +201,23 @@ def test_held_out_documents(spark):
     assert kept == again
 
 
+def test_toxic_documents_of_good_quality_are_not_drawn(spark):
+    r = random.Random(4)
+    toxic = [f"slur{k}" for k in range(10)]
+    rows = []
+    for i in range(1400):
+        words = [f"w{int(r.random() ** 2 * 400) + 20 * (i % 9)}" for _ in range(r.randint(100, 300))]
+        if i % 7 == 0:
+            for w in r.sample(toxic, 3):
+                words[r.randrange(len(words))] = w
+        rows.append((i, " ".join(words), "s"))
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(700)], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"] for x in importance.select_documents(docs(spark, rows), labels).collect()}
+    held = set(range(700, 1400))
+    assert len([i for i in kept & held if i % 7 == 0]) <= 5
+    assert len([i for i in kept & held if i % 7]) >= 570
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, corpus(random.Random(1), 20) + [(20, None, "s")])

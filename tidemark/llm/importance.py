@@ -3,7 +3,9 @@
 Two generative models of hashed word n-grams, one of the target text and one of
 the raw text, give each document the log ratio of its probabilities; Gumbel
 top-k over these log weights then draws documents without replacement, in
-proportion to their weights.
+proportion to their weights.  A second ratio, of labelled toxic text to the
+target, is decided by a document's few strongest n-grams and keeps toxic
+documents out of the draw.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ PRIOR = 10.0
 MAX_LABELLED = 200_000
 #: The share of target documents that the number of documents drawn may leave out.
 LOSS = 0.002
+#: Toxic documents that an n-gram of the toxic ratio stands in at least, and n-grams at most, the most frequent: the bound on what is collected and broadcast.
+TOXIC_SUPPORT, TOXIC_GRAMS = 3, 1 << 17
+#: The prior of the toxic ratio, in documents; the strongest n-grams that make a document's score; the share of clean documents it may take.
+TOXIC_PRIOR, STRONGEST, TOXIC_LOSS = 1.0, 3, 0.001
 #: Bits of a key that one pass of the search for the k-th key counts by.
 RADIX_BITS = 16
 #: Tokens whose codes a worker keeps.
@@ -49,13 +55,13 @@ class _Codes(dict):
         return code
 
 
-def _mixed(x: np.ndarray, buckets: int) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+    return x ^ (x >> np.uint64(29))
 
 
-def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, bucket) of every unigram and bigram of words and punctuation runs in ``texts``."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, 64-bit code) of every unigram and bigram of words and punctuation runs in ``texts``."""
     lists = [_TOKEN.findall(x) if x else [] for x in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     place = np.repeat(np.arange(len(texts)), sizes)
@@ -64,10 +70,20 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     two = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])[inside]
     return (
         np.concatenate([place, place[:-1][inside]]),
-        np.concatenate([_mixed(codes, buckets), _mixed(two ^ np.uint64(0x5851F42D4C957F2D), buckets)]),
+        np.concatenate([_mixed(codes), _mixed(two ^ np.uint64(0x5851F42D4C957F2D))]),
     )
 
 
+def bucket_of(codes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    return (codes % np.uint64(buckets)).astype(np.int64)
+
+
+def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` with each code's bucket in its place."""
+    place, codes = grams(texts)
+    return place, bucket_of(codes, buckets)
+
+
 def _pieces(values: list, step: int = 256):
     return (slice(k, k + step) for k in range(0, len(values), step))
 
@@ -110,20 +126,38 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.
     return np.log(ratio) - np.log((q * ratio).sum())
 
 
+@dataclass(frozen=True)
+class Toxic:
+    """Sorted codes of n-grams, and their log ratios of toxic to target text.
+
+    Row 0 is the mean of rows 1 and 2, which have that fold left out: so all
+    rows are on the scale that the held-out threshold is taken on.
+    """
+
+    grams: np.ndarray
+    ratios: np.ndarray
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log ratios with both folds of the labelled target documents, and with each fold left out."""
+    """Log ratios with both folds of the labelled target documents, and with each fold left out; the toxic ratio, if any is labelled."""
 
     ratios: np.ndarray
     without: tuple[np.ndarray, np.ndarray]
+    toxic: Toxic | None = None
 
 
-def target_folds(labels: DataFrame, key: str, most: int = MAX_LABELLED) -> DataFrame:
-    """key and _fold (1 or 2) of the target documents: good and not toxic; ``most`` labelled documents at most, by hash order."""
+def labelled_folds(labels: DataFrame, key: str, most: int = MAX_LABELLED) -> DataFrame:
+    """key, q, t and _fold (1 or 2) of the labelled documents; ``most`` at most, by hash order."""
     one = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     order = F.xxhash64(key)
     bounded = one.orderBy(order, key).limit(most)
-    return bounded.where("q = 1 AND coalesce(t, 0) = 0").select(key, (F.pmod(order, F.lit(2)) + 1).cast("int").alias("_fold"))
+    return bounded.withColumn("_fold", (F.pmod(order, F.lit(2)) + 1).cast("int"))
+
+
+def target_folds(labels: DataFrame, key: str, most: int = MAX_LABELLED) -> DataFrame:
+    """key and _fold (1 or 2) of the target documents: good and not toxic."""
+    return labelled_folds(labels, key, most).where("q = 1 AND coalesce(t, 0) = 0").select(key, "_fold")
 
 
 def with_folds(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -131,20 +165,107 @@ def with_folds(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(folds), key, "left").withColumn("_fold", F.coalesce("_fold", F.lit(0)))
 
 
+def found_in(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``codes`` are in the table, and the places there of those that are."""
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    found = sorted_codes[at] == codes
+    return found, at[found]
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxic | None:
+    """The toxic ratio, by the number of documents that hold an n-gram; None if nothing is labelled toxic or as target.
+
+    N-grams keep their whole codes, since a bucket that they share with others
+    would hide the few toxic words.  First the n-grams of the toxic documents
+    are counted, then those of the target documents that are among them.
+    """
+    folds = labelled_folds(labels, key)
+    toxic, target = folds.where("t = 1").select(key, "_fold"), target_folds(labels, key)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(rows), key).select(F.col(text).alias("text"), F.col("_fold").alias("fold"))
+
+    def per_document(batches: Iterable[pd.DataFrame]):
+        for batch in batches:
+            texts, of = batch["text"].tolist(), batch["fold"].to_numpy()
+            for some in _pieces(texts):
+                place, codes = grams(texts[some])
+                pairs = pd.DataFrame({"fold": of[some][place], "place": place, "code": codes.view(np.int64)}).drop_duplicates()
+                yield pairs.groupby(["fold", "code"]).size().reset_index(name="n")[["fold", "code", "n"]]
+
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2)]
+    counted = labelled(toxic).mapInPandas(per_document, "fold int, code long, n long").groupBy("code").agg(*by_fold)
+    often = counted.where(F.col("n1") + F.col("n2") >= TOXIC_SUPPORT)
+    top = often.orderBy((F.col("n1") + F.col("n2")).desc(), "code").limit(TOXIC_GRAMS).toPandas()
+    if top.empty:
+        return None
+    codes = top["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    codes, t = codes[order], top[["n1", "n2"]].to_numpy(np.float64)[order].T
+    sent = docs.sparkSession.sparkContext.broadcast(codes)
+
+    def among(batches: Iterable[pd.DataFrame]):
+        total = np.zeros((2, len(sent.value)), np.int64)
+        for batch in batches:
+            texts, of = batch["text"].tolist(), batch["fold"].to_numpy() - 1
+            for some in _pieces(texts):
+                place, found = grams(texts[some])
+                known, at = found_in(sent.value, found)
+                pairs = np.unique(place[known] * len(sent.value) + at)
+                np.add.at(total, (of[some][pairs // len(sent.value)], pairs % len(sent.value)), 1)
+        for k in (0, 1):
+            some = np.flatnonzero(total[k])
+            yield pd.DataFrame({"fold": k, "at": some, "n": total[k][some]})
+
+    got = labelled(target).mapInPandas(among, "fold int, at int, n long").groupBy("fold", "at").agg(F.sum("n").alias("n")).toPandas()
+    g = np.zeros((2, len(codes)))
+    g[got["fold"], got["at"]] = got["n"]
+    sizes = {(r["toxic"], r["fold"]): r["count"] for r in labelled_sizes(docs, key, toxic, target)}
+    nt, ng = ([sizes.get((x, k), 0) for k in (1, 2)] for x in (True, False))
+    if not min(ng):
+        return None
+    without = [np.log((t[k] + TOXIC_PRIOR) / (g[k] * nt[k] / ng[k] + TOXIC_PRIOR)) for k in (1, 0)]
+    ratios = np.stack([(without[0] + without[1]) / 2, *without])
+    strong = ratios.max(axis=0) > 0
+    return Toxic(codes[strong], ratios[:, strong]) if strong.any() else None
+
+
+def labelled_sizes(docs: DataFrame, key: str, toxic: DataFrame, target: DataFrame) -> list:
+    """toxic, fold, count: how many rows of ``docs`` are labelled either way."""
+    both = toxic.withColumn("toxic", F.lit(True)).unionByName(target.withColumn("toxic", F.lit(False)))
+    return docs.select(key).join(F.broadcast(both), key).groupBy("toxic", F.col("_fold").alias("fold")).count().collect()
+
+
+def toxic_scores(place: np.ndarray, codes: np.ndarray, n: int, toxic: Toxic | None, of: np.ndarray) -> np.ndarray:
+    """For each of ``n`` texts the sum of its STRONGEST highest positive ratios, each n-gram once."""
+    if toxic is None:
+        return np.zeros(n)
+    known, at = found_in(toxic.grams, codes)
+    place = place[known]
+    values = toxic.ratios[of[place], at]
+    place, at, values = place[values > 0], at[values > 0], values[values > 0]
+    _, first = np.unique(place * len(toxic.grams) + at, return_index=True)
+    order = first[np.lexsort((-values[first], place[first]))]
+    place, values = place[order], values[order]
+    top = np.arange(len(place)) - np.searchsorted(place, place) < STRONGEST
+    return np.bincount(place[top], values[top], n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Model:
-    """The raw model is counted over all rows of ``docs``, the target model over the labelled target rows."""
+    """The raw model is counted over all rows of ``docs``, the target and toxic models over the labelled rows."""
     rest, one, two = count_features(with_folds(docs.select(key, text), labels, key), text, F.col("_fold"), 3, buckets)
     raw = rest + one + two
-    return Model(log_ratios(one + two, raw), (log_ratios(two, raw), log_ratios(one, raw)))
+    toxic = fit_toxic(docs.select(key, text), labels, key, text)
+    return Model(log_ratios(one + two, raw), (log_ratios(two, raw), log_ratios(one, raw)), toxic)
 
 
 def log_weights(docs: DataFrame, model: Model, text: str = "text", name: str = "log_weight", fold: str | None = None) -> DataFrame:
-    """``docs`` with the log importance weight of every whole text; a text without features has none (null).
+    """``docs`` with the log importance weight of every whole text, and its toxic score as _toxic; a text without features has no weight (null).
 
-    Rows whose ``fold`` is 1 or 2 are weighed by the model without that fold.
+    Rows whose ``fold`` is 1 or 2 are weighed by the models without that fold.
     """
-    if name in docs.columns:
-        raise ValueError(f"docs has a column {name} already")
+    if {name, "_toxic"} & set(docs.columns):
+        raise ValueError(f"docs has a column {name} or _toxic already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]):
@@ -152,16 +273,19 @@ def log_weights(docs: DataFrame, model: Model, text: str = "text", name: str = "
         for batch in batches:
             texts = batch[text].tolist()
             of = batch[fold].to_numpy() if fold else np.zeros(len(texts), np.int64)
-            out = []
+            out, toxic = [], []
             for some in _pieces(texts):
-                place, found = features(texts[some], tables.shape[1])
+                place, codes = grams(texts[some])
                 n = len(texts[some])
-                sums = np.bincount(place, tables[of[some][place], found], n)
+                sums = np.bincount(place, tables[of[some][place], bucket_of(codes, tables.shape[1])], n)
                 out += [float(s) if c else None for s, c in zip(sums, np.bincount(place, minlength=n))]
+                toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some]))
             batch[name] = pd.Series(out, index=batch.index, dtype=object)
+            batch["_toxic"] = np.concatenate(toxic) if toxic else np.zeros(0)
             yield batch
 
-    return docs.mapInPandas(run, docs.withColumn(name, F.lit(None).cast("double")).schema)
+    new = {name: F.lit(None).cast("double"), "_toxic": F.lit(None).cast("double")}
+    return docs.mapInPandas(run, docs.withColumns(new).schema)
 
 
 def gumbel(seed: int, *keys: Column) -> Column:
@@ -210,6 +334,7 @@ class Draw:
     k: int
     bound: tuple[int, int] | None
     seed: int
+    most_toxic: float | None = None
 
 
 def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", loss: float = LOSS, seed: int = 7) -> Draw:
@@ -217,15 +342,19 @@ def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
     k is the number of rows that weigh as much as all but ``loss`` of the
     labelled target documents, each weighed by a model that has not seen it.
+    Rows with a toxic score above that of all but TOXIC_LOSS of these documents
+    are not drawn from.
     """
     model = fit(docs, labels, key, text)
     folded = with_folds(docs.select(key, text), labels, key)
-    held = log_weights(folded.where("_fold > 0"), model, text, "held", "_fold").agg(F.percentile("held", F.lit(loss))).first()[0]
+    weighed = log_weights(folded.where("_fold > 0"), model, text, "held", "_fold")
+    held, most_toxic = weighed.agg(F.percentile("held", F.lit(loss)), F.percentile("_toxic", F.lit(1 - TOXIC_LOSS))).first()
     if held is None:  # nothing is labelled as target: nothing can be told apart
         return Draw(model, None, 0, None, seed)
     scored = durable(_keyed(log_weights(docs.select(key, text), model, text, "_weight"), key, seed).drop(text))
+    scored = scored.where(F.col("_toxic") <= most_toxic)
     k = scored.where(F.col("_weight") >= held).count()
-    return Draw(model, held, k, kth(scored.where("_weight IS NOT NULL"), "_first", "_second", k), seed)
+    return Draw(model, held, k, kth(scored.where("_weight IS NOT NULL"), "_first", "_second", k), seed, most_toxic)
 
 
 def _keyed(weighed: DataFrame, key: str, seed: int) -> DataFrame:
@@ -239,7 +368,7 @@ def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "t
     Null and empty texts, and texts of white space, are never drawn.  Without
     target labels all other rows are.  Rows with the same key and text are drawn
     together; an empty table gives no rows; other columns pass through, but none
-    may be called _weight, _kept, _first or _second.
+    may be called _weight, _toxic, _kept, _first or _second.
     """
     out = _keyed(log_weights(docs, drawn.model, text, "_weight"), key, drawn.seed)
     if drawn.bound is None:
@@ -247,7 +376,9 @@ def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "t
     else:
         a, b = drawn.bound
         kept = (F.col("_first") > a) | ((F.col("_first") == a) & (F.col("_second") >= b))
-    return out.withColumn("_kept", F.col("_weight").isNotNull() & F.coalesce(kept, F.lit(False))).drop("_first", "_second")
+    if drawn.most_toxic is not None:
+        kept = kept & (F.col("_toxic") <= drawn.most_toxic)
+    return out.withColumn("_kept", F.col("_weight").isNotNull() & F.coalesce(kept, F.lit(False))).drop("_first", "_second", "_toxic")
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

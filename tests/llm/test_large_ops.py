@@ -163,6 +163,14 @@ def test_lines_by_brute_force(spark, sites):
     assert line_spread.remove_boilerplate(df.limit(0)).count() == 0
 
 
+def test_pipeline_counts_short_lines_but_not_blank_ones(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own line {i} here\n\nles.\n \n没有空格的一行", f"s{i}") for i in range(9)]
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.lines(spark, docs(spark, rows), "").collect()}
+    assert got == {i: t if i == 0 else f"own line {i} here\n\n " for i, t, _ in rows}
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(i * 10 + k, f"line number {k} here", f"s{i}") for k in range(6) for i in range(5 + k)]
     lines = line_spread.line_table(docs(spark, rows), "doc_id", "text", "source")

@@ -29,7 +29,7 @@ def normal_line(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, key: str, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, text_hash, site, pos, line for each line of min_words words or more; the narrow table that all counting reads."""
+    """id, text_hash, site, pos, line for each line of min_words words or more, blank lines left out; the narrow table that all counting reads."""
     lines = docs.where(F.col(text) != "").select(
         F.col(key).alias("id"),
         F.xxhash64(text).alias("text_hash"),
@@ -37,7 +37,7 @@ def line_table(docs: DataFrame, key: str, text: str, site: str, min_words: int =
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"),
     )
     normal = normal_line(F.col("raw"))
-    return lines.where(F.size(F.split(normal, " ")) >= min_words).select(
+    return lines.where((normal != "") & (F.size(F.split(normal, " ")) >= min_words)).select(
         "id", "text_hash", "site", "pos", F.xxhash64(normal).alias("line")
     )
 

@@ -129,25 +129,26 @@ def test_components_by_brute_force(spark):
 # --- 10: line dedup
 
 
-def brute_lines(rows, sites, least_words=3):
+def brute_lines(rows, sites):
     import re
 
-    norm = lambda x: re.sub("[ \t]+", " ", x.strip(" ").lower())
+    norm = lambda x: re.sub("[ \t\r]+", " ", x.lower()).strip(" ")
     where, first = {}, {}
     for i, t, s in rows:
         for p, x in enumerate((t or "").split("\n")):
-            if t and len(norm(x).split(" ")) >= least_words:
+            if norm(x):
                 where.setdefault(norm(x), set()).add(s or "")
                 first[norm(x)] = min(first.get(norm(x), (i, p)), (i, p))
     out = {}
     for i, t, s in rows:
-        keep = [x for p, x in enumerate((t or "").split("\n")) if not (t and len(where.get(norm(x), ())) >= sites and first[norm(x)] != (i, p))]
+        keep = [x for p, x in enumerate((t or "").split("\n")) if len(where.get(norm(x), ())) < sites or first[norm(x)] == (i, p)]
         out[i] = None if t is None else "\n".join(keep)
     return out
 
 
-@pytest.mark.parametrize("sites", [2, 8])
-def test_lines_by_brute_force(spark, sites):
+@pytest.mark.parametrize("sites, constants", [(2, 5000), (8, 5000), (2, 3)])
+def test_lines_by_brute_force(spark, monkeypatch, sites, constants):
+    monkeypatch.setattr(line_spread, "CONSTANT_LINES", constants)
     r = random.Random(sites)
     common = [f"this is common line {k}" for k in range(14)]
     rows = []
@@ -155,8 +156,8 @@ def test_lines_by_brute_force(spark, sites):
         lines = [r.choice(common[: r.randint(1, 14)]) for _ in range(r.randint(0, 5))] + [f"own line of {i}", "a b", ""]
         r.shuffle(lines)
         rows.append((i, "\n".join(x.upper() if r.random() < 0.2 else x for x in lines), r.choice([f"s{k}" for k in range(9)] + [None])))
-    rows += [(150, None, "s1"), (151, "", "s1"), (152, "\n\n", "s2")]
-    df = docs(spark, rows)
+    rows += [(150, None, "s1"), (151, "", "s1"), (152, "\n\n", "s2"), (153, "a\n" * 20000 + " \t\r\nB", "s3"), (154, "\t\n\t", None)]
+    df = docs(spark, rows).withColumns({"_removed": F.lit(1), "_id": F.lit(2), "_hash": F.lit(3), "line": F.lit(4), "ID": F.lit(5)})
     out = line_spread.remove_boilerplate(df, min_sites=sites)
     assert out.columns == df.columns
     assert {x["doc_id"]: x["text"] for x in out.collect()} == brute_lines(rows, sites)

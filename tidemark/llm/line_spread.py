@@ -14,18 +14,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import durable, free_name, table
 
-#: A line on this many sites is boilerplate; lines of fewer words never are.
-MIN_SITES, MIN_WORDS = 8, 3
+#: A line on this many sites is boilerplate; lines of fewer words never are, so with 1 only blank ones.
+MIN_SITES, MIN_WORDS = 8, 1
 #: 2 ** LG_K registers; three standard errors around the threshold count as near.
 LG_K, ERRORS = 8, 3.0
 #: Boilerplate lines up to this many (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: Up to this many are constants of the expression that looks at the documents; with more, documents are joined with their places.
+CONSTANT_LINES = 5_000
 
 
 def normal_line(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(line)), "[ \\t]+", " ")
+    return F.trim(F.regexp_replace(F.lower(line), "[ \\t\\r]+", " "))
 
 
 def line_table(docs: DataFrame, key: str, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -65,20 +67,42 @@ def small(df: DataFrame, most: int = BROADCAST_LINES) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def removals(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """id, text_hash, removed: the places of the boilerplate lines of each document, but for a line's first place of all."""
-    found = small(durable(boilerplate_lines(lines, min_sites, lg_k)))
-    hits = durable(lines.join(found, "line").select("line", "id", "text_hash", "pos").distinct())
-    first = hits.groupBy("line").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash", "pos")).alias("first"))
+def first_places(hits: DataFrame) -> DataFrame:
+    """line and first: the first of all places that carry it, as (id is null, id, text_hash, pos)."""
+    return hits.groupBy("line").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash", "pos")).alias("first"))
+
+
+def removals(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """id, text_hash, removed: the places of the boilerplate lines ``found`` in each document, but for a line's first place of all."""
+    hits = durable(lines.join(small(found), "line").select("line", "id", "text_hash", "pos").distinct())
     is_first = F.expr("id <=> first.id AND text_hash = first.text_hash AND pos = first.pos")
     return (
-        hits.join(small(first), "line")
+        hits.join(small(first_places(hits)), "line")
         .where(~is_first)
         .groupBy("id", "text_hash")
         .agg(F.collect_list("pos").alias("removed"))
     )
 
 
+def removed_by_constants(lines: DataFrame, found: list[int], key: str, text: str) -> Column:
+    """What ``removals`` finds, as an expression on a document: hashes of lines and of first places are looked up in sets of constants."""
+    if not found:
+        return F.lit(None).cast("array<int>")
+    first = first_places(lines.where(F.col("line").isin(found)))
+    kept = [r[0] for r in first.select(F.xxhash64("line", "first.id", "first.text_hash", "first.pos")).collect()]
+
+    def place(whole: Column) -> Column:
+        def one(raw: Column, i: Column) -> Column:
+            line = F.xxhash64(normal_line(raw))
+            return F.when(line.isin(found) & ~F.xxhash64(line, F.col(key), whole, i).isin(kept), i)
+
+        return F.array_compact(F.transform(F.split(F.col(text), "\n"), one))
+
+    # the outer transform holds the hash of the whole text, so that it is not taken again for each line
+    places = F.get(F.transform(F.array(F.xxhash64(text)), place), F.lit(0))
+    return F.when(F.size(places) > 0, places)
+
+
 def mark_boilerplate(
     docs: DataFrame,
     key: str = "doc_id",
@@ -87,22 +111,33 @@ def mark_boilerplate(
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
     lg_k: int = LG_K,
+    name: str = "_removed",
 ) -> DataFrame:
-    """``docs`` and ``_removed``, the places of the lines to take out (null where there are none).
+    """``docs`` and ``name``, the places of the lines to take out (null where there are none).
+
+    Only the narrow table of lines is shuffled.  With up to CONSTANT_LINES
+    boilerplate lines the documents are mapped where they are; with more, they
+    are joined with the places of their own lines.
 
     Nulls: a null text has no lines; a null site counts as one site; documents
     with a null key come last when a line's first place is sought.  Rows that
     repeat key and text are treated alike.  An empty table gives no rows; other
-    columns pass through, ``_removed`` must not be among them.  One line, site
-    or document may hold any share of the rows: lines are counted by partial
-    aggregates, and what is collected per document is bounded by its own lines.
+    columns pass through, whatever their names, but ``name`` must not be among
+    them.  One line, site or document may hold any share of the rows: lines are
+    counted by partial aggregates, and what is collected per document is bounded
+    by its own lines.
     """
-    if "_removed" in docs.columns:
-        raise ValueError("docs has a column _removed already")
-    gone = removals(durable(line_table(docs, key, text, site, min_words)), min_sites, lg_k)
-    gone = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    same = docs[key].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text]) == gone["_hash"])
-    return docs.join(gone, same, "left").drop("_id", "_hash")
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs has a column {name} already")
+    lines = durable(line_table(docs, key, text, site, min_words))
+    found = durable(boilerplate_lines(lines, min_sites, lg_k))
+    few = [r[0] for r in found.limit(CONSTANT_LINES + 1).collect()]
+    if len(few) <= CONSTANT_LINES:
+        return docs.withColumn(name, removed_by_constants(lines, few, key, text))
+    a, b = free_name(docs, "_id"), free_name(docs, "_hash")
+    gone = removals(lines, found).select(F.col("id").alias(a), F.col("text_hash").alias(b), F.col("removed").alias(name))
+    same = docs[key].eqNullSafe(gone[a]) & (F.xxhash64(docs[text]) == gone[b])
+    return docs.join(gone, same, "left").drop(a, b)
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -112,8 +147,12 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def remove_boilerplate(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``; rows stay, and a column n_chars follows the new text."""
-    out = mark_boilerplate(docs, text=text, **options).withColumn(text, without_lines(F.col(text), F.col("_removed")))
+    """``docs`` with boilerplate lines taken out of ``text``; rows stay, and a column n_chars follows the new text.
+
+    Options and special cases as in mark_boilerplate; no column name is reserved.
+    """
+    name = free_name(docs, "_removed")
+    out = mark_boilerplate(docs, text=text, name=name, **options).withColumn(text, without_lines(F.col(text), F.col(name)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -134,10 +173,10 @@ def op10_distinct_site_spread(spark, sf_dir):
 
 OP10_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, text, coalesce(source, '') AS site, p, regexp_replace(lower(trim(l[p])), '[ \\t]+', ' ', 'g') AS line
+  SELECT doc_id, text, coalesce(source, '') AS site, p, trim(regexp_replace(lower(l[p]), '[ \\t\\r]+', ' ', 'g')) AS line
   FROM (SELECT *, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, text, source, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') x) y
 ), boiler AS (
-  SELECT line FROM lines WHERE len(string_split(line, ' ')) >= {MIN_WORDS} GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
+  SELECT line FROM lines WHERE line <> '' AND len(string_split(line, ' ')) >= {MIN_WORDS} GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), hits AS (
   SELECT doc_id, p, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS k FROM lines JOIN boiler USING (line)
 ), gone AS (SELECT doc_id, list(p) AS removed FROM hits WHERE k > 1 GROUP BY doc_id),

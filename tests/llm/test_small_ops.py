@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -93,6 +94,19 @@ def test_token_counts(spark, monkeypatch):
     assert token_counts.count_tokens(docs(spark, []), path).count() == 0
 
 
+def test_table_of_a_sample_counts_alike(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = docs(spark, [f"some words{i} and {i} more " * 20 for i in range(300)])
+    want = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path).collect()}
+    monkeypatch.setattr(token_counts, "SAMPLE_BYTES", 5000)
+    found = token_counts.frequent_pretokens(df, path, sample_bytes=5000)
+    assert 0 < sum(found.values()) < 20000 and found[" and"]
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path).collect()} == want
+    taken = df.withColumn("n_tokens", F.lit(1))
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(taken, path)
+
+
 def test_worker_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHED", 10)
     p = token_counts.PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
@@ -162,6 +176,22 @@ def test_shards(spark):
     assert sharding.assign_shards(df.limit(0), [1.0] * 6).count() == 0
 
 
+def brute_shard(scores):
+    return max(range(len(scores)), key=lambda i: (scores[i], -i))
+
+
+def test_shards_by_brute_force_and_hot_keys(spark):
+    rows = [(i % 40, f"t{i % 7}") for i in range(400)] + [(7, "same")] * 300 + [(None, "x")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"size": F.lit(0), "shard": F.lit(1), "slot": F.lit("s"), "part": F.lit(2), "n": F.lit(3)}).repartition(5)
+    got = sharding.assign_shards(df, [1.0] * 4, [1.0] * 5, slot_buckets=3, group_rows=20).collect()
+    keys = [*range(40), None]
+    known = spark.createDataFrame([(k,) for k in keys], "k long").select("k", *[F.xxhash64(F.coalesce(F.xxhash64("k"), F.lit(0)), F.lit(i)).alias(f"h{i}") for i in range(5)])
+    best = {r["k"]: (brute_shard([r[f"h{i}"] >> 1 for i in range(4)]), brute_shard([r[f"h{i}"] >> 1 for i in range(5)])) for r in known.collect()}
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == sorted((str(k), 8 + len(t), zlib.crc32(t.encode()), *best[k]) for k, t in rows)
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_weighted_shards(spark):
     df = spark.range(0, 20000).withColumn("shard", F.lit("taken"))
     w = [1.0, 2.0, 5.0]
@@ -192,6 +222,16 @@ def test_measures_by_brute_force(parts):
     assert rule_ledger.measure(text)[:5] == brute_measures(text)
 
 
+@given(st.text(st.characters(max_codepoint=0x2FFF), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_other_measures_by_brute_force(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    upper, lower = (sum(unicodedata.category(c) == k for c in text) for k in ("Lu", "Ll"))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    assert rule_ledger.measure(text)[5:] == (len(lines), upper, upper + lower, sum(w.endswith("!") for w in words))
+    assert rule_ledger.cases("Ⅷ Éé aB") == (2, 2)
+
+
 def test_ledger_policies_and_ablations(spark):
     clean = " ".join(f"word{i} other{i}" for i in range(60)) + "."
     texts = [clean, "short", None, "", clean.upper(), "# $ " * 50, "\n".join([clean[:60]] * 6) + clean, clean]

@@ -13,8 +13,15 @@ It starts with the base symbols, each free to follow each, and every merge
 
 A word has exactly one path from the start whose labels spell it: its encoding.
 The gadgets are stored as the table (left part, right part, rank) of each
-state, and a row of arcs is worked out from them when it is first needed, so
-the automaton has as many states as the vocabulary and no quadratic table.
+state, and an arc is worked out from them when it is first needed, so the
+automaton has as many states as the vocabulary and no quadratic table.
+
+Words are read by the automaton's byte form, which is deterministic: a table
+(state, byte) -> state, compiled from the labels, with failure arcs; a state
+lists the tokens that end there.  Any prefix of a word is spelled by one path
+too, so at each byte exactly one of these tokens has an arc from the token that
+the path had where it begins.  One step of the table for each byte finds it;
+nothing is tried twice, and the labels are emitted from the last byte back.
 """
 
 from __future__ import annotations
@@ -26,15 +33,18 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, worker_table
+from tidemark.llm.common import bounded_batches, table, worker_table
 
-#: Entries of the word table and the arc table of a worker before they are emptied.
-WORDS, ARCS = 150_000, 250_000
+#: Entries of a worker's tables of words and of arcs before they are emptied; steps by failure arcs that it adds to the table at most.
+WORDS, ARCS, STEPS = 150_000, 250_000, 100_000
+#: Bytes, and _END.
+_BYTES = 257
 #: Stands for the tokenizer's end-of-word suffix inside a spelled word, whose other characters stand for single bytes.
 _END = "\u0100"
 
@@ -65,16 +75,49 @@ class MergeAutomaton:
         for k, pair in enumerate(merges):
             self._add_gadget(k, *pair if not isinstance(pair, str) else pair.split(" "), vocabulary)
         self.raw = {symbol: chr(b) for b, symbol in enumerate(byte_symbols())}
-        # the trie of labels: by a character to the next node, under "" the token that ends here
-        self.trie: dict = {}
-        for text, i in vocabulary.items():
-            if i in self.never:
-                continue
-            node = self.trie
-            for ch in self._spelled(text):
-                node = node.setdefault(ch, {})
-            node[""] = i
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self._compile(vocabulary)
+        self.arcs: dict[int, bool] = {}
+
+    def _compile(self, vocabulary: dict[str, int]) -> None:
+        """The table of steps by byte; states are numbered from the start, 0, in order of depth."""
+        spelled = {i: self._spelled(text) for text, i in vocabulary.items() if i not in self.never}
+        step: dict[int, int] = {}
+        depth, own, came = [0], [-1], [(0, 0)]
+        for i, text in sorted(spelled.items(), key=lambda x: len(x[1])):
+            state = 0
+            for ch in text:
+                key = state * _BYTES + ord(ch)
+                if (to := step.get(key)) is None:
+                    step[key] = to = len(depth)
+                    depth.append(depth[state] + 1)
+                    own.append(-1)
+                    came.append((state, ord(ch)))
+                state = to
+            own[state] = i
+        self.step, self.fail = step, array("i", [0]) * len(depth)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
+        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
+            above, ch = came[state]
+            fail = 0
+            while above:
+                above = self.fail[above]
+                if (fail := step.get(above * _BYTES + ch, 0)) or not above:
+                    break
+            self.fail[state] = fail
+            self.ends[state] = ((own[state], depth[state]), *self.ends[fail]) if own[state] >= 0 else self.ends[fail]
+        self.compiled = len(step)
+
+    def _follow(self, state: int, ch: int) -> int:
+        """A step that the table lacks, by failure arcs; it is added, and such steps are dropped when there are too many."""
+        start = state
+        while (to := self.step.get(state * _BYTES + ch)) is None and state:
+            state = self.fail[state]
+        to = to or 0
+        if len(self.step) >= self.compiled + STEPS:
+            for key in list(islice(reversed(self.step), STEPS)):
+                del self.step[key]
+        self.step[start * _BYTES + ch] = to
+        return to
 
     @classmethod
     def from_file(cls, path: str) -> MergeAutomaton:
@@ -98,7 +141,7 @@ class MergeAutomaton:
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the finished automaton has an arc from ``state`` by ``token``."""
-        key = (state, token)
+        key = state << 32 | token
         if (known := self.arcs.get(key)) is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
@@ -120,45 +163,27 @@ class MergeAutomaton:
                 before, token = came + 1, self.left[token]
 
     def encode_word(self, word: str) -> list[int]:
-        """The labels of the path that spells ``word``.
-
-        The longest arc goes first; where none leads on, a shorter one is tried
-        instead of the last.  A place that led nowhere is not entered again: a
-        prefix has one encoding, so whether a place can be left is known by then.
-        """
+        """The labels of the path that spells ``word``."""
         spelled = word.encode("utf-8", "surrogatepass").decode("latin-1")
         if self.suffix:
             spelled += _END
-        end, at, state, trie, arcs = len(spelled), 0, -1, self.trie, self.arcs
-        path, places, left, dead = [], [], [], set()
-        while at < end:
-            node, options = trie, []
-            for i in range(at, end):
-                if (node := node.get(spelled[i])) is None:
+        step, ends, arcs, state = self.step, self.ends, self.arcs, 0
+        token, size = [-1] * (len(spelled) + 1), [0] * (len(spelled) + 1)  # of the path to each place
+        for at, ch in enumerate(map(ord, spelled), 1):
+            key = state * _BYTES + ch
+            state = step[key] if key in step else self._follow(state, ch)
+            for t, n in ends[state]:
+                before = token[at - n]
+                if at == n or before >= 0 and ((known := arcs.get(before << 32 | t)) is None and self.arc(before, t) or known):
+                    token[at], size[at] = t, n
                     break
-                if "" in node:
-                    options.append((node[""], i + 1))
-            while True:
-                while options:
-                    token, to = options.pop()
-                    if to in dead:
-                        continue
-                    if state < 0 or ((known := arcs.get((state, token))) is None and self.arc(state, token)) or known:
-                        break
-                else:
-                    if not path:
-                        raise ValueError(f"no path spells {word!r}")
-                    dead.add(at)
-                    path.pop()
-                    at, options = places.pop(), left.pop()
-                    state = path[-1] if path else -1
-                    continue
-                break
-            path.append(token)
-            places.append(at)
-            left.append(options)
-            at, state = to, token
-        return path
+        path, at = [], len(spelled)
+        while at:
+            if token[at] < 0:
+                raise ValueError(f"no path spells {word!r}")
+            path.append(token[at])
+            at -= size[at]
+        return path[::-1]
 
 
 class Encoder(dict):
@@ -231,7 +256,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             batch[ids] = pd.Series([list(a) for a in found], index=batch.index, dtype=object)
             yield batch
 
-    return docs.mapInPandas(run, docs.withColumn(ids, F.array(F.lit(0))).schema)
+    return bounded_batches(docs).mapInPandas(run, docs.withColumn(ids, F.array(F.lit(0))).schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -245,7 +270,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", name
             batch[name] = pd.Series([None if x is None else " ".join(map(label, map(int, x))) for x in batch[ids]], index=batch.index, dtype=object)
             yield batch
 
-    return encoded.mapInPandas(run, encoded.withColumn(name, F.lit("")).schema)
+    return bounded_batches(encoded).mapInPandas(run, encoded.withColumn(name, F.lit("")).schema)
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +288,7 @@ def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             yield pd.DataFrame({key: batch[key], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
 
     out = docs.select(key).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")})
-    return docs.select(key, text).mapInPandas(run, out.schema)
+    return bounded_batches(docs.select(key, text)).mapInPandas(run, out.schema)
 
 
 def op9_bpe_automaton(spark, sf_dir):

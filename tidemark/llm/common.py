@@ -79,6 +79,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def reserved(df: DataFrame, *names: str) -> None:
+    """Refuses a table that has a column of one of these names already."""
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"the table has a column {', '.join(sorted(taken))} already")
+
+
+#: Rows and bytes that go to a Python worker at once, at most; a text beyond that goes alone.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Python workers no larger batches, so that their memory is bounded in bytes."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = df.sparkSession.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 _TABLES: dict[str, object] = {}
 
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, worker_table
+from tidemark.llm.common import bounded_batches, reserved, table, worker_table
 
 WINDOW = 10
 #: Most UTF-8 bytes of test items in one automaton; more items go to more automata, one after another.
-MAX_BLOCK_BYTES = 4_000_000
+MAX_BLOCK_BYTES = 1_000_000
 #: Words are made of these bytes of lower-cased UTF-8: digits, a-z and all beyond ASCII.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -175,14 +175,14 @@ def find_all(automaton: SuffixAutomaton, texts: list[str | None]) -> list[tuple[
     return [(n, joined(spans), items, longest) for n, spans, items, longest in out]
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items, in blocks of about ``max_bytes``, so that no broadcast or automaton outgrows a worker."""
+def item_blocks(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """The test items, in blocks of about ``max_bytes``, so that no broadcast or automaton outgrows a worker; whether a block is the last."""
     total = benchmark.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n = max(1, -(-total // max_bytes))
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("words"))
     for k in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
-        yield sorted(((r[0] if r[0] is not None else "", r[1]) for r in block.collect()), key=lambda r: (r[0], r[1] or ""))
+        yield sorted(((r[0] if r[0] is not None else "", r[1]) for r in block.collect()), key=lambda r: (r[0], r[1] or "")), k == n - 1
 
 
 def match_benchmark(
@@ -204,39 +204,62 @@ def match_benchmark(
     counts as the empty string.  Other columns pass through unchanged; ``_match``
     must not be among them.
     """
-    if "_match" in docs.columns:
-        raise ValueError("docs has a column _match already")
-    kind = T.StructType(
-        [
-            T.StructField("words", T.LongType()),
-            T.StructField("spans", T.ArrayType(T.LongType())),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("longest", T.LongType()),
-        ]
-    )
-    sc = docs.sparkSession.sparkContext
-    out = docs.withColumn("_match", F.lit(None).cast(kind))
-    for block in item_blocks(benchmark, item, item_text, max_block_bytes):
-        key = hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest()
-        sent = sc.broadcast(block)
-
-        def read(batches, sent=sent, key=key):
-            automaton = worker_table(f"suffix automaton {key} {window}", lambda: SuffixAutomaton.of(sent.value, window))
-            for batch in batches:
-                found = []
-                for (n, spans, items, longest), before in zip(find_all(automaton, batch[text].tolist()), batch["_match"]):
-                    if before is not None:
-                        old = np.asarray(before["spans"]).reshape(-1, 2).tolist()
-                        spans, longest = joined([*map(tuple, old), *map(tuple, spans)]), max(longest, before["longest"])
-                        items = items | set(before["items"])
-                    found.append({"words": n, "spans": [x for s in spans for x in s], "items": sorted(items), "longest": longest})
-                batch["_match"] = pd.Series(found, index=batch.index, dtype=object)
-                yield batch
-
-        out = out.mapInPandas(read, out.schema)
+    reserved(docs, "_match")
+    return _matched(docs, benchmark, window, text, item, item_text, max_block_bytes)
+
+
+def _matched(docs, benchmark, window, text, item, item_text, max_block_bytes, cut_from: int | None = None) -> DataFrame:
+    """With ``cut_from``, the match has one more field: rest, the text without the spans of that many words or more (null if it has none)."""
+    out, before = bounded_batches(docs), F.lit(None).cast(MATCH)
+    for block, last in item_blocks(benchmark, item, item_text, max_block_bytes):
+        kind = T.StructType([*MATCH.fields, T.StructField("rest", T.StringType())]) if last and cut_from is not None else MATCH
+        read = _reader(matcher(docs, block, window), kind.names, cut_from if kind != MATCH else None)
+        # only texts and earlier matches go to Python; counted as non-deterministic, it is never run twice
+        out = out.withColumn("_match", F.pandas_udf(read, kind).asNondeterministic()(F.col(text), before))
+        before = F.col("_match")
     return out
 
 
+def _reader(found, names: list[str], cut_from: int | None):
+    def read(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        values = texts.tolist()
+        rows = found(values, before)
+        if cut_from is not None:
+            long = [[(a, b) for a, b in zip(r[1][::2], r[1][1::2]) if b - a >= cut_from] for r in rows]
+            rows = [(*r, without(x, spans) if spans else None) for x, r, spans in zip(values, rows, long)]
+        return pd.DataFrame(rows, columns=names)
+
+    return read
+
+
+MATCH = T.StructType(
+    [
+        T.StructField("words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("longest", T.LongType()),
+    ]
+)
+
+
+def matcher(docs: DataFrame, block: list[tuple[str, str | None]], window: int):
+    """A function on texts and the matches of earlier blocks (a frame whose spans are null for none): their MATCH as tuples."""
+    key = hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(texts: list[str | None], before: pd.DataFrame) -> list[tuple]:
+        automaton = worker_table(f"suffix automaton {key} {window}", lambda: SuffixAutomaton.of(sent.value, window))
+        out = []
+        for (n, spans, items, longest), old, known, run_before in zip(find_all(automaton, texts), before["spans"], before["items"], before["longest"]):
+            if old is not None:
+                spans = joined([*map(tuple, np.asarray(old).reshape(-1, 2).tolist()), *map(tuple, spans)])
+                items, longest = items | set(known), max(longest, int(run_before))
+            out.append((n, [x for s in spans for x in s], sorted(items), longest))
+        return out
+
+    return run
+
+
 def hit_words(match: str = "_match"):
     """How many words the spans of a match cover."""
     places = F.col(f"{match}.spans")
@@ -246,27 +269,28 @@ def hit_words(match: str = "_match"):
 
 
 def remove_matches(
-    docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, min_span: int = 1, text: str = "text", **options
+    docs: DataFrame,
+    benchmark: DataFrame,
+    max_coverage: float = 0.5,
+    min_span: int = 1,
+    text: str = "text",
+    window: int = WINDOW,
+    item: str = "item_id",
+    item_text: str = "text",
+    max_block_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` without the hit spans of ``min_span`` words or more, and without documents of which such spans cover more than ``max_coverage``.
 
     The rest of a text stays as it is, character by character; a column n_chars
     follows the new text.  Options and special cases as in match_benchmark.
     """
-    matched = match_benchmark(docs, benchmark, text=text, **options)
-
-    def cut(batches):
-        for batch in batches:
-            keep, texts = [], []
-            for x, match in zip(batch[text], batch["_match"]):
-                flat = np.asarray(match["spans"]).reshape(-1, 2).tolist() if match is not None else []
-                spans = [(a, b) for a, b in flat if b - a >= min_span]
-                keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * match["words"])
-                texts.append(without(x, spans) if spans and keep[-1] else x)
-            batch[text] = pd.Series(texts, index=batch.index, dtype=object)
-            yield batch[keep]
-
-    out = matched.mapInPandas(cut, matched.schema).drop("_match")
+    reserved(docs, "_match")
+    found = _matched(docs, benchmark, window, text, item, item_text, max_block_bytes, min_span)
+    ends = F.col("_match.spans")
+    lengths = F.transform(ends, lambda x, i: F.when(i % 2 == 1, x - F.get(ends, i - 1)).otherwise(0))
+    n_cut = F.aggregate(F.filter(lengths, lambda n: n >= min_span), F.lit(0).cast("long"), lambda a, b: a + b)
+    out = found.where(F.col("_match.rest").isNull() | (n_cut <= max_coverage * F.col("_match.words")))
+    out = out.withColumn(text, F.coalesce("_match.rest", text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -19,8 +19,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import durable, table, worker_table
+from tidemark.llm.common import bounded_batches, durable, free_name, reserved, table, worker_table
 
 #: Hash buckets of the n-gram models: a broadcast of three arrays of 0.5 MB at any corpus size.
 BUCKETS = 1 << 16
@@ -108,7 +109,7 @@ def count_features(docs: DataFrame, text: str, fold: Column, folds: int, buckets
             yield pd.DataFrame({"fold": k, "bucket": some, "n": total[k][some]})
 
     rows = docs.select(F.col(text).alias("text"), fold.cast("int").alias("fold"))
-    got = rows.mapInPandas(run, "fold int, bucket int, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = bounded_batches(rows).mapInPandas(run, "fold int, bucket int, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((folds, buckets), np.int64)
     out[got["fold"], got["bucket"]] = got["n"]
     return out
@@ -264,28 +265,28 @@ def log_weights(docs: DataFrame, model: Model, text: str = "text", name: str = "
 
     Rows whose ``fold`` is 1 or 2 are weighed by the models without that fold.
     """
-    if {name, "_toxic"} & set(docs.columns):
-        raise ValueError(f"docs has a column {name} or _toxic already")
+    reserved(docs, name, "_toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    scores = T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def weigh(texts: pd.Series, folds: pd.Series) -> pd.DataFrame:
         tables = np.stack([sent.value.ratios, *sent.value.without])
-        for batch in batches:
-            texts = batch[text].tolist()
-            of = batch[fold].to_numpy() if fold else np.zeros(len(texts), np.int64)
-            out, toxic = [], []
-            for some in _pieces(texts):
-                place, codes = grams(texts[some])
-                n = len(texts[some])
-                sums = np.bincount(place, tables[of[some][place], bucket_of(codes, tables.shape[1])], n)
-                out += [float(s) if c else None for s, c in zip(sums, np.bincount(place, minlength=n))]
-                toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some]))
-            batch[name] = pd.Series(out, index=batch.index, dtype=object)
-            batch["_toxic"] = np.concatenate(toxic) if toxic else np.zeros(0)
-            yield batch
-
-    new = {name: F.lit(None).cast("double"), "_toxic": F.lit(None).cast("double")}
-    return docs.mapInPandas(run, docs.withColumns(new).schema)
+        values, of = texts.tolist(), folds.to_numpy()
+        weights, toxic = [np.zeros(0)], [np.zeros(0)]
+        for some in _pieces(values):
+            place, codes = grams(values[some])
+            n = len(values[some])
+            sums = np.bincount(place, tables[of[some][place], bucket_of(codes, tables.shape[1])], n)
+            weights.append(np.where(np.bincount(place, minlength=n) > 0, sums, np.nan))
+            toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some]))
+        return pd.DataFrame({"weight": np.concatenate(weights), "toxic": np.concatenate(toxic)})
+
+    # only the texts go to Python; as it counts as non-deterministic, no rule of the optimiser makes it run twice
+    udf = F.pandas_udf(weigh, scores).asNondeterministic()
+    found = free_name(docs, "_scores")
+    of = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
+    out = bounded_batches(docs).withColumn(found, udf(F.col(text), of))
+    return out.withColumns({name: F.nanvl(F.col(f"{found}.weight"), F.lit(None)), "_toxic": F.col(f"{found}.toxic")}).drop(found)
 
 
 def gumbel(seed: int, *keys: Column) -> Column:
@@ -370,6 +371,7 @@ def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "t
     together; an empty table gives no rows; other columns pass through, but none
     may be called _weight, _toxic, _kept, _first or _second.
     """
+    reserved(docs, "_kept", "_first", "_second")
     out = _keyed(log_weights(docs, drawn.model, text, "_weight"), key, drawn.seed)
     if drawn.bound is None:
         kept = F.lit(True) if drawn.threshold is None or drawn.k else F.lit(False)

@@ -9,18 +9,21 @@ what each rule adds to a policy comes from bitwise aggregation.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, table
+from tidemark.llm.common import bounded_batches, free_name, table
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+_UPPER, _LOWER, _BEYOND = regex.compile(r"\p{Lu}"), regex.compile(r"\p{Ll}"), re.compile(r"[^\x00-\x7F]+")
 _LINE_HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts")
@@ -64,6 +67,14 @@ POLICIES = (
 )
 
 
+def cases(text: str) -> tuple[int, int]:
+    """How many characters are of the classes Lu and Ll; ASCII is counted by deleting it from the bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    upper, lower = (len(raw) - len(raw.translate(None, x.encode())) for x in (string.ascii_uppercase, string.ascii_lowercase))
+    beyond = "".join(_BEYOND.findall(text)) if len(raw) > len(text) else ""
+    return upper + len(_UPPER.findall(beyond)), lower + len(_LOWER.findall(beyond))
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """MEASURES of one text; a null text has none of anything."""
     if not text:
@@ -85,8 +96,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             n_lines += 1
             n_dup += line in seen
             seen.add(line)
-    n_upper = sum(map(str.isupper, text))
-    n_letters = n_upper + sum(map(str.islower, text))
+    n_upper, n_lower = cases(text)
     return (
         len(words),
         sum(map(len, words)),
@@ -95,7 +105,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         repeated,
         n_lines,
         n_upper,
-        n_letters,
+        n_upper + n_lower,
         sum(w[-1] == "!" for w in words),
     )
 
@@ -121,7 +131,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Iter
             out.insert(0, key, batch[key])
             yield out
 
-    return docs.select(key, text).mapInPandas(run, fields.schema).withColumn("fail_bits", failure_bits(rules))
+    return bounded_batches(docs.select(key, text)).mapInPandas(run, fields.schema).withColumn("fail_bits", failure_bits(rules))
 
 
 def apply_policies(entries: DataFrame, policies: Iterable[Policy] = POLICIES, rules: Iterable[Rule] = RULES) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, free_name, table
 
-#: Sub-groups of a shard that get their slots independently.
-SLOT_BUCKETS = 1024
+#: Sub-groups of a shard that get their slots independently; rows of one beyond which it is split further.
+SLOT_BUCKETS, GROUP_ROWS = 1024, 500_000
 
 
 def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
@@ -45,22 +45,23 @@ def assign_shards(
     key: str = "doc_id",
     text: str = "text",
     slot_buckets: int = SLOT_BUCKETS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Shard, slot and size of every row.
 
     The text is scanned once, to its length and checksum; only these narrow rows
     are written and shuffled.  Slots: each shard falls into ``slot_buckets``
-    hashed sub-groups; a sub-group's slots begin after those of the groups
-    before it, so no task numbers a whole shard and slots have no gap.
+    hashed sub-groups, and a sub-group of more than ``group_rows`` rows, as of a
+    key that is repeated again and again, into parts by the place of its rows.  A
+    part's slots begin after those of the parts before it, so no task numbers a
+    whole shard or key and slots have no gap.
 
     Nulls: a null text has size 8 and checksum 0; rows with a null key share a
-    shard, but are spread over sub-groups by their text and place.  Repeated rows
-    each get a slot.  An empty table gives no rows.  Other columns of the input
-    are not carried.
+    shard.  Repeated rows each get a slot.  An empty table gives no rows.  Other
+    columns of the input, whatever their names, are not carried.
     """
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
     k = F.col(key)
-    spread = F.when(k.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(k))
     narrow = durable(
         docs.select(
             k.alias(key),
@@ -68,18 +69,23 @@ def assign_shards(
             F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             rendezvous_shard(k, weights).alias("shard"),
             (rendezvous_shard(k, grown_weights) if grown_weights else F.lit(None).cast("int")).alias("grown_shard"),
-            F.pmod(spread, F.lit(slot_buckets)).cast("int").alias("sub"),
+            F.pmod(F.xxhash64(k), F.lit(slot_buckets)).cast("int").alias("sub"),
         )
     )
-    # at most len(weights) * slot_buckets rows
-    counts = narrow.groupBy("shard", "sub").agg(F.count("*").alias("n"))
-    first = counts.select(
-        "shard", "sub", (F.sum("n").over(W.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("first")
-    )
-    within = W.partitionBy("shard", "sub").orderBy(key, "size", "text_crc32")
+    # at most len(weights) * slot_buckets rows, and one more for each group_rows rows of a large one
+    counts = durable(narrow.groupBy("shard", "sub").agg(F.count("*").alias("n")).withColumn("part", F.lit(0).cast("long")))
+    group = ["shard", "sub"]
+    large = counts.where(F.col("n") > group_rows).select("shard", "sub", F.ceil(F.col("n") / group_rows).alias("parts"))
+    if not large.isEmpty():
+        group = [*group, "part"]
+        parted = narrow.join(F.broadcast(large), ["shard", "sub"], "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
+        narrow = durable(parted.drop("parts"))
+        counts = narrow.groupBy(*group).agg(F.count("*").alias("n"))
+    first = counts.select(*group, (F.sum("n").over(W.partitionBy("shard").orderBy(*group[1:])) - F.col("n")).alias("first"))
+    within = W.partitionBy(*group).orderBy(key, "size", "text_crc32")
     return (
         narrow.withColumn("at", F.row_number().over(within) - 1)
-        .join(F.broadcast(first), ["shard", "sub"])
+        .join(F.broadcast(first), group)
         .select(
             key,
             "size",

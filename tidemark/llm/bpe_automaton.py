@@ -39,10 +39,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, worker_table
+from tidemark.llm.common import bounded_batches, table, tidied, tidy, worker_table
 
 #: Entries of a worker's tables of words and of arcs before they are emptied; steps by failure arcs that it adds to the table at most.
-WORDS, ARCS, STEPS = 150_000, 250_000, 100_000
+WORDS, ARCS, STEPS = 80_000, 120_000, 50_000
 #: Bytes, and _END.
 _BYTES = 257
 #: Stands for the tokenizer's end-of-word suffix inside a spelled word, whose other characters stand for single bytes.
@@ -233,6 +233,7 @@ def encoder(path: str) -> Encoder:
     def make() -> Encoder:
         built = Encoder(path)
         gc.collect()
+        tidy()
         gc.freeze()  # the automaton stays; the collector need not walk it again and again
         return built
 
@@ -256,7 +257,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             batch[ids] = pd.Series([list(a) for a in found], index=batch.index, dtype=object)
             yield batch
 
-    return bounded_batches(docs).mapInPandas(run, docs.withColumn(ids, F.array(F.lit(0))).schema)
+    return bounded_batches(docs).mapInPandas(tidied(run), docs.withColumn(ids, F.array(F.lit(0))).schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
@@ -270,7 +271,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", name
             batch[name] = pd.Series([None if x is None else " ".join(map(label, map(int, x))) for x in batch[ids]], index=batch.index, dtype=object)
             yield batch
 
-    return bounded_batches(encoded).mapInPandas(run, encoded.withColumn(name, F.lit("")).schema)
+    return bounded_batches(encoded).mapInPandas(tidied(run), encoded.withColumn(name, F.lit("")).schema)
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +289,7 @@ def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             yield pd.DataFrame({key: batch[key], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
 
     out = docs.select(key).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")})
-    return bounded_batches(docs.select(key, text)).mapInPandas(run, out.schema)
+    return bounded_batches(docs.select(key, text)).mapInPandas(tidied(run), out.schema)
 
 
 def op9_bpe_automaton(spark, sf_dir):

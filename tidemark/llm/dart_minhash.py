@@ -22,18 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, durable_with, table, worker_table
+from tidemark.llm.common import bounded_batches, durable, durable_with, free_name, table, tidied, tidy, worker_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
 BANDS, ROWS = 30, 6
 #: Rounds of comparing a bucket with one hub, before what is open is compared in blocks of so many nodes and characters.
-STAR_ROUNDS, BLOCK_NODES, BLOCK_CHARS = 1, 2048, 16_000_000
+STAR_ROUNDS, BLOCK_NODES, BLOCK_CHARS = 1, 1024, 6_000_000
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 200_000
 TOKENS = 150_000
 #: Strips of documents (8 bytes each) that a task of comparisons keeps.
-HELD_STRIPS = 4_000_000
+HELD_STRIPS = 2_000_000
 
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +170,7 @@ def sign(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = R
 
     known = F.coalesce(F.col(text), F.lit(""))
     rows_in = docs.select(F.col(key).alias("id"), F.md5(known.cast("binary")).alias("digest"), F.char_length(known).cast("long").alias("size"), known.alias("text"))
-    return rows_in.mapInPandas(run, rows_in.drop("text").withColumn("bands", F.array(F.lit(0).cast("long"))).schema)
+    return bounded_batches(rows_in).mapInPandas(tidied(run), rows_in.drop("text").withColumn("bands", F.array(F.lit(0).cast("long"))).schema)
 
 
 def files_for(df: DataFrame) -> int:
@@ -217,10 +217,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float,
             ok = [similarity(strips(a, x), strips(b, y)) >= least for a, x, b, y in zip(batch["a"], batch["text_a"], batch["b"], batch["text_b"])]
             yield batch.loc[ok, ["a", "b"]]
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(tidied(run), "a long, b long")
 
 
-def shared_strips(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def shared_strips(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """How many strips each of ``a`` shares with each of ``b``: products of 0-1 matrices, ``width`` strips at a time."""
     out = np.zeros((len(a), len(b)), np.float32)
     known, count = np.unique(np.concatenate([np.unique(np.concatenate(a)), np.unique(np.concatenate(b))]), return_counts=True)
@@ -268,7 +268,7 @@ def linked_in_blocks(met: DataFrame, n: int, nodes: DataFrame, texts: DataFrame,
         known = {x: strips_of(t, size) for x, t in zip(batch["node"], batch["text"])}
         a, b = [known[x] for x in asks["node"]], [known[x] for x in asked["node"]]
         both = shared_strips(a, b)
-        similar = both >= (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both) * np.float32(least) * (1 - 1e-6)
+        sizes = np.array([len(x) for x in b], np.float32)
         label, node = asked["label"].to_numpy(), asked["node"].to_numpy()
         up: dict[int, int] = {}
 
@@ -279,12 +279,15 @@ def linked_in_blocks(met: DataFrame, n: int, nodes: DataFrame, texts: DataFrame,
 
         out = []
         for k, (x, lab) in enumerate(zip(asks["node"], asks["label"])):
-            at = np.flatnonzero(similar[k])
-            for other, i in zip(*np.unique(label[at], return_index=True)):
-                p, q = top(lab), top(other)
-                if p != q and similarity(a[k], b[at[i]]) >= least:
+            # counts are whole numbers below 2 ** 24, so the products are exact; the ratio is taken again in doubles
+            maybe = np.flatnonzero(both[k] >= (len(a[k]) + sizes - both[k]) * np.float32(least * (1 - 1e-5)))
+            for i in maybe.tolist():
+                p, q = top(lab), top(label[i])
+                if p != q and similarity(a[k], b[i]) >= least:
                     up[p] = q
-                    out.append((x, node[at[i]]))
+                    out.append((x, node[i]))
+        del known, a, b, both
+        tidy()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
@@ -384,9 +387,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows that repeat key and text are one document and stay or go together.
     """
     found = near_duplicate_classes(docs, key, text, **options)
-    gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_id"), F.col("digest").alias("_digest")).distinct()
+    a, b = free_name(docs, "_id"), free_name(docs, "_digest")
+    gone = found.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(a), F.col("digest").alias(b)).distinct()
     gone, seen = durable_with(gone, files_for(docs), n=F.count("*"))
-    same = docs[key].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("_digest"))
+    same = docs[key].eqNullSafe(F.col(a)) & (F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col(b))
     return docs.join(F.broadcast(gone) if seen["n"] <= BROADCAST_ROWS else gone, same, "left_anti")
 
 

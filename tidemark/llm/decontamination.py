@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, reserved, table, worker_table
+from tidemark.llm.common import bounded_batches, reserved, table, tidy, worker_table
 
 WINDOW = 10
 #: Most UTF-8 bytes of test items in one automaton; more items go to more automata, one after another.
@@ -227,6 +227,7 @@ def _reader(found, names: list[str], cut_from: int | None):
         if cut_from is not None:
             long = [[(a, b) for a, b in zip(r[1][::2], r[1][1::2]) if b - a >= cut_from] for r in rows]
             rows = [(*r, without(x, spans) if spans else None) for x, r, spans in zip(values, rows, long)]
+        tidy()
         return pd.DataFrame(rows, columns=names)
 
     return read

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded_batches, table, tidied
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"""
@@ -321,7 +321,7 @@ def extract_main_text(pages: DataFrame, weights: Weights, html_column: str = "ht
             batch[name] = pd.Series(texts, index=batch.index, dtype=object)
             yield batch
 
-    return pages.mapInPandas(run, pages.withColumn(name, F.lit("")).schema)
+    return bounded_batches(pages).mapInPandas(tidied(run), pages.withColumn(name, F.lit("")).schema)
 
 
 def op6_tree_marginals(spark, sf_dir, training_pages=600):

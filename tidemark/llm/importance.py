@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, durable, free_name, reserved, table, worker_table
+from tidemark.llm.common import bounded_batches, durable, free_name, reserved, table, tidied, tidy, worker_table
 
 #: Hash buckets of the n-gram models: a broadcast of three arrays of 0.5 MB at any corpus size.
 BUCKETS = 1 << 16
@@ -38,7 +38,7 @@ TOXIC_PRIOR, STRONGEST, TOXIC_LOSS = 1.0, 3, 0.001
 #: Bits of a key that one pass of the search for the k-th key counts by.
 RADIX_BITS = 16
 #: Tokens whose codes a worker keeps.
-CODES = 150_000
+CODES = 120_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -103,13 +103,13 @@ def count_features(docs: DataFrame, text: str, fold: Column, folds: int, buckets
             texts, of = batch["text"].tolist(), batch["fold"].to_numpy()
             for some in _pieces(texts):
                 place, found = features(texts[some], buckets)
-                np.add.at(total, (of[some][place], found), 1)
+                total += np.bincount(of[some][place] * buckets + found, minlength=total.size).reshape(total.shape)
         for k in range(folds):
             some = np.flatnonzero(total[k])
             yield pd.DataFrame({"fold": k, "bucket": some, "n": total[k][some]})
 
     rows = docs.select(F.col(text).alias("text"), fold.cast("int").alias("fold"))
-    got = bounded_batches(rows).mapInPandas(run, "fold int, bucket int, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = bounded_batches(rows).mapInPandas(tidied(run), "fold int, bucket int, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((folds, buckets), np.int64)
     out[got["fold"], got["bucket"]] = got["n"]
     return out
@@ -166,11 +166,20 @@ def with_folds(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(folds), key, "left").withColumn("_fold", F.coalesce("_fold", F.lit(0)))
 
 
-def found_in(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``codes`` are in the table, and the places there of those that are."""
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    found = sorted_codes[at] == codes
-    return found, at[found]
+def sketch(sorted_codes: np.ndarray) -> np.ndarray:
+    """Whether any code begins with certain 20 bits: what most other codes are told apart by."""
+    out = np.zeros(1 << 20, bool)
+    out[sorted_codes >> np.uint64(44)] = True
+    return out
+
+
+def found_in(sorted_codes: np.ndarray, codes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of those of ``codes`` that are in the table, and the places there."""
+    maybe = np.flatnonzero(heads[codes >> np.uint64(44)])
+    some = codes[maybe]
+    at = np.minimum(np.searchsorted(sorted_codes, some), len(sorted_codes) - 1)
+    found = sorted_codes[at] == some
+    return maybe[found], at[found]
 
 
 def fit_toxic(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxic | None:
@@ -195,7 +204,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxic
                 yield pairs.groupby(["fold", "code"]).size().reset_index(name="n")[["fold", "code", "n"]]
 
     by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2)]
-    counted = labelled(toxic).mapInPandas(per_document, "fold int, code long, n long").groupBy("code").agg(*by_fold)
+    counted = labelled(toxic).mapInPandas(tidied(per_document), "fold int, code long, n long").groupBy("code").agg(*by_fold)
     often = counted.where(F.col("n1") + F.col("n2") >= TOXIC_SUPPORT)
     top = often.orderBy((F.col("n1") + F.col("n2")).desc(), "code").limit(TOXIC_GRAMS).toPandas()
     if top.empty:
@@ -206,19 +215,19 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Toxic
     sent = docs.sparkSession.sparkContext.broadcast(codes)
 
     def among(batches: Iterable[pd.DataFrame]):
-        total = np.zeros((2, len(sent.value)), np.int64)
+        total, heads = np.zeros((2, len(sent.value)), np.int64), sketch(sent.value)
         for batch in batches:
             texts, of = batch["text"].tolist(), batch["fold"].to_numpy() - 1
             for some in _pieces(texts):
                 place, found = grams(texts[some])
-                known, at = found_in(sent.value, found)
+                known, at = found_in(sent.value, found, heads)
                 pairs = np.unique(place[known] * len(sent.value) + at)
                 np.add.at(total, (of[some][pairs // len(sent.value)], pairs % len(sent.value)), 1)
         for k in (0, 1):
             some = np.flatnonzero(total[k])
             yield pd.DataFrame({"fold": k, "at": some, "n": total[k][some]})
 
-    got = labelled(target).mapInPandas(among, "fold int, at int, n long").groupBy("fold", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = labelled(target).mapInPandas(tidied(among), "fold int, at int, n long").groupBy("fold", "at").agg(F.sum("n").alias("n")).toPandas()
     g = np.zeros((2, len(codes)))
     g[got["fold"], got["at"]] = got["n"]
     sizes = {(r["toxic"], r["fold"]): r["count"] for r in labelled_sizes(docs, key, toxic, target)}
@@ -237,11 +246,11 @@ def labelled_sizes(docs: DataFrame, key: str, toxic: DataFrame, target: DataFram
     return docs.select(key).join(F.broadcast(both), key).groupBy("toxic", F.col("_fold").alias("fold")).count().collect()
 
 
-def toxic_scores(place: np.ndarray, codes: np.ndarray, n: int, toxic: Toxic | None, of: np.ndarray) -> np.ndarray:
-    """For each of ``n`` texts the sum of its STRONGEST highest positive ratios, each n-gram once."""
+def toxic_scores(place: np.ndarray, codes: np.ndarray, n: int, toxic: Toxic | None, of: np.ndarray, heads: np.ndarray | None) -> np.ndarray:
+    """``heads`` is the sketch of the table.  For each of ``n`` texts the sum of its STRONGEST highest positive ratios, each n-gram once."""
     if toxic is None:
         return np.zeros(n)
-    known, at = found_in(toxic.grams, codes)
+    known, at = found_in(toxic.grams, codes, heads)
     place = place[known]
     values = toxic.ratios[of[place], at]
     place, at, values = place[values > 0], at[values > 0], values[values > 0]
@@ -272,13 +281,15 @@ def log_weights(docs: DataFrame, model: Model, text: str = "text", name: str = "
     def weigh(texts: pd.Series, folds: pd.Series) -> pd.DataFrame:
         tables = np.stack([sent.value.ratios, *sent.value.without])
         values, of = texts.tolist(), folds.to_numpy()
+        heads = sketch(sent.value.toxic.grams) if sent.value.toxic else None
         weights, toxic = [np.zeros(0)], [np.zeros(0)]
         for some in _pieces(values):
             place, codes = grams(values[some])
             n = len(values[some])
             sums = np.bincount(place, tables[of[some][place], bucket_of(codes, tables.shape[1])], n)
             weights.append(np.where(np.bincount(place, minlength=n) > 0, sums, np.nan))
-            toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some]))
+            toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some], heads))
+        tidy()
         return pd.DataFrame({"weight": np.concatenate(weights), "toxic": np.concatenate(toxic)})
 
     # only the texts go to Python; as it counts as non-deterministic, no rule of the optimiser makes it run twice
@@ -338,24 +349,35 @@ class Draw:
     most_toxic: float | None = None
 
 
-def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", loss: float = LOSS, seed: int = 7) -> Draw:
-    """Fits the models, weighs all rows, and finds the k-th key of Gumbel top-k.
+def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", loss: float = LOSS, seed: int = 7, carry: list[str] | None = None) -> tuple[DataFrame, Draw]:
+    """``docs`` (or its columns ``carry``) with _weight and _kept, written, and what decides.
 
+    Fits the models, weighs all rows, and finds the k-th key of Gumbel top-k.
     k is the number of rows that weigh as much as all but ``loss`` of the
     labelled target documents, each weighed by a model that has not seen it.
     Rows with a toxic score above that of all but TOXIC_LOSS of these documents
     are not drawn from.
+
+    Null and empty texts, and texts of white space, are never drawn.  Without
+    target labels all other rows are.  Rows with the same key and text are drawn
+    together; an empty table gives no rows; other columns pass through, but none
+    may be called _weight, _toxic, _kept, _first or _second.
     """
+    reserved(docs, "_weight", "_toxic", "_kept", "_first", "_second")
+    carry = docs.columns if carry is None else carry
     model = fit(docs, labels, key, text)
     folded = with_folds(docs.select(key, text), labels, key)
     weighed = log_weights(folded.where("_fold > 0"), model, text, "held", "_fold")
     held, most_toxic = weighed.agg(F.percentile("held", F.lit(loss)), F.percentile("_toxic", F.lit(1 - TOXIC_LOSS))).first()
+    weighed = _keyed(log_weights(docs, model, text, "_weight"), key, seed)
+    scored = durable(weighed.select(*carry, "_weight", "_toxic", "_first", "_second"))
     if held is None:  # nothing is labelled as target: nothing can be told apart
-        return Draw(model, None, 0, None, seed)
-    scored = durable(_keyed(log_weights(docs.select(key, text), model, text, "_weight"), key, seed).drop(text))
-    scored = scored.where(F.col("_toxic") <= most_toxic)
-    k = scored.where(F.col("_weight") >= held).count()
-    return Draw(model, held, k, kth(scored.where("_weight IS NOT NULL"), "_first", "_second", k), seed, most_toxic)
+        drawn = Draw(model, None, 0, None, seed)
+    else:
+        clean = scored.where(F.col("_toxic") <= most_toxic).select("_weight", "_first", "_second")
+        k = clean.where(F.col("_weight") >= held).count()
+        drawn = Draw(model, held, k, kth(clean.where("_weight IS NOT NULL"), "_first", "_second", k), seed, most_toxic)
+    return _marked(scored, drawn), drawn
 
 
 def _keyed(weighed: DataFrame, key: str, seed: int) -> DataFrame:
@@ -363,16 +385,7 @@ def _keyed(weighed: DataFrame, key: str, seed: int) -> DataFrame:
     return weighed.withColumns({"_first": first, "_second": second})
 
 
-def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with _weight and _kept; a map: the weights come from the model again rather than by a join.
-
-    Null and empty texts, and texts of white space, are never drawn.  Without
-    target labels all other rows are.  Rows with the same key and text are drawn
-    together; an empty table gives no rows; other columns pass through, but none
-    may be called _weight, _toxic, _kept, _first or _second.
-    """
-    reserved(docs, "_kept", "_first", "_second")
-    out = _keyed(log_weights(docs, drawn.model, text, "_weight"), key, drawn.seed)
+def _marked(scored: DataFrame, drawn: Draw) -> DataFrame:
     if drawn.bound is None:
         kept = F.lit(True) if drawn.threshold is None or drawn.k else F.lit(False)
     else:
@@ -380,18 +393,24 @@ def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "t
         kept = (F.col("_first") > a) | ((F.col("_first") == a) & (F.col("_second") >= b))
     if drawn.most_toxic is not None:
         kept = kept & (F.col("_toxic") <= drawn.most_toxic)
-    return out.withColumn("_kept", F.col("_weight").isNotNull() & F.coalesce(kept, F.lit(False))).drop("_first", "_second", "_toxic")
+    return scored.withColumn("_kept", F.col("_weight").isNotNull() & F.coalesce(kept, F.lit(False))).drop("_first", "_second", "_toxic")
+
+
+def apply_draw(docs: DataFrame, drawn: Draw, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with _weight and _kept by a draw made before, perhaps from other rows; a map.  Special cases as in ``draw``."""
+    reserved(docs, "_kept", "_first", "_second")
+    return _marked(_keyed(log_weights(docs, drawn.model, text, "_weight"), key, drawn.seed), drawn)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that Gumbel top-k draws, with their columns as they are."""
-    return apply_draw(docs, draw(docs, labels, key, text, **options), key, text).where("_kept").select(*docs.columns)
+    return draw(docs, labels, key, text, **options)[0].where("_kept").select(*docs.columns)
 
 
 def op2_importance_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = draw(docs, table(spark, sf_dir, "labels"))
-    return apply_draw(docs, drawn).select(
+    marked, drawn = draw(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return marked.select(
         "doc_id",
         F.round("_weight", 6).alias("log_weight"),
         F.lit(drawn.k).cast("long").alias("k"),

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, free_name, table
+from tidemark.llm.common import bounded_batches, free_name, table, tidied
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -131,7 +131,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Iter
             out.insert(0, key, batch[key])
             yield out
 
-    return bounded_batches(docs.select(key, text)).mapInPandas(run, fields.schema).withColumn("fail_bits", failure_bits(rules))
+    return bounded_batches(docs.select(key, text)).mapInPandas(tidied(run), fields.schema).withColumn("fail_bits", failure_bits(rules))
 
 
 def apply_policies(entries: DataFrame, policies: Iterable[Policy] = POLICIES, rules: Iterable[Rule] = RULES) -> DataFrame:

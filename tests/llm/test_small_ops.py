@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_automaton, decontamination, rule_ledger, sharding, token_counts
 
@@ -29,14 +31,20 @@ def word_path():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def library(path):
+    return Tokenizer.from_file(path)
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_automaton_encodes_like_the_library(text):
-    e = bpe_automaton.encoder(public_tokenizers.path("word_bpe_49k.json"))
-    want = e.library.encode(text, add_special_tokens=False).ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, lib = bpe_automaton.encoder(path), library(path)
+    want = lib.encode(text, add_special_tokens=False).ids
     got = np.frombuffer(b"".join(x[0] for x in e.encode(text)), "<u4").tolist()
     assert got == want
-    assert " ".join(x[2] for x in e.encode(text)) == e.library.decode(want, skip_special_tokens=False)
+    assert " ".join(x[2] for x in e.encode(text)) == lib.decode(want, skip_special_tokens=False)
 
 
 def test_gadgets_by_hand():
@@ -70,7 +78,7 @@ def test_random_merges_against_repeated_merging():
 def test_digests_and_round_trip(spark, word_path):
     texts = [*ODD, None, ODD[3]]
     got = {r["doc_id"]: r for r in bpe_automaton.digest_documents(docs(spark, texts), word_path).collect()}
-    lib = bpe_automaton.encoder(word_path).library
+    lib = library(word_path)
     for i, t in enumerate(texts):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches, table, tidied, tidy, worker_table
 
 #: Entries of a worker's tables of words and of arcs before they are emptied; steps by failure arcs that it adds to the table at most.
-WORDS, ARCS, STEPS = 80_000, 120_000, 50_000
+WORDS, ARCS, STEPS = 160_000, 250_000, 50_000
 #: Bytes, and _END.
 _BYTES = 257
 #: Stands for the tokenizer's end-of-word suffix inside a spelled word, whose other characters stand for single bytes.
@@ -79,50 +79,52 @@ class MergeAutomaton:
         self.arcs: dict[int, bool] = {}
 
     def _compile(self, vocabulary: dict[str, int]) -> None:
-        """The table of steps by byte; states are numbered from the start, 0, in order of depth."""
+        """The table of steps by byte.  States are numbered from the start, 0, as they come, and stored times _BYTES."""
         spelled = {i: self._spelled(text) for text, i in vocabulary.items() if i not in self.never}
         step: dict[int, int] = {}
         depth, own, came = [0], [-1], [(0, 0)]
         for i, text in sorted(spelled.items(), key=lambda x: len(x[1])):
             state = 0
-            for ch in text:
-                key = state * _BYTES + ord(ch)
-                if (to := step.get(key)) is None:
-                    step[key] = to = len(depth)
-                    depth.append(depth[state] + 1)
+            for ch in map(ord, text):
+                if (to := step.get(state + ch)) is None:
+                    step[state + ch] = to = len(depth) * _BYTES
+                    depth.append(depth[state // _BYTES] + 1)
                     own.append(-1)
-                    came.append((state, ord(ch)))
+                    came.append((state, ch))
                 state = to
-            own[state] = i
-        self.step, self.fail = step, array("i", [0]) * len(depth)
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(depth)
-        for state in sorted(range(1, len(depth)), key=depth.__getitem__):
-            above, ch = came[state]
+            own[state // _BYTES] = i
+        self.step, self.fail, self.compiled = step, array("q", [0]) * len(depth), len(step)
+        self.sizes = array("i", [0]) * (1 + max(self.label))
+        #: By state the tokens that end there, the longest first.
+        self.ends: list[tuple[int, ...]] = [()] * len(depth)
+        for k in sorted(range(1, len(depth)), key=depth.__getitem__):
+            above, ch = came[k]
             fail = 0
             while above:
-                above = self.fail[above]
-                if (fail := step.get(above * _BYTES + ch, 0)) or not above:
+                above = self.fail[above // _BYTES]
+                if (fail := step.get(above + ch, 0)) or not above:
                     break
-            self.fail[state] = fail
-            self.ends[state] = ((own[state], depth[state]), *self.ends[fail]) if own[state] >= 0 else self.ends[fail]
-        self.compiled = len(step)
+            self.fail[k] = fail
+            self.ends[k] = self.ends[fail // _BYTES]
+            if own[k] >= 0:
+                self.sizes[own[k]] = depth[k]
+                self.ends[k] = (own[k], *self.ends[k])
 
     def _follow(self, state: int, ch: int) -> int:
         """A step that the table lacks, by failure arcs; it is added, and such steps are dropped when there are too many."""
         start = state
-        while (to := self.step.get(state * _BYTES + ch)) is None and state:
-            state = self.fail[state]
+        while (to := self.step.get(state + ch)) is None and state:
+            state = self.fail[state // _BYTES]
         to = to or 0
         if len(self.step) >= self.compiled + STEPS:
             for key in list(islice(reversed(self.step), STEPS)):
                 del self.step[key]
-        self.step[start * _BYTES + ch] = to
+        self.step[start + ch] = to
         return to
 
     @classmethod
-    def from_file(cls, path: str) -> MergeAutomaton:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def of_model(cls, model: dict) -> MergeAutomaton:
+        """``model`` as in a tokenizer file."""
         return cls(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
 
     def _add_gadget(self, k: int, a: str, b: str, vocabulary: dict[str, int]) -> None:
@@ -164,26 +166,32 @@ class MergeAutomaton:
 
     def encode_word(self, word: str) -> list[int]:
         """The labels of the path that spells ``word``."""
-        spelled = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        spelled = [*word.encode("utf-8", "surrogatepass")]
         if self.suffix:
-            spelled += _END
-        step, ends, arcs, state = self.step, self.ends, self.arcs, 0
-        token, size = [-1] * (len(spelled) + 1), [0] * (len(spelled) + 1)  # of the path to each place
-        for at, ch in enumerate(map(ord, spelled), 1):
-            key = state * _BYTES + ch
-            state = step[key] if key in step else self._follow(state, ch)
-            for t, n in ends[state]:
-                before = token[at - n]
-                if at == n or before >= 0 and ((known := arcs.get(before << 32 | t)) is None and self.arc(before, t) or known):
-                    token[at], size[at] = t, n
+            spelled.append(_BYTES - 1)
+        step, ends, arcs, sizes, state, at = self.step, self.ends, self.arcs, self.sizes, 0, 0
+        tokens = [-1]  # the last token of the path to each place
+        put = tokens.append
+        for ch in spelled:
+            at += 1
+            if (to := step.get(state + ch)) is None:
+                to = self._follow(state, ch)
+            state = to
+            for t in ends[state // _BYTES]:
+                n = sizes[t]
+                if n == at or (known := arcs.get(tokens[at - n] << 32 | t)) or known is None and tokens[at - n] >= 0 and self.arc(tokens[at - n], t):
+                    put(t)
                     break
-        path, at = [], len(spelled)
+            else:
+                put(-1)
+        path = []
         while at:
-            if token[at] < 0:
+            if (t := tokens[at]) < 0:
                 raise ValueError(f"no path spells {word!r}")
-            path.append(token[at])
-            at -= size[at]
-        return path[::-1]
+            path.append(t)
+            at -= sizes[t]
+        path.reverse()
+        return path
 
 
 class Encoder(dict):
@@ -191,19 +199,26 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, tuple[bytes, int, str]] = {}
         from tokenizers import Tokenizer
 
-        self.automaton = MergeAutomaton.from_file(path)
-        self.library = Tokenizer.from_file(path)  # for its normaliser and splitter on uncommon characters
-        decoder = self.library.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in decoder.items()}
-        self.labels = self.automaton.label | {i: t.content for i, t in decoder.items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.automaton = MergeAutomaton.of_model(spec["model"])
+        self.labels = self.automaton.label
+        self.labels.update((i, t) for t, i in self.special.items())
+        # the library's normaliser and splitter, for uncommon characters, without its model
+        bare = {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}, "post_processor": None, "decoder": None, "truncation": None, "padding": None}
+        self.library = Tokenizer.from_str(json.dumps(spec | bare))
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def __missing__(self, word: str) -> tuple[bytes, int, str]:
-        if len(self) >= WORDS:
+        """Words live in two generations: when the younger is full it becomes the older, and words met again come back from there."""
+        if len(self) >= WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = self._entry(self.automaton.encode_word(word))
+        self[word] = out = self.older.get(word) or self._entry(self.automaton.encode_word(word))
         return out
 
     def _entry(self, ids: list[int]) -> tuple[bytes, int, str]:

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -289,6 +290,14 @@ def test_entities_and_blanks(weights):
     assert html_tree.extract([page], weights) == [["A & B C", "one two threefour<5", "Next. © it, is; here."]]
 
 
+def test_references_stay_within_a_piece_and_time_is_linear(weights):
+    assert html_tree.parse("<p>&l<b>t;</b> &lt; &#x1F600;").text[-1] == "&lt; < 😀"
+    for piece in ("<svg/>", '<a b="', "<p title='", "<!-- ", "<![CDATA[>", "&amp", "</x>", "<b><i>"):
+        start = time.process_time()
+        html_tree.parse(piece * 40_000)
+        assert time.process_time() - start < 8, piece
+
+
 # --- 4: tool calls
 
 
@@ -344,6 +353,88 @@ def test_schemas():
     assert wrong({"n": 1, "t": ["y", "x"]}) == ["$.t: number of items", "$.t[0]: not one of the listed values"] and wrong([]) == ["$: not object"]
 
 
+def brute_link(rows):
+    """(conv, turn, idx) -> (kind, call_id, level, status) for whole conversations of readable calls and results."""
+    out, found = {}, {}
+    for conv, turn, role, text in rows:
+        for i, e in enumerate(tool_calls.read_events(text, role, tool_calls.SCHEMAS)):
+            found.setdefault(conv, []).append((turn, i, e))
+    for conv, events in found.items():
+        events.sort(key=lambda x: x[:2])
+        first = {}
+        for t, i, e in events:
+            if e.get("call_id"):
+                first.setdefault((e["kind"], e["call_id"]), (t, i, e))
+        calls = {c: x for (k, c), x in first.items() if k == "call"}
+        results = {c: x for (k, c), x in first.items() if k == "result"}
+
+        def level(c, seen=()):
+            if c in seen:
+                return None
+            below = [level(r, (*seen, c)) for r in calls[c][2]["refs"] if r in calls]
+            return None if None in below else max([x + 1 for x in below], default=0)
+
+        for t, i, e in events:
+            c, kind = e.get("call_id"), e["kind"]
+            own = level(c) if c in calls else None
+            if kind == "message":
+                state = "ok"
+            elif c is None:
+                state = "unreadable"
+            elif first[kind, c][:2] != (t, i):
+                state = "duplicate"
+            elif kind == "call" and own is None:
+                state = "cycle"
+            elif kind == "call" and e["problems"]:
+                state = "invalid"
+            elif c not in results:
+                state = "no_result"
+            elif c not in calls:
+                state = "no_call"
+            else:
+                state = "early" if results[c][:2] < calls[c][:2] else "ok"
+            out[conv, t, i] = (kind, c, own if kind == "call" else None, state)
+    return out
+
+
+@pytest.mark.parametrize("one_pass", [20_000, 12])
+def test_linking_by_brute_force(spark, one_pass):
+    r = random.Random(5)
+    rows = []
+    for conv in range(30):
+        n = 120 if conv == 0 else r.randint(1, 12)  # one conversation holds a third of all
+        for turn in range(n):
+            text = "so " * r.randint(0, 2)
+            for _ in range(r.randint(0, 2)):
+                i = r.randint(0, 2 * n)
+                ref = {"$ref": str(r.randint(max(0, i - 5), i + (r.random() < 0.1)))}
+                text += call(str(i), **r.choice([{"query": "x"}, {"query": ref}, {"query": ref, "limit": 2}, {"limit": 0}]))
+            for _ in range(r.randint(0, 2)):
+                text += result(str(r.randint(0, 2 * n))) + ("<tool_result>[]</tool_result>" if r.random() < 0.1 else "")
+            rows.append((conv, turn, r.choice(["user", "assistant", "tool"]), text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"level": F.lit("clash"), "uid": F.lit(1), "json": F.lit(2)})
+    got = tool_calls.link_tool_calls(df.repartition(7), one_pass=one_pass).collect()
+    assert {(x["conv_id"], x["turn"], x["idx"]): (x["kind"], x["call_id"], x["level"], x["status"]) for x in got} == brute_link(rows)
+    for conv in range(30):
+        seen = set()
+        for x in sorted((x for x in got if x["conv_id"] == conv and x["kind"] != "message" and x["call_id"]), key=lambda x: x["place"]):
+            seen.add((x["kind"], x["call_id"], x["turn"]))
+            if x["kind"] == "result" and x["status"] == "ok":
+                assert any((c["kind"], c["call_id"]) == ("call", x["call_id"]) and ("call", x["call_id"], c["turn"]) in seen for c in got if c["conv_id"] == conv)
+
+
+def test_unreadable_json_does_not_stop_the_job(spark, tmp_path):
+    deep = "[" * 1500 + "]" * 1500
+    bodies = ['{"id": "a", "name": "search", "arguments": {"query": "\\ud800"}}', '{"id": "b", "arguments": ' + deep + "}", '{"id": "c", "arguments": ' + "[" * 70 + "]" * 70 + "}", '{"id": ' + "9" * 6000 + "}", '{"id": "d", "content": "\\ud83d\\ude00"}']
+    rows = [(1, i, "assistant", f"<tool_result>{b}</tool_result>") for i, b in enumerate(bodies)]
+    got = {x["turn"]: x for x in link(spark, rows) if x["kind"] == "result"}
+    assert [got[i]["status"] for i in range(5)] == ["unreadable"] * 4 + ["no_call"] and "😀" in got[4]["json"]
+    df = spark.createDataFrame(rows[4:] + [(0, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    tool_calls.write_conversations(tool_calls.link_tool_calls(df), str(tmp_path / "out"), 1)
+    lines = [x["value"] for x in spark.read.text(str(tmp_path / "out")).collect()]
+    assert lines == ['{"content":"hi","role":"user"}', '{"content":"","role":"assistant"}', '{"content":"😀","id":"d"}']
+
+
 def test_levels_of_a_long_chain(spark):
     text = "".join(call(str(i), query={"$ref": str(i + 1)}) for i in range(6)) + call("6", query="x")
     got = {r["call_id"]: r["level"] for r in link(spark, [(1, 0, "assistant", text)]) if r["kind"] == "call"}

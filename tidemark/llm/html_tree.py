@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches, table, tidied
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"""
+    r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.{0,4096}?\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"""
     r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"""
-    r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""",
+    r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+|[^>]*)>""",
     re.DOTALL,
 )
+_UNENDED = re.compile(r"<[a-zA-Z!?/]")
 _NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -110,7 +111,7 @@ def parse(page: str | None) -> Tree:
     def flush():
         nonlocal links
         if run:
-            text = " ".join(html.unescape("".join(t for t, _ in run)).split())
+            text = " ".join("".join(html.unescape(t) for t, _ in run).split())
             if text:
                 body()
                 tree.add("#text", stack[-1], [], text, sum(len(t) for t, a in run if a))
@@ -129,15 +130,16 @@ def parse(page: str | None) -> Tree:
         links = 0
 
     at, page = 0, page or ""
-    while m := _TOKEN.search(page, at):
+    limit = page.rfind(">") + 1  # beyond it no tag ends
+    while m := _TOKEN.search(page, at, limit):
         if m.start() > at:
             run.append((page[at : m.start()], links > 0))
         at = m.end()
         if name := m["tag"]:
             name = name.lower()
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
                 if not m["attrs"].rstrip().endswith("/") or name not in ("svg", "math"):
+                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
                     at = end.end() if end else len(page)
             elif name in INLINE:
                 links += name == "a" and links == 0
@@ -176,8 +178,8 @@ def parse(page: str | None) -> Tree:
                         break
                 else:
                     flush()
-    if at < len(page):
-        run.append((page[at:], links > 0))
+    if at < len(page):  # browsers drop a tag that never ends
+        run.append((_UNENDED.split(page[at:], 1)[0], links > 0))
     flush()
     return tree
 

@@ -13,14 +13,14 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
+from tidemark.llm.common import bounded_batches, durable, durable_with, table, tidied
 
 _EVENT = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.DOTALL)
 _EVENTS = (
@@ -32,6 +32,10 @@ SCHEMAS: dict[str, dict] = {
     "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
 }
+#: Nesting of a call's or result's JSON beyond which it is unreadable.
+MAX_DEPTH = 64
+#: Conversations of so many references at most are ordered in one pass; longer ones level by level, by joins.
+ONE_PASS = 20_000
 #: The registry of schemas goes to every worker; a larger one is refused.
 MAX_SCHEMA_BYTES = 8_000_000
 
@@ -62,7 +66,20 @@ def _finite(text: str) -> float:
 
 
 def read_json(text: str) -> object:
-    return json.loads(text, parse_constant=_no_constants, parse_float=_finite)
+    """Refuses (ValueError) what is no JSON, not finite, nested deeper than MAX_DEPTH, or not writable as UTF-8 (lone surrogates)."""
+    try:
+        value = json.loads(text, parse_constant=_no_constants, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(MAX_DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            break
+    else:
+        raise ValueError("nested too deep")
+    canonical(value).encode()  # a lone surrogate is a UnicodeEncodeError, which is a ValueError
+    return value
 
 
 _TYPES = {
@@ -133,7 +150,7 @@ def read_events(text: str | None, role: str | None, schemas: Mapping[str, Mappin
             value = read_json(raw)
             if not isinstance(value, dict) or not isinstance(value.get("id"), (str, int)) or isinstance(value.get("id"), bool):
                 raise ValueError("no id")
-        except (ValueError, RecursionError):
+        except ValueError:
             out.append({"kind": kind, "body": canonical({"raw": raw}), "problems": ["unreadable"], "refs": []})
             continue
         event |= {"kind": kind, "call_id": str(value["id"])}
@@ -168,75 +185,129 @@ def message_events(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataF
             yield out.astype({"conv_id": batch["conv_id"].dtype, "turn": "Int64"}) if len(out) else out
 
     kept = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return kept.mapInPandas(run, _EVENTS.format(key=key))
-
-
-def topological_levels(calls: DataFrame) -> DataFrame:
+    return bounded_batches(kept).mapInPandas(tidied(run), _EVENTS.format(key=key))
+
+
+def levels_of(edges: list[tuple[str, str]]) -> dict[str, int | None]:
+    """Level of each call of one conversation in (call, ref) pairs, None in or behind a cycle."""
+    waiting, users, level = defaultdict(int), defaultdict(list), {}
+    for call, ref in set(edges):
+        waiting[call] += 1
+        users[ref].append(call)
+    ready = deque(ref for ref in users if not waiting.get(ref))
+    level = dict.fromkeys(ready, 0)
+    while ready:
+        ref = ready.popleft()
+        for call in users.get(ref, ()):
+            waiting[call] -= 1
+            level[call] = max(level.get(call, 0), level[ref] + 1)
+            if not waiting[call]:
+                ready.append(call)
+    return {call: None if waiting.get(call) else level[call] for call in {*waiting, *users}}
+
+
+def topological_levels(calls: DataFrame, one_pass: int = ONE_PASS) -> DataFrame:
     """conv_id, call_id, level for calls (conv_id, call_id, refs): 0 without references, else one more than the highest level referred to.
 
-    Level by level, by joins; a call in a cycle, or behind one, gets no row.
-    References to calls that are not there are ignored.
+    A conversation's references are ordered in one pass, if they are ``one_pass``
+    at most; those of longer ones level by level, by joins.  A call in a cycle,
+    or behind one, gets a null level.  References to calls that are not there are
+    ignored.
     """
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
-    edges = durable(calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct().join(known, ["conv_id", "ref"]))
-    waiting = durable(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("missing")))
-    done = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    frontier, level = durable(done), 0
-    done = frontier
+    edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).distinct().join(known, ["conv_id", "ref"])
+    edges, seen = durable_with(edges.select("conv_id", "call_id", "ref"), n=F.count("*"))
+    free = calls.select("conv_id", "call_id").withColumn("level", F.lit(0))
+    if not seen["n"]:
+        return free
+    sizes = durable(edges.groupBy("conv_id").agg(F.count("*").alias("n")))
+    short = edges.join(sizes.where(F.col("n") <= one_pass).select("conv_id"), "conv_id")
+
+    def order(batch: pd.DataFrame) -> pd.DataFrame:
+        found = levels_of(list(zip(batch["call_id"], batch["ref"])))
+        out = pd.DataFrame({"call_id": list(found), "level": pd.array(list(found.values()), "Int64")})
+        out.insert(0, "conv_id", batch["conv_id"].iloc[0])
+        return out
+
+    linked = short.groupBy("conv_id").applyInPandas(order, f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, call_id string, level int")
+    if not sizes.where(F.col("n") > one_pass).isEmpty():
+        linked = linked.unionByName(_levels_by_joins(durable(edges.join(sizes.where(F.col("n") > one_pass).select("conv_id"), "conv_id"))))
+    linked = durable(linked)
+    return free.join(linked.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").unionByName(linked)
+
+
+def _levels_by_joins(edges: DataFrame) -> DataFrame:
+    """``topological_levels`` of the calls in ``edges``; each round settles a level."""
+    pair = ["conv_id", "call_id"]
+    calls = durable(edges.select(*pair).union(edges.select("conv_id", "ref")).distinct())
+    waiting = durable(edges.groupBy(*pair).agg(F.count("*").alias("missing")))
+    frontier = durable(calls.join(waiting, pair, "left_anti"))
+    done, level = frontier.withColumn("level", F.lit(0)), 0
     while True:
         level += 1
-        met = edges.join(frontier.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-        after = durable(waiting.join(met, ["conv_id", "call_id"], "left").withColumn("missing", F.col("missing") - F.coalesce("n", F.lit(0))).drop("n"))
-        frontier = durable(after.where("missing = 0").select("conv_id", "call_id").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return done
-        waiting, done = after.where("missing > 0"), done.union(frontier)
+        met = edges.join(frontier.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).groupBy(*pair).agg(F.count("*").alias("n"))
+        waiting = durable(waiting.join(met, pair, "left").select(*pair, (F.col("missing") - F.coalesce("n", F.lit(0))).alias("missing")))
+        frontier, seen = durable_with(waiting.where("missing = 0").select(*pair), n=F.count("*"))
+        if not seen["n"]:
+            return done.unionByName(waiting.select(*pair, F.lit(None).cast("int").alias("level")))
+        waiting = waiting.where("missing > 0")
+        done = done.unionByName(frontier.withColumn("level", F.lit(level)))
+        if level % 20 == 0:  # else the plan grows with the number of levels
+            done, waiting = durable(done), durable(waiting)
 
 
-def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS) -> DataFrame:
-    """Events of conversations (conv_id, turn, role, text), linked and in order.
+def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS, one_pass: int = ONE_PASS) -> DataFrame:
+    """Events of conversations (conv_id, turn, role, text), linked and with their place in the order.
 
     Columns: conv_id, turn, idx, kind (message, call, result), call_id, level,
-    status, problems, json.  Order by conv_id, turn, level, idx (level is null
-    for what is no call).  Status of a call: ok, invalid (schema), no_result,
-    early (its result stands before it), cycle, duplicate (a later call with the same id) or unreadable; of a result:
-    ok, no_call, early, duplicate or unreadable.
+    place, status, problems, json.  Sorted by conv_id and place, the json lines
+    are the conversations: by turn, the message first, then calls and results by
+    level, a result behind its call, calls of cycles last (``write_conversations``).
+    Status of a call: ok, invalid (schema), no_result, early (its result stands
+    before it), cycle, duplicate (a later call with the same id) or unreadable;
+    of a result: ok, no_call, early, duplicate or unreadable.  Unreadable is what
+    is no JSON object with an id, has lone surrogates or numbers that are not
+    finite, or is nested deeper than MAX_DEPTH.
 
     Nulls: a null text is an empty message; a null conv_id is a conversation
     of its own, in which nothing is linked; a null turn sorts first.  A repeated message's
     calls are duplicates of the first's.  An empty table gives no rows; other
-    columns are not carried.  Nothing is gathered by conversation, so a
-    conversation may be of any length.
+    columns are not carried.  A conversation may be of any length: it is gathered
+    only for its references, if these are few.
     """
-    events = durable(message_events(messages, schemas))
-    tools = events.where("kind <> 'message' AND call_id IS NOT NULL")
-    nth = W.partitionBy("conv_id", "kind", "call_id").orderBy("turn", "idx", "body")
-    tools = durable(tools.withColumn("nth", F.row_number().over(nth)))
-    first = tools.where("nth = 1 AND conv_id IS NOT NULL")
-    calls, results = first.where("kind = 'call'"), first.where("kind = 'result'")
-    levels = topological_levels(calls.select("conv_id", "call_id", "refs"))
-    place = F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), "idx")
-    linked = (
-        calls.select("conv_id", "call_id", place.alias("asked"), (F.size("problems") > 0).alias("bad"))
-        .join(results.select("conv_id", "call_id", place.alias("answered")), ["conv_id", "call_id"], "full")
-        .join(levels, ["conv_id", "call_id"], "left")
-    )
+    events = durable(message_events(messages, schemas).withColumn("uid", F.monotonically_increasing_id()))
+    key, asking = ["conv_id", "call_id"], F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
+    place = F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), "idx", "body", "uid")
+    chosen = lambda kind, value: F.min(F.when(F.col("kind") == kind, value))
+    pairs = durable(events.where(asking).groupBy(*key).agg(chosen("call", place).alias("asked"), chosen("result", place).alias("answered")))
+    calls = events.where(asking & F.expr("kind = 'call' AND size(refs) > 0")).join(pairs.select(*key, F.col("asked.uid").alias("uid")), [*key, "uid"])
+    # calls without references are level 0 and may be referred to
+    heads = pairs.where("asked IS NOT NULL").select(*key).join(calls.select(*key, "refs"), key, "left")
+    levels = topological_levels(heads.withColumn("refs", F.coalesce("refs", F.array().cast("array<string>"))), one_pass)
+    linked = pairs.join(levels, key, "left")
     status = (
         F.when(F.expr("kind = 'message'"), "ok")
         .when(F.col("call_id").isNull(), "unreadable")
-        .when(F.col("nth") > 1, "duplicate")
+        .when(F.expr("kind = 'call' AND uid <> asked.uid OR kind = 'result' AND uid <> answered.uid"), "duplicate")
         .when(F.expr("kind = 'call' AND level IS NULL AND asked IS NOT NULL"), "cycle")
         .when(F.expr("kind = 'call' AND size(problems) > 0"), "invalid")
         .when(F.expr("kind = 'call' AND answered IS NULL"), "no_result")
         .when(F.expr("kind = 'result' AND asked IS NULL"), "no_call")
-        .when(F.expr("answered < asked"), "early")
+        .when(F.expr("answered.t < asked.t OR answered.t = asked.t AND answered.idx < asked.idx"), "early")
         .otherwise("ok")
     )
-    plain = events.where("kind = 'message' OR call_id IS NULL").withColumn("nth", F.lit(1))
-    empty = {"asked": F.lit(None).cast(linked.schema["asked"].dataType), "answered": F.lit(None).cast(linked.schema["answered"].dataType), "level": F.lit(None).cast("int")}
-    joined = tools.join(linked.drop("bad"), ["conv_id", "call_id"], "left").unionByName(plain.withColumns(empty))
+    last = F.when(F.col("asked").isNotNull(), F.lit(999_999_999))
+    step = F.when(F.col("kind") == "message", 0).otherwise(1 + F.coalesce("level", last, F.lit(0)))
+    order = F.format_string("%019d.%010d.%d.%010d", F.coalesce("turn", F.lit(-1)) + 1, step, (F.col("kind") == "result").cast("int"), "idx")
+    joined = events.join(linked, key, "left").withColumns({"status": status, "place": order})
     level = F.when(F.col("kind") == "call", F.col("level")).cast("int")
-    return joined.select("conv_id", "turn", "idx", "kind", "call_id", level.alias("level"), status.alias("status"), "problems", F.col("body").alias("json"))
+    return joined.select("conv_id", "turn", "idx", "kind", "call_id", level.alias("level"), "place", "status", "problems", F.col("body").alias("json"))
+
+
+def write_conversations(linked: DataFrame, path: str, files: int | None = None) -> None:
+    """The conversations as lines of canonical JSON, in order within and across files; a long one runs over several files."""
+    ordered = linked.repartitionByRange(files or linked.sparkSession.sparkContext.defaultParallelism, "conv_id", "place").sortWithinPartitions("conv_id", "place")
+    ordered.select("json").write.text(path)
 
 
 def op4_tool_call_linking(spark, sf_dir):

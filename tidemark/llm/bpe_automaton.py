@@ -39,10 +39,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, tidied, tidy, worker_table
+from tidemark.llm.common import Recent, bounded_batches, table, tidied, tidy, worker_table
 
-#: Entries of a worker's tables of words and of arcs before they are emptied; steps by failure arcs that it adds to the table at most.
-WORDS, ARCS, STEPS = 160_000, 250_000, 50_000
+#: Words that a worker keeps; entries of its table of arcs before it is emptied; steps by failure arcs that it adds to the table at most.
+WORDS, ARCS, STEPS = 240_000, 250_000, 50_000
 #: Bytes, and _END.
 _BYTES = 257
 #: Stands for the tokenizer's end-of-word suffix inside a spelled word, whose other characters stand for single bytes.
@@ -194,12 +194,13 @@ class MergeAutomaton:
         return path
 
 
-class Encoder(dict):
+class Encoder(Recent):
     """Word -> (ids as little-endian bytes, number of ids, labels joined by blanks); the table of a worker."""
 
+    most = WORDS
+
     def __init__(self, path: str):
         super().__init__()
-        self.older: dict[str, tuple[bytes, int, str]] = {}
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -213,13 +214,8 @@ class Encoder(dict):
         self.library = Tokenizer.from_str(json.dumps(spec | bare))
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def __missing__(self, word: str) -> tuple[bytes, int, str]:
-        """Words live in two generations: when the younger is full it becomes the older, and words met again come back from there."""
-        if len(self) >= WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out = self.older.get(word) or self._entry(self.automaton.encode_word(word))
-        return out
+    def make(self, word: str) -> tuple[bytes, int, str]:
+        return self._entry(self.automaton.encode_word(word))
 
     def _entry(self, ids: list[int]) -> tuple[bytes, int, str]:
         packed = array("I", ids)

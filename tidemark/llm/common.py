@@ -117,6 +117,28 @@ def worker_table(key: str, make: Callable[[], object]):
     return _TABLES[key]
 
 
+class Recent(dict):
+    """A cache of ``make(key)`` for ``most`` keys, in two generations: when the younger is full it becomes the older, and what is met again comes back from there."""
+
+    most = 0
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def tidy() -> None:
     """Gives memory that a worker has freed back to the system; allocators would keep it for the tasks after, and several workers share a machine."""
     import ctypes

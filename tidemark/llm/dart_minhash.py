@@ -19,10 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, durable, durable_with, free_name, table, tidied, tidy, worker_table
+from tidemark.llm.common import Recent, bounded_batches, durable, durable_with, free_name, table, tidied, tidy, worker_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
@@ -31,7 +32,8 @@ BANDS, ROWS = 30, 6
 STAR_ROUNDS, BLOCK_NODES, BLOCK_CHARS = 1, 1024, 6_000_000
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 200_000
-TOKENS = 150_000
+#: Words whose codes a worker keeps.
+TOKENS = 200_000
 #: Strips of documents (8 bytes each) that a task of comparisons keeps.
 HELD_STRIPS = 2_000_000
 
@@ -41,14 +43,13 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+class _Codes(Recent):
+    """64-bit codes of words."""
 
-        if len(self) > TOKENS:
-            self.clear()
-        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return code
+    most = TOKENS
+
+    def make(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

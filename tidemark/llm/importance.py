@@ -17,11 +17,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, durable, free_name, reserved, table, tidied, tidy, worker_table
+from tidemark.llm.common import Recent, bounded_batches, durable, free_name, reserved, table, tidied, tidy, worker_table
 
 #: Hash buckets of the n-gram models: a broadcast of three arrays of 0.5 MB at any corpus size.
 BUCKETS = 1 << 16
@@ -38,22 +39,19 @@ TOXIC_PRIOR, STRONGEST, TOXIC_LOSS = 1.0, 3, 0.001
 #: Bits of a key that one pass of the search for the k-th key counts by.
 RADIX_BITS = 16
 #: Tokens whose codes a worker keeps.
-CODES = 120_000
+CODES = 200_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-class _Codes(dict):
+class _Codes(Recent):
     """64-bit codes of tokens.  Case is folded, but an all-capital word is another token."""
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
+    most = CODES
 
-        if len(self) > CODES:
-            self.clear()
+    def make(self, token: str) -> int:
         folded = token if token.isupper() and len(token) > 1 else token.lower()
-        self[token] = code = xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
-        return code
+        return xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -116,11 +116,11 @@ def camp_gap_interval(spark, sf_dir):
     return shown(models.camp_gap_bootstrap(eligible(spark, sf_dir), camp(), "score", "published_date"))
 
 
-@query(sql("headlines", """WITH a AS (SELECT id, k AS seq, (id * 7 + k * 3) % 5 = 0 AS ok FROM (SELECT id, unnest(range(0, 4)) AS k FROM headlines WHERE id % 3 = 0) x), s AS (SELECT id, min(CASE WHEN ok THEN seq END) AS s FROM a GROUP BY 1),
+@query(sql("headlines", """WITH a AS (SELECT id, k AS seq, (id * 7 + k * 3) % 5 = 0 AS ok FROM (SELECT id, unnest(range(0, 4)) AS k FROM headlines) x), s AS (SELECT id, min(CASE WHEN ok THEN seq END) AS s FROM a GROUP BY 1),
 f AS (SELECT a.id, s, count(CASE WHEN NOT ok AND (s IS NULL OR seq < s) THEN 1 END) AS n FROM a JOIN s ON s.id = a.id GROUP BY 1, 2)
 SELECT id, least(n, 3) AS failures, CASE WHEN n >= 3 THEN 'failed' WHEN s IS NOT NULL THEN 'scored' ELSE 'retry_pending' END AS status FROM f"""))
 def retry_state_machine(spark, sf_dir):
-    a = d.headlines(spark, sf_dir).where("id % 3 = 0").select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
+    a = d.headlines(spark, sf_dir).select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"))
     return shown(history.fold_attempts(a.withColumn("ok", (F.col("id") * 7 + F.col("seq") * 3) % 5 == 0)))
 
 
@@ -138,13 +138,15 @@ def canonical_insert_dedupe(spark, sf_dir):
     return shown(history.new_canonical(c.where("id >= 3000"), c.where("id < 3000")).select("id"))
 
 
-@query(sql("headlines", f"""WITH {CANON}, k AS (SELECT * FROM c WHERE id % 2 = 0), o AS (SELECT id + 1000000 AS obs, source, title, CASE WHEN id % 3 = 0 THEN url END AS url, published_date FROM c WHERE id % 5 = 0),
-u AS (SELECT url, min(id) AS u FROM k WHERE url IS NOT NULL GROUP BY 1), t AS (SELECT source, lower(title) AS title, published_date, min(id) AS t FROM k GROUP BY 1, 2, 3)
+@query(sql("observations", f"""WITH {CANON}, o AS (SELECT id * 100 + CAST(substring(x.source, 8) AS BIGINT) AS obs, x.source, title, CASE WHEN id % 3 = 0 THEN url END AS url, published_date FROM c JOIN observations x USING (id)),
+u AS (SELECT url, min(id) AS u FROM c WHERE url IS NOT NULL GROUP BY 1), t AS (SELECT source, lower(title) AS title, published_date, min(id) AS t FROM c GROUP BY 1, 2, 3)
 SELECT obs, CAST(coalesce(u, t) AS DOUBLE) AS headline_id, CASE WHEN u IS NOT NULL THEN 'url' WHEN t IS NOT NULL THEN 'title' END AS link FROM o LEFT JOIN u ON u.url = o.url LEFT JOIN t ON t.source = o.source AND t.title = lower(o.title) AND t.published_date = o.published_date"""))
 def observation_links(spark, sf_dir):
     c = _canonical(spark, sf_dir)
-    o = c.where("id % 5 = 0").select((F.col("id") + 1000000).alias("obs"), "source", "title", F.when(F.col("id") % 3 == 0, F.col("url")).alias("url"), "published_date")
-    out = history.link_observations(o, c.where("id % 2 = 0")).select("obs", "headline_id", "link")
+    o = c.drop("source").join(d.observations(d.headlines(spark, sf_dir)), "id")
+    obs = F.col("id") * 100 + F.substring("source", 8, 4).cast("long")
+    o = o.select(obs.alias("obs"), "source", "title", F.when(F.col("id") % 3 == 0, F.col("url")).alias("url"), "published_date")
+    out = history.link_observations(o, c).select("obs", "headline_id", "link")
     return shown(out.withColumn("headline_id", F.col("headline_id").cast("double")))
 
 

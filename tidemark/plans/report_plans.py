@@ -41,13 +41,13 @@ def semi_restored_override(spark, sf_dir):
     return shown(h.join(d.exclusions(h).where("restored").select(F.col("headline_id").alias("id")), "id", "left_semi").select("id", "source"))
 
 
-RAW = "raw AS (SELECT id, source FROM observations WHERE id % 2 = 0)"
+RAW = "raw AS (SELECT id, source FROM observations)"
 
 
 @query(sql("observations", f"WITH {RAW} SELECT id, source, 'raw' AS origin FROM raw UNION ALL SELECT id, source, 'canonical' FROM headlines WHERE id NOT IN (SELECT id FROM raw)"))
 def raw_union_canonical(spark, sf_dir):
     h = d.headlines(spark, sf_dir)
-    raw = d.observations(h).where("id % 2 = 0")
+    raw = d.observations(h)
     rest = h.join(raw.select("id"), "id", "left_anti").select("id", "source", F.lit("canonical").alias("origin"))
     return shown(raw.withColumn("origin", F.lit("raw")).unionByName(rest))
 
@@ -133,9 +133,9 @@ def taxonomy_coverage(spark, sf_dir):
     return shown(reports.coverage(eligible(spark, sf_dir), "family", "category"))
 
 
-@query(sql("headlines", "WITH c AS (SELECT published_date AS day, count(*) AS n FROM headlines WHERE id % 11 = 0 AND published_date <> DATE '2024-01-15' GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(s.day AS VARCHAR) AS published_date, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.day = s.day"))
+@query(sql("headlines", "WITH c AS (SELECT published_date AS day, count(*) AS n FROM headlines GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(s.day AS VARCHAR) AS published_date, coalesce(n, 0) AS n FROM s LEFT JOIN c ON c.day = s.day"))
 def corpus_daily_spine(spark, sf_dir):
-    return shown(reports.daily_spine(d.headlines(spark, sf_dir).where("id % 11 = 0 AND published_date <> date'2024-01-15'"), "published_date"))
+    return shown(reports.daily_spine(d.headlines(spark, sf_dir), "published_date"))
 
 
 QUALITY = """b AS (SELECT source, count(*) AS n, avg(CASE WHEN published_ts IS NULL THEN 1.0 ELSE 0.0 END) AS u, avg(abs(score)) AS m, avg(CASE WHEN relevance < 0.25 THEN 1.0 WHEN relevance IS NOT NULL THEN 0.0 END) AS t FROM headlines GROUP BY 1),
@@ -176,10 +176,10 @@ def threshold_sweep(spark, sf_dir):
     return shown(reports.threshold_sweep(d.headlines(spark, sf_dir), "relevance", F.col("score") > 0))
 
 
-@query(sql("headlines", "SELECT CASE WHEN k <= floor(0.6 * n) THEN 'train' ELSE 'test' END AS split, count(*) AS rows, CAST(min(published_date) AS VARCHAR) AS first_day, CAST(max(published_date) AS VARCHAR) AS last_day FROM (SELECT published_date, row_number() OVER (ORDER BY published_date, id) AS k, count(*) OVER () AS n FROM headlines WHERE id % 5 = 0) x GROUP BY 1"))
+@query(sql("headlines", "SELECT CASE WHEN k <= floor(0.6 * n) THEN 'train' ELSE 'test' END AS split, count(*) AS rows, CAST(min(published_date) AS VARCHAR) AS first_day, CAST(max(published_date) AS VARCHAR) AS last_day FROM (SELECT published_date, row_number() OVER (ORDER BY published_date, id) AS k, count(*) OVER () AS n FROM headlines) x GROUP BY 1"))
 def chronological_split(spark, sf_dir):
     # the place of a row: rows of earlier days, by a window over days, and the place within its day
-    h = d.headlines(spark, sf_dir).where("id % 5 = 0")
+    h = d.headlines(spark, sf_dir)
     days = h.groupBy("published_date").agg(F.count("*").alias("c"))
     days = days.withColumns({"before": F.sum("c").over(W.orderBy("published_date")) - F.col("c"), "n": F.sum("c").over(W.partitionBy())})
     k = F.col("before") + F.row_number().over(W.partitionBy("published_date").orderBy("id"))

@@ -11,12 +11,14 @@ from tidemark.plans.common import assigned, shown, sql, trading_calendar
 from tidemark.sources import driver_tables as d
 
 QUERIES, SQL = {}, {}
+#: Floor of the similarity of whole texts in pair joins.
+SIMILAR = 0.6
 RULES = {"alpha": ["thand", "andth"], "beta": ["ver", "und"], "gamma": ["tion", "ment"], "delta": ["que", "los"]}
 HARD, STRONG, SOFT, KEY = ["zzz", "äöü", "xch"], ["the and", "und"], ["stst", "ndnd"], ["er", "que", "en"]
 STOP = ["that", "with", "from", "this"]
 ENTITIES = [("issuer", "T1", ["the", "der"]), ("macro", "M1", ["tion", "que"]), ("agency", "A1", ["and", "las"]), ("instrument", "I1", ["is"])]
 FOLD_SQL = "lower(translate(title, 'ıİşŞğĞçÇöÖüÜâÂîÎûÛ', 'iIsSgGcCoOuUaAiIuU'))"
-TITLES = "titles AS (SELECT doc_id AS id, source, substring(text, 1, 80) AS title FROM documents), folded AS (SELECT *, trim(regexp_replace(" + FOLD_SQL + ", '\\s+', ' ', 'g')) AS f FROM titles)"
+TITLES = "titles AS (SELECT doc_id AS id, source, text AS title FROM documents), folded AS (SELECT *, trim(regexp_replace(" + FOLD_SQL + ", '\\s+', ' ', 'g')) AS f FROM titles)"
 TOKENS = "tok AS (SELECT id, source, f, list_distinct(list_filter(regexp_extract_all(f, '[a-z0-9]+'), lambda t: length(t) >= 4 AND t NOT IN ('that', 'with', 'from', 'this'))) AS tokens FROM folded)"
 
 
@@ -104,26 +106,26 @@ def entity_extraction(spark, sf_dir):
 
 
 PAIRS_SQL = f"""WITH {TITLES}, {TOKENS}, x AS (SELECT DISTINCT id, unnest(tokens) AS t FROM tok), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 4)
-SELECT a, b, shared, round(shared / (len(u.tokens) + len(v.tokens) - shared), 6) AS jaccard FROM p JOIN tok u ON u.id = a JOIN tok v ON v.id = b"""
+SELECT a, b, shared, round(shared / (len(u.tokens) + len(v.tokens) - shared), 6) AS jaccard FROM p JOIN tok u ON u.id = a JOIN tok v ON v.id = b WHERE shared / (len(u.tokens) + len(v.tokens) - shared) >= {SIMILAR}"""
 
 
 @query(PAIRS_SQL)
 def token_jaccard_pairs(spark, sf_dir):
     t = _tokens(spark, sf_dir).select("id", "tokens")
-    return shown(pairs.overlap_pairs(t, t, 4).where("a < b"))
+    return shown(pairs.overlap_pairs(t, t, 4, least_jaccard=SIMILAR).where("a < b"))
 
 
 @query(f"""WITH {TITLES}, {TOKENS}, x AS (SELECT id, source, unnest(tokens) AS t FROM tok), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM x a JOIN x b ON a.t = b.t AND a.source = b.source AND a.id <> b.id GROUP BY 1, 2),
 j AS (SELECT a, b, shared / (len(u.tokens) + len(v.tokens) - shared) AS jaccard FROM p JOIN tok u ON u.id = a JOIN tok v ON v.id = b)
-SELECT a AS id, b AS nearest, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS r FROM j) y WHERE r = 1""")
+SELECT a AS id, b AS nearest, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS r FROM j WHERE jaccard >= {SIMILAR}) y WHERE r = 1""")
 def nearest_neighbour_in_bucket(spark, sf_dir):
-    return shown(pairs.nearest_in_bucket(_tokens(spark, sf_dir), ["source"]))
+    return shown(pairs.nearest_in_bucket(_tokens(spark, sf_dir), ["source"], SIMILAR))
 
 
 @query("")
 def greedy_pairs(spark, sf_dir):
-    t = _tokens(spark, sf_dir).select("id", "tokens")
-    edges = pairs.overlap_pairs(t.where("id % 2 = 0"), t.where("id % 2 = 1"), 4)
+    t, short = _tokens(spark, sf_dir), F.length("source") <= 4  # two camps of sources
+    edges = pairs.overlap_pairs(t.where(short), t.where(~short), 4, least_jaccard=SIMILAR)
     return shown(pairs.greedy_matching(edges, [F.desc("shared"), F.desc("jaccard"), "a", "b"]))
 
 

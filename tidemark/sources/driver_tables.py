@@ -60,8 +60,8 @@ headlines AS (
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and title for each document: its first 80 characters."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 80).alias("title"))
+    """id, source and title for each document: its whole text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("title"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

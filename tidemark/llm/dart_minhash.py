@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Recent, bounded_batches, durable, durable_with, free_name, table, tidied, tidy, worker_table
+from tidemark.llm.common import bounded_batches, durable, durable_with, free_name, table, tidied, tidy, worker_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair misses all bands once in 9,000 times, at 0.85 once in 1,400,000.
@@ -43,13 +43,14 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
 
-class _Codes(Recent):
+class _Codes(dict):
     """64-bit codes of words."""
 
-    most = TOKENS
-
-    def make(self, word: str) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: str) -> int:
+        if len(self) >= TOKENS:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Recent, bounded_batches, durable, free_name, reserved, table, tidied, tidy, worker_table
+from tidemark.llm.common import bounded_batches, durable, free_name, reserved, table, tidied, tidy, worker_table
 
 #: Hash buckets of the n-gram models: a broadcast of three arrays of 0.5 MB at any corpus size.
 BUCKETS = 1 << 16
@@ -44,14 +44,15 @@ CODES = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-class _Codes(Recent):
+class _Codes(dict):
     """64-bit codes of tokens.  Case is folded, but an all-capital word is another token."""
 
-    most = CODES
-
-    def make(self, token: str) -> int:
+    def __missing__(self, token: str) -> int:
+        if len(self) >= CODES:
+            self.clear()
         folded = token if token.isupper() and len(token) > 1 else token.lower()
-        return xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
+        self[token] = code = xxhash.xxh64_intdigest(folded.encode("utf-8", "surrogatepass"))
+        return code
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -270,32 +271,39 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def log_weights(docs: DataFrame, model: Model, text: str = "text", name: str = "log_weight", fold: str | None = None) -> DataFrame:
     """``docs`` with the log importance weight of every whole text, and its toxic score as _toxic; a text without features has no weight (null).
 
-    Rows whose ``fold`` is 1 or 2 are weighed by the models without that fold.
+    With ``fold``, rows whose fold is 1 or 2 are also weighed by the models
+    without that fold, in the same pass: _held and _held_toxic, null in other rows.
     """
-    reserved(docs, name, "_toxic")
+    new = [name, "_toxic", "_held", "_held_toxic"] if fold else [name, "_toxic"]
+    reserved(docs, *new)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    scores = T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("toxic", T.DoubleType())])
+
+    def score(place: np.ndarray, codes: np.ndarray, n: int, of: np.ndarray, tables: np.ndarray, heads: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.bincount(place, tables[of[place], bucket_of(codes, tables.shape[1])], n)
+        return np.where(np.bincount(place, minlength=n) > 0, sums, np.nan), toxic_scores(place, codes, n, sent.value.toxic, of, heads)
 
     def weigh(texts: pd.Series, folds: pd.Series) -> pd.DataFrame:
         tables = np.stack([sent.value.ratios, *sent.value.without])
-        values, of = texts.tolist(), folds.to_numpy()
         heads = sketch(sent.value.toxic.grams) if sent.value.toxic else None
-        weights, toxic = [np.zeros(0)], [np.zeros(0)]
+        values, folds_of = texts.tolist(), folds.to_numpy()
+        out = [np.zeros((4, 0))]
         for some in _pieces(values):
             place, codes = grams(values[some])
-            n = len(values[some])
-            sums = np.bincount(place, tables[of[some][place], bucket_of(codes, tables.shape[1])], n)
-            weights.append(np.where(np.bincount(place, minlength=n) > 0, sums, np.nan))
-            toxic.append(toxic_scores(place, codes, n, sent.value.toxic, of[some], heads))
+            of, n = folds_of[some], len(values[some])
+            rows = np.full((4, n), np.nan)
+            rows[:2] = score(place, codes, n, np.zeros(n, np.int64), tables, heads)
+            if (held := of > 0).any():
+                among = held[place]
+                rows[2:, held] = np.stack(score(place[among], codes[among], n, of, tables, heads))[:, held]
+            out.append(rows)
         tidy()
-        return pd.DataFrame({"weight": np.concatenate(weights), "toxic": np.concatenate(toxic)})
+        return pd.DataFrame(np.concatenate(out, axis=1)[: len(new)].T, columns=new)
 
     # only the texts go to Python; as it counts as non-deterministic, no rule of the optimiser makes it run twice
-    udf = F.pandas_udf(weigh, scores).asNondeterministic()
+    udf = F.pandas_udf(weigh, T.StructType([T.StructField(c, T.DoubleType()) for c in new])).asNondeterministic()
     found = free_name(docs, "_scores")
-    of = F.col(fold).cast("long") if fold else F.lit(0).cast("long")
-    out = bounded_batches(docs).withColumn(found, udf(F.col(text), of))
-    return out.withColumns({name: F.nanvl(F.col(f"{found}.weight"), F.lit(None)), "_toxic": F.col(f"{found}.toxic")}).drop(found)
+    out = bounded_batches(docs).withColumn(found, udf(F.col(text), F.col(fold).cast("long") if fold else F.lit(0).cast("long")))
+    return out.withColumns({c: F.nanvl(F.col(f"{found}.{c}"), F.lit(None)) for c in new}).drop(found)
 
 
 def gumbel(seed: int, *keys: Column) -> Column:
@@ -359,16 +367,15 @@ def draw(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     Null and empty texts, and texts of white space, are never drawn.  Without
     target labels all other rows are.  Rows with the same key and text are drawn
     together; an empty table gives no rows; other columns pass through, but none
-    may be called _weight, _toxic, _kept, _first or _second.
+    may be called _weight, _toxic, _kept, _first, _second, _fold, _held or _held_toxic.
     """
-    reserved(docs, "_weight", "_toxic", "_kept", "_first", "_second")
+    reserved(docs, "_weight", "_toxic", "_kept", "_first", "_second", "_fold", "_held", "_held_toxic")
     carry = docs.columns if carry is None else carry
     model = fit(docs, labels, key, text)
-    folded = with_folds(docs.select(key, text), labels, key)
-    weighed = log_weights(folded.where("_fold > 0"), model, text, "held", "_fold")
-    held, most_toxic = weighed.agg(F.percentile("held", F.lit(loss)), F.percentile("_toxic", F.lit(1 - TOXIC_LOSS))).first()
-    weighed = _keyed(log_weights(docs, model, text, "_weight"), key, seed)
-    scored = durable(weighed.select(*carry, "_weight", "_toxic", "_first", "_second"))
+    weighed = _keyed(log_weights(with_folds(docs, labels, key), model, text, "_weight", "_fold"), key, seed)
+    scored = durable(weighed.select(*carry, "_weight", "_toxic", "_first", "_second", "_held", "_held_toxic"))
+    held, most_toxic = scored.agg(F.percentile("_held", F.lit(loss)), F.percentile("_held_toxic", F.lit(1 - TOXIC_LOSS))).first()
+    scored = scored.drop("_held", "_held_toxic")
     if held is None:  # nothing is labelled as target: nothing can be told apart
         drawn = Draw(model, None, 0, None, seed)
     else:

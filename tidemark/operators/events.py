@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import restrictiveness, sorted_list
+from tidemark.functions.core import finite, restrictiveness, sorted_list
 from tidemark.functions.text import jaccard
 
 ALGORITHM = "cluster-v1"
@@ -91,7 +91,7 @@ def summarise_events(members: DataFrame, strong: float = 0.5) -> DataFrame:
         F.min("id").alias("first_id"), F.count("*").alias("headline_count"), F.count_distinct("source").alias("source_count"), F.avg(s).alias("mean_sentiment"), F.median(s).alias("median_sentiment"),
         F.when(F.count(s) > 1, F.stddev_pop(s)).alias("dispersion"), F.min("moment").alias("first_seen"), F.max("moment").alias("last_seen"),
         F.count_if(s >= strong).alias("strong_positive"), F.count_if(s <= -strong).alias("strong_negative"), sorted_list(F.collect_set("source")).alias("sources"),
-        F.count_if(F.col("moment").isNull()).alias("untimed"), F.max("is_recap").alias("has_recap"),
+        F.count_if(F.col("moment").isNull()).alias("untimed"), F.count_if(F.col("is_recap") == 1).alias("recap_count"), F.count_distinct("signal_date").alias("sessions"),
     )
     span = (F.unix_seconds(F.col("last_seen").cast("timestamp")) - F.unix_seconds(F.col("first_seen").cast("timestamp"))) / 3600.0
     return out.join(by_source, "group_key").withColumn("span_hours", span)
@@ -114,17 +114,25 @@ def novelty(groups: DataFrame, entity: str = "primary_entity", at: str = "first_
 
 
 def quality_warnings(g: DataFrame) -> Column:
-    return F.array_compact(
-        F.array(
-            F.when(F.col("headline_count") == 1, F.lit("single_headline")),
-            F.when(F.col("source_count") == 1, F.lit("single_source")),
-            F.when(F.col("untimed") > 0, F.lit("untimed_member")),
-            F.when(F.col("timing_conflict"), F.lit("timing_conflict")),
-            F.when(F.col("has_recap") == 1, F.lit("market_recap")),
-            F.when(F.coalesce(F.col("dispersion"), F.lit(0.0)) >= 0.5, F.lit("high_dispersion")),
-            F.when(F.col("mean_sentiment").isNull(), F.lit("unscored")),
-        )
-    )
+    """Codes of what limits a group, in a fixed order.
+
+    ``g`` has headline_count, source_count, untimed, recap_count, sessions and,
+    if groups have them, primary_entity and review_state; a group without a
+    recognised entity or a review is warned of.
+    """
+    entity = F.col("primary_entity") if "primary_entity" in g.columns else F.lit(None)
+    review = F.coalesce(F.col("review_state"), F.lit("unreviewed")) if "review_state" in g.columns else F.lit("unreviewed")
+    # The codes.
+    codes = {
+        "single_source_group": F.col("source_count") == 1,
+        "single_headline_group": F.col("headline_count") == 1,
+        "unknown_publication_time": F.col("untimed") > 0,
+        "market_recap_only": (F.col("recap_count") > 0) & (F.col("recap_count") == F.col("headline_count")),
+        "no_recognised_entity": F.coalesce(entity, F.lit("")) == "",
+        "spans_multiple_signal_dates": F.col("sessions") > 1,
+        "grouping_not_human_reviewed": review == "unreviewed",
+    }
+    return F.array_compact(F.array(*[F.when(found, F.lit(code)) for code, found in codes.items()]))
 
 
 def briefs(groups: DataFrame, members: DataFrame, top: int = 5) -> DataFrame:
@@ -161,6 +169,45 @@ def session_units(rows: DataFrame, session: str, target: str, features: Sequence
     return base.join(top, session)
 
 
+def session_rules(rows: DataFrame, session: str = "session") -> DataFrame:
+    """The eleven measures of a session, from its events (headline_count, source_count, mean_sentiment, novelty, cross_source_std).
+
+    Tone and spread are over events with a finite tone; the spread needs two.
+    """
+    tone = finite(F.col("mean_sentiment"))
+    breadth = F.when(tone.isNotNull(), F.greatest(F.coalesce("source_count", F.lit(1)), F.lit(1)))
+    n = F.nullif(F.count(tone), F.lit(0))
+    return rows.groupBy(session).agg(
+        F.count("*").alias("event_count"),
+        F.coalesce(F.sum("headline_count"), F.lit(0)).alias("headline_count"),
+        F.coalesce(F.sum("source_count"), F.lit(0)).alias("source_breadth"),
+        F.avg(tone).alias("mean_tone"),
+        F.try_divide(F.sum(tone * breadth), F.sum(breadth)).alias("breadth_weighted_tone"),
+        F.when(F.count(tone) >= 2, F.stddev_pop(tone)).alias("tone_dispersion"),
+        F.try_divide(F.count_if(tone > 0), n).alias("positive_share"),
+        F.try_divide(F.count_if(tone > 0) - F.count_if(tone < 0), n).alias("net_tone_share"),
+        F.max(finite(F.col("novelty"))).alias("max_novelty"),
+        F.count_if(F.col("source_count") > 1).alias("multi_source_events"),
+        F.avg(finite(F.col("cross_source_std"))).alias("mean_cross_source_dispersion"),
+    )
+
+
+def modelling_rows(
+    rows: DataFrame,
+    window: str = "gap_and_session",
+    require_tradable: bool = True,
+    exclude_conflicted: bool = True,
+    exclude_singletons: bool = False,
+    multi_source_only: bool = False,
+) -> DataFrame:
+    """Rows of an event dataset that a study may use: of one window, eligible, with a return, and by its switches tradable, free of timing conflicts, of more headlines or sources than one."""
+    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    keep = (F.col("window_name") == window) & (F.col("is_eligible") == 1) & F.col("raw_return").isNotNull()
+    for switch, condition in ((require_tradable, flag("is_tradable") != 0), (exclude_conflicted, flag("timing_conflict") == 0), (exclude_singletons, flag("headline_count") > 1), (multi_source_only, flag("source_count") > 1)):
+        keep = keep & condition if switch else keep
+    return rows.where(keep)
+
+
 def attach_lagged(units: DataFrame, session: str, target: str = "target") -> DataFrame:
     """prev_target and its sign: the last known target of an earlier session, carried over missing ones."""
     w = W.orderBy(session).rowsBetween(W.unboundedPreceding, -1)

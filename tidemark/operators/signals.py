@@ -20,6 +20,29 @@ def eligible_headlines(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
     return rows.where(complete).join(active_exclusions(exclusions), "id", "left_anti")
 
 
+#: What a scored headline has to have.
+COMPLETE = ("score", "label", "model_name", "scored_at", "p_positive", "p_neutral", "p_negative", "published_date")
+
+
+def fully_eligible(rows: DataFrame, exclusions: DataFrame, status: str = "processing_status") -> DataFrame:
+    """Rows whose processing is done, with all COMPLETE fields, that are not actively excluded."""
+    whole = F.col(status) == "scored"
+    for c in COMPLETE:
+        whole = whole & F.col(c).isNotNull()
+    return rows.where(whole).join(active_exclusions(exclusions), "id", "left_anti")
+
+
+def unscored_queue(rows: DataFrame, exclusions: DataFrame, status: str = "processing_status") -> DataFrame:
+    """What waits for a score: pending or to be tried again, and not actively excluded."""
+    return rows.where(F.col(status).isin("pending", "retry_pending")).join(active_exclusions(exclusions), "id", "left_anti")
+
+
+def epochs(rows: DataFrame, session: str, boundary: str, before: str = "development", after: str = "holdout") -> DataFrame:
+    """``rows`` with epoch: the side of the boundary that their session is on; without a session, neither."""
+    day = F.col(session).cast("date")
+    return rows.withColumn("epoch", F.when(day >= F.lit(boundary).cast("date"), after).when(day.isNotNull(), before))
+
+
 def _mean(x: Column, w: Column) -> Column:
     return F.try_divide(F.sum(x * w), F.nullif(F.sum(F.when(x.isNotNull(), w)), F.lit(0.0)))
 

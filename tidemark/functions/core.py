@@ -127,8 +127,10 @@ def score_from_components(p_positive: Column, p_negative: Column) -> Column:
 
 
 def component_kind(model: Column) -> Column:
+    """What the components of a row are, by the name of its scorer; anything not known is legacy."""
     m = F.lower(F.coalesce(model, F.lit("")))
-    return F.when(m == "", "unknown").when(m.startswith("gpt") | m.contains("llm"), "llm").when(m.contains("xlm") | m.contains("bert"), "classifier").otherwise("legacy")
+    made_up = m.startswith("gpt-") | m.startswith("openai:")
+    return F.when(made_up, "synthetic_compatibility").when(m.contains("xlm") | m.contains("roberta"), "softmax_probability").otherwise("legacy_unknown")
 
 
 def strip_cdata(text: Column) -> Column:

@@ -223,3 +223,9 @@ def unit_counts(rows: DataFrame, session: str, target: str) -> DataFrame:
 
 def token_similarity(a: Column, b: Column) -> Column:
     return jaccard(a, b)
+
+
+def with_residuals(rows: DataFrame, residuals: DataFrame, control_sets: Sequence[str]) -> DataFrame:
+    """``rows`` with one column residual_<set> for each control set, by exit_date and window_name; NULL where none was computed."""
+    wide = residuals.groupBy("exit_date", "window_name").pivot("control_set", list(control_sets)).agg(F.max("residual"))
+    return rows.join(wide.toDF("exit_date", "window_name", *[f"residual_{c}" for c in control_sets]), ["exit_date", "window_name"], "left")

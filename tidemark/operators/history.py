@@ -90,11 +90,6 @@ def run_status(components: DataFrame) -> DataFrame:
     return components.groupBy("run_id").agg(F.element_at(F.array(F.lit("success"), F.lit("degraded"), F.lit("failed")), rank + 1).alias("status"))
 
 
-def close_stale_runs(runs: DataFrame, now: Column, hours: int = 6) -> DataFrame:
-    stale = (F.col("status") == "running") & (F.col("started_at") < now - F.expr(f"INTERVAL {hours} HOURS"))
-    return runs.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
-
-
 def relabel(rows: DataFrame, positive: float = 0.05, negative: float = -0.05) -> DataFrame:
     """Rows whose label differs from that of their components, with the new label."""
     score = F.col("p_positive") - F.col("p_negative")

@@ -134,3 +134,10 @@ def regime_report(family: DataFrame, tone: DataFrame, volume: DataFrame, spread:
         F.coalesce(F.col("volume_z") >= 1.5, F.lit(False)).alias("elevated_volume"),
         F.coalesce(F.col("within_day_std") >= 0.3, F.lit(False)).alias("elevated_disagreement"),
     )
+
+
+def session_tone(tone: DataFrame, domestic: list[str]) -> DataFrame:
+    """Mean tone surprise over the families of a session that have one, and over the domestic ones; families without are absent, not zero."""
+    known = tone.where((F.col("scope") == "family") & F.col("z_score").isNotNull())
+    at_home = F.when(F.col("key").isin(domestic), F.col("z_score"))
+    return known.groupBy("signal_date").agg(F.avg("z_score").alias("all_families"), F.avg(at_home).alias("domestic"), F.count("*").alias("n_families"))

@@ -138,3 +138,62 @@ def active_learning(rows: DataFrame, score: str, relevance: str, cutoff: float,
     """The n least certain rows: near a sentiment boundary or near the relevance cutoff."""
     near = F.greatest(1 - F.abs(F.abs(score) - 0.05), 1 - F.abs(F.col(relevance) - cutoff))
     return rows.withColumn("uncertainty", near).where("uncertainty IS NOT NULL").orderBy(F.desc("uncertainty"), key).limit(n)
+
+
+#: Similarity that is high, the two decision thresholds of clustering, and the band around them.
+HIGH_SIMILARITY, DECISIONS, BAND = 0.8, (0.30, 0.60), 0.08
+
+
+def review_strata(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """stratum and group_key of every group in each of seven strata that it belongs to.
+
+    A group's similarity is its weakest link: the least of members that are not seeds.
+    """
+    linked = F.col("match_rule") != "seed"
+    links = members.groupBy("group_key").agg(
+        F.min(F.when(F.coalesce(linked, F.lit(True)), F.col("similarity"))).alias("similarity"),
+        F.max(F.col("match_rule") == "entity+family+time+title").alias("_entity"),
+        F.max(F.col("match_rule") == "family+time+title_only").alias("_title"),
+    )
+    s = F.col("similarity")
+    near = F.lit(False)
+    for d in DECISIONS:
+        near |= F.abs(s - d) <= BAND
+    n, sources = F.coalesce("headline_count", F.lit(0)), F.coalesce("source_count", F.lit(0))
+    conditions = {
+        "multi_source": sources > 1,
+        "multi_headline_single_source": (n > 1) & (sources <= 1),
+        "high_similarity": s >= HIGH_SIMILARITY,
+        "threshold_near": near,
+        "entity_based": F.col("_entity"),
+        "title_only": F.col("_title"),
+        "cross_session": F.coalesce("signal_date_span", F.lit(1)) > 1,
+    }
+    strata = F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))
+    return groups.join(links, "group_key", "left").select(F.explode(strata).alias("stratum"), "group_key", "similarity")
+
+
+def review_draw(groups: DataFrame, members: DataFrame, most: int = 15) -> DataFrame:
+    """The first ``most`` groups of each stratum in the order of their hashed keys."""
+    return stratified_sample(review_strata(groups, members), "stratum", "group_key", most)
+
+
+def review_sheet(groups: DataFrame, mappings: DataFrame, headlines: DataFrame) -> DataFrame:
+    """Each mapped headline of ``groups`` with its source: what a reviewer reads."""
+    listed = mappings.join(groups, "group_key", "left_semi")
+    return listed.join(headlines.select(F.col("id").alias("headline_id"), "source", "label"), "headline_id")
+
+
+def readiness(sessions: DataFrame, outcomes: DataFrame, least: int) -> DataFrame:
+    """One row: sessions, those with an outcome, families, unknown scores and times, and whether there is enough to begin."""
+    rows = sessions.join(outcomes, "session", "left")
+    known = F.count_distinct(F.when(F.col("outcome").isNotNull(), F.col("session")))
+    return rows.agg(
+        F.count_distinct("session").alias("sessions"),
+        known.alias("outcomes"),
+        F.count_distinct("family").alias("families"),
+        F.count_if(F.col("score").isNull()).alias("unscored"),
+        F.count_if(F.col("published_ts").isNull()).alias("untimed"),
+        F.count_if(F.col("outcome").isNull()).alias("blocked_no_outcome"),
+        (known >= least).alias("ready"),
+    )

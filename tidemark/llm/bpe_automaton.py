@@ -32,14 +32,11 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
 from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import Recent, bounded_batches, table, tidied, tidy, worker_table
+from tidemark.llm.common import Recent, read_columns, reserved, table, tidy, worker_table
 
 #: Words that a worker keeps; entries of its table of arcs before it is emptied; steps by failure arcs that it adds to the table at most.
 WORDS, ARCS, STEPS = 240_000, 250_000, 50_000
@@ -258,49 +255,43 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
     not be one of them.  Repeated rows are each encoded; an empty table gives no
     rows.
     """
-    if ids in docs.columns:
-        raise ValueError(f"docs has a column {ids} already")
+    reserved(docs, ids)
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def read(texts: list[str | None]):
         table = encoder(path)
-        for batch in batches:
-            found = [array("I", b"".join(e[0] for e in table.encode(x))) for x in batch[text]]
-            batch[ids] = pd.Series([list(a) for a in found], index=batch.index, dtype=object)
-            yield batch
+        return ([array("I", b"".join(e[0] for e in table.encode(x))).tolist() for x in texts],)
 
-    return bounded_batches(docs).mapInPandas(tidied(run), docs.withColumn(ids, F.array(F.lit(0))).schema)
+    return read_columns(docs, text, {ids: "array<int>"}, read)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the arc labels of its ids, joined by blanks; null ids give null."""
-    if name in encoded.columns:
-        raise ValueError(f"encoded has a column {name} already")
+    reserved(encoded, name)
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def read(lists: list[list[int] | None]):
         label = encoder(path).labels.__getitem__
-        for batch in batches:
-            batch[name] = pd.Series([None if x is None else " ".join(map(label, map(int, x))) for x in batch[ids]], index=batch.index, dtype=object)
-            yield batch
+        return ([None if x is None else " ".join(map(label, x)) for x in lists],)
 
-    return bounded_batches(encoded).mapInPandas(tidied(run), encoded.withColumn(name, F.lit("")).schema)
+    return read_columns(encoded, ids, {name: "string"}, read)
 
 
 def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one map, so the ids of a text never leave its worker."""
+    """key, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one map, so the ids of a text never leave its worker.
 
-    def run(batches: Iterable[pd.DataFrame]):
+    Keys stay as they are, null ones too; null texts count as empty.
+    """
+
+    def read(texts: list[str | None]):
         table = encoder(path)
-        for batch in batches:
-            n, ids, decoded = [], [], []
-            for x in batch[text]:
-                entries = table.encode(x)
-                n.append(sum(e[1] for e in entries))
-                ids.append(hashlib.sha256(b"".join([e[0] for e in entries])).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
-            yield pd.DataFrame({key: batch[key], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
-
-    out = docs.select(key).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")})
-    return bounded_batches(docs.select(key, text)).mapInPandas(tidied(run), out.schema)
+        n, ids, decoded = [], [], []
+        for x in texts:
+            entries = table.encode(x)
+            n.append(sum(e[1] for e in entries))
+            ids.append(hashlib.sha256(b"".join([e[0] for e in entries])).hexdigest())
+            decoded.append(hashlib.sha256(" ".join([e[2] for e in entries]).encode()).hexdigest())
+        return n, ids, decoded
+
+    return read_columns(docs, text, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, read, [key])
 
 
 def op9_bpe_automaton(spark, sf_dir):

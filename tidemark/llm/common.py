@@ -9,8 +9,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WRITTEN: dict[str, str] = {}
 
@@ -143,8 +145,6 @@ def tidy() -> None:
     """Gives memory that a worker has freed back to the system; allocators would keep it for the tasks after, and several workers share a machine."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL(None).malloc_trim(0)
@@ -163,5 +163,34 @@ def tidied(run: Callable) -> Callable:
     return wrapped
 
 
+#: Types of the columns that Python adds, as Spark and as Arrow name them.
+ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+}
+
+
+def read_columns(df: DataFrame, column: str, fields: dict[str, str], read: Callable[[list], tuple], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all of them by default) and ``fields`` (name: type), which ``read`` works out, one list each, from a list of the values of ``column``.
+
+    A map.  What is kept goes through Python as Arrow arrays and is never
+    converted: in pandas one null makes floats of a batch's whole numbers, and
+    those are rounded beyond 2 ** 53.
+    """
+    kept = df.columns if keep is None else keep
+    kinds = [ARROW[kind] for kind in fields.values()]
+    names = [*kept, *fields]
+
+    def run(batches):
+        for batch in batches:
+            found = read(batch.column(column).to_pylist())
+            arrays = [pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *arrays], names)
+
+    needed = df if keep is None else df.select(*dict.fromkeys([*kept, column]))
+    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(n, T.DataType.fromDDL(kind)) for n, kind in fields.items())])
+    return bounded_batches(needed).mapInArrow(tidied(run), schema)
+
+
 def utf8_length(column: str):
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")

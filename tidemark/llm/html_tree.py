@@ -12,16 +12,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterable
+from bisect import bisect
+from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, table, tidied
+from tidemark.llm.common import read_columns, reserved, table
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.{0,4096}?\]\]>|<[!?/](?![a-zA-Z])[^>]*>|<![^>]*>"""
@@ -71,6 +71,8 @@ FEATURES = _SHAPE + 24
 KINDS = {"#text": 0, "p": 1, "li": 3, "td": 3, "dd": 3, "dt": 3, "ul": 4, "ol": 4, "dl": 4, "table": 4, "div": 5, "section": 5, "article": 6, "main": 6}
 KINDS |= dict.fromkeys("h1 h2 h3 h4 h5 h6 blockquote pre figure".split(), 2) | dict.fromkeys("nav header footer aside form".split(), 7)
 N_KINDS = 9
+#: Depth of the tree, at most.
+MAX_DEPTH = 512
 
 
 @dataclass
@@ -102,31 +104,49 @@ def attribute_words(attrs: str) -> list[int]:
 
 
 def parse(page: str | None) -> Tree:
-    """A tolerant reading of any string: unclosed, misnested and stray tags are put right as browsers do, roughly."""
+    """A tolerant reading of any string, in linear time: unclosed, misnested and stray tags are put right as browsers do, roughly.
+
+    What is nested deeper than MAX_DEPTH hangs on the element at that depth, as in
+    browsers; no text is lost.
+    """
     tree = Tree()
     stack = [tree.add("html", -1, [])]
+    opened: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    seen: set[str] = set()
     run: list[tuple[str, bool]] = []
     links = 0
 
+    def cut(down: int):
+        while len(stack) > down:
+            opened[tree.tag[stack.pop()]].pop()
+
+    def push(tag: str, words: list[int]):
+        seen.add(tag)
+        opened[tag].append(len(stack))
+        stack.append(tree.add(tag, inmost(), words))
+
+    def inmost() -> int:
+        return stack[min(len(stack), MAX_DEPTH) - 1]
+
     def flush():
         nonlocal links
         if run:
             text = " ".join("".join(html.unescape(t) for t, _ in run).split())
             if text:
                 body()
-                tree.add("#text", stack[-1], [], text, sum(len(t) for t, a in run if a))
+                tree.add("#text", inmost(), [], text, sum(len(t) for t, a in run if a))
             run.clear()
 
     def body():
         """What is in no body yet opens one, as in browsers."""
         if tree.tag[stack[-1]] in ("html", "head"):
-            del stack[1:]
-            stack.append(tree.add("body", stack[0], []))
+            cut(1)
+            push("body", [])
 
     def close(down: int):
         nonlocal links
         flush()
-        del stack[down:]
+        cut(down)
         links = 0
 
     at, page = 0, page or ""
@@ -145,22 +165,22 @@ def parse(page: str | None) -> Tree:
                 links += name == "a" and links == 0
             elif name in VOID:
                 flush()
-            elif name in ("html", "frameset") or name == "body" and "body" in tree.tag:
+            elif name in ("html", "frameset") or name == "body" and "body" in seen:
                 continue
             else:
-                inner, outer = ENDS.get(name, ((), ()))
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tree.tag[stack[k]]
-                    if t in outer:
-                        break
-                    if t in inner or t == "p" or t == name and name[0] == "h" and name[1:].isdigit():
-                        close(k)
-                    elif not inner:
-                        break
+                if name in ENDS:
+                    inner, outer = ENDS[name]
+                    above = max((opened[t][-1] for t in outer if opened[t]), default=0)
+                    below = [opened[t][k] for t in (*inner, "p") if (k := bisect(opened[t], above)) < len(opened[t])]
+                    if below:
+                        close(min(below))
+                else:
+                    while len(stack) > 1 and ((t := tree.tag[stack[-1]]) == "p" or t == name and name[0] == "h" and name[1:].isdigit()):
+                        close(len(stack) - 1)
                 flush()
                 if name not in ("head", "body"):
                     body()
-                stack.append(tree.add(name, stack[-1], attribute_words(m["attrs"] or "")))
+                push(name, attribute_words(m["attrs"] or ""))
         elif name := m["end"]:
             name = name.lower()
             if name == "a":
@@ -172,10 +192,8 @@ def parse(page: str | None) -> Tree:
                 if name == "p" and tree.tag[stack[-1]] == "p":
                     close(len(stack) - 1)
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[k]] == name:
-                        close(k)
-                        break
+                if opened[name]:
+                    close(opened[name][-1])
                 else:
                     flush()
     if at < len(page):  # browsers drop a tag that never ends
@@ -195,7 +213,8 @@ class Forest:
     feature: np.ndarray
 
     def __post_init__(self):
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
 
 
 def plant(trees: list[Tree]) -> Forest:
@@ -311,19 +330,16 @@ def extract_main_text(pages: DataFrame, weights: Weights, html_column: str = "ht
     whatever their length; repeated rows are each read; an empty table gives no
     rows.  Other columns pass through; ``name`` must not be one of them.
     """
-    if name in pages.columns:
-        raise ValueError(f"pages has a column {name} already")
+    reserved(pages, name)
     sent = pages.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterable[pd.DataFrame]):
-        for batch in batches:
-            source, texts = batch[html_column].tolist(), []
-            for k in range(0, len(source), 64):
-                texts += ["\n".join(x) for x in extract(source[k : k + 64], sent.value)]
-            batch[name] = pd.Series(texts, index=batch.index, dtype=object)
-            yield batch
+    def read(source: list[str | None]):
+        texts = []
+        for k in range(0, len(source), 64):
+            texts += ["\n".join(x) for x in extract(source[k : k + 64], sent.value)]
+        return (texts,)
 
-    return bounded_batches(pages).mapInPandas(tidied(run), pages.withColumn(name, F.lit("")).schema)
+    return read_columns(pages, html_column, {name: "string"}, read)
 
 
 def op6_tree_marginals(spark, sf_dir, training_pages=600):

@@ -14,12 +14,11 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, free_name, table, tidied
+from tidemark.llm.common import free_name, read_columns, table
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -121,17 +120,13 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Iter
     """key, the MEASURES and fail_bits of every row; a map, nothing is shuffled.
 
     Null and empty texts measure 0 and fail too_few_words; repeated rows have an
-    entry each; an empty table gives no rows; other columns are not carried.
+    entry each; an empty table gives no rows; other columns are not carried.  A
+    null key stays null and the others as they are, whatever their size.
     """
-    fields = docs.select(key).withColumns({m: F.lit(0).cast("long") for m in MEASURES})
-
-    def run(batches: Iterable[pd.DataFrame]):
-        for batch in batches:
-            out = pd.DataFrame([measure(x) for x in batch[text]], columns=list(MEASURES), index=batch.index, dtype="int64")
-            out.insert(0, key, batch[key])
-            yield out
-
-    return bounded_batches(docs.select(key, text)).mapInPandas(tidied(run), fields.schema).withColumn("fail_bits", failure_bits(rules))
+    if key in (*MEASURES, "fail_bits"):
+        raise ValueError(f"{key} is the name of a measure, not of a key")
+    read = lambda texts: tuple(zip(*map(measure, texts))) if texts else ((),) * len(MEASURES)
+    return read_columns(docs, text, dict.fromkeys(MEASURES, "long"), read, [key]).withColumn("fail_bits", failure_bits(rules))
 
 
 def apply_policies(entries: DataFrame, policies: Iterable[Policy] = POLICIES, rules: Iterable[Rule] = RULES) -> DataFrame:

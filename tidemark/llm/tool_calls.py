@@ -17,12 +17,13 @@ from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, durable, durable_with, table, tidied
 
-_EVENT = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.DOTALL)
+_TAG = re.compile(r"<(/?)tool_(call|result)>")
 _EVENTS = (
     "conv_id {key}, turn long, idx long, kind string, role string, call_id string, name string, body string, "
     "refs array<string>, problems array<string>"
@@ -139,13 +140,34 @@ def references(value: object) -> set[str]:
     return set().union(*map(references, value)) if isinstance(value, list) else set()
 
 
+def split_events(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """The text outside of events, and each event's kind and body; one pass from the end to find each tag's close, one forwards.
+
+    An opening tag goes to the next closing one of its kind, whatever is between;
+    one that has none, or a stray closing tag, is text.
+    """
+    tags = list(_TAG.finditer(text))
+    close: list[re.Match | None] = [None] * len(tags)
+    nearest: dict[str, re.Match] = {}
+    for i in range(len(tags) - 1, -1, -1):
+        close[i] = nearest.get(tags[i][2])
+        if tags[i][1]:
+            nearest[tags[i][2]] = tags[i]
+    rest, events, at = [], [], 0
+    for tag, end in zip(tags, close):
+        if tag.start() >= at and not tag[1] and end is not None:
+            rest.append(text[at : tag.start()])
+            events.append((tag[2], text[tag.end() : end.start()]))
+            at = end.end()
+    return "".join([*rest, text[at:]]), events
+
+
 def read_events(text: str | None, role: str | None, schemas: Mapping[str, Mapping]) -> list[dict]:
     """The message itself, then its calls and results in order; what cannot be read is kept with its problems."""
-    text = text or ""
-    rest = _EVENT.sub("", text)
+    rest, events = split_events(text or "")
     out = [{"kind": "message", "body": canonical({"content": rest, "role": role}), "problems": []}]
-    for m in _EVENT.finditer(text):
-        kind, raw, event = m[1], m[2], {"problems": [], "refs": []}
+    for kind, raw in events:
+        event: dict = {"problems": [], "refs": []}
         try:
             value = read_json(raw)
             if not isinstance(value, dict) or not isinstance(value.get("id"), (str, int)) or isinstance(value.get("id"), bool):
@@ -175,17 +197,21 @@ def message_events(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataF
     sent = messages.sparkSession.sparkContext.broadcast(dict(schemas))
     key = messages.schema["conv_id"].dataType.simpleString()
 
-    def run(batches: Iterable[pd.DataFrame]):
+    def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            rows = []
-            for conv, turn, role, text in batch.itertuples(index=False):
+            of, rows = [], []
+            for k, (role, text) in enumerate(zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())):
                 for i, e in enumerate(read_events(text, role, sent.value)):
-                    rows.append((conv, turn, i, e["kind"], role, e.get("call_id"), e.get("name"), e["body"], e.get("refs", []), e["problems"]))
-            out = pd.DataFrame(rows, columns=["conv_id", "turn", "idx", "kind", "role", "call_id", "name", "body", "refs", "problems"])
-            yield out.astype({"conv_id": batch["conv_id"].dtype, "turn": "Int64"}) if len(out) else out
+                    of.append(k)
+                    rows.append((i, e["kind"], role, e.get("call_id"), e.get("name"), e["body"], e.get("refs", []), e["problems"]))
+            kinds = [pa.int64(), *[pa.string()] * 5, *[pa.list_(pa.string())] * 2]
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+            # keys are taken as Arrow arrays: pandas would round large ones beside a null
+            keys = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("conv_id", "turn")]
+            yield pa.RecordBatch.from_arrays([*keys, *made], ["conv_id", "turn", "idx", "kind", "role", "call_id", "name", "body", "refs", "problems"])
 
     kept = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return bounded_batches(kept).mapInPandas(tidied(run), _EVENTS.format(key=key))
+    return bounded_batches(kept).mapInArrow(tidied(run), _EVENTS.format(key=key))
 
 
 def levels_of(edges: list[tuple[str, str]]) -> dict[str, int | None]:

@@ -167,6 +167,7 @@ def tidied(run: Callable) -> Callable:
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
     "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64()),
 }
 
 

@@ -8,9 +8,12 @@ from tidemark.llm import (
     decontamination,
     html_tree,
     importance,
+    lattice_scores,
+    lexical_search,
     line_spread,
     rule_ledger,
     sharding,
+    source_audit,
     token_counts,
     tool_calls,
 )
@@ -28,10 +31,15 @@ QUERIES = {
         dart_minhash.op8_dart_minhash,
         bpe_automaton.op9_bpe_automaton,
         line_spread.op10_distinct_site_spread,
+        lexical_search.op11_inverted_treaps,
+        source_audit.op12_wide_term_vectors,
+        lattice_scores.op13_subword_lattice,
     )
 }
 ORACLES = {
     "op1_suffix_automaton": decontamination.OP1_SQL,
     "op7_rule_ledger": rule_ledger.OP7_SQL,
     "op10_distinct_site_spread": line_spread.OP10_SQL,
+    "op11_inverted_treaps": lexical_search.OP11_SQL,
+    "op12_wide_term_vectors": source_audit.OP12_SQL,
 }

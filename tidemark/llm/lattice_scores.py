@@ -59,7 +59,9 @@ class Pieces:
     def __init__(self, scores: Mapping[str, float]):
         self.scores = dict(scores)
         self.bytes = [scores[f"<0x{b:02X}>"] for b in range(256)]
-        self.longest = max((len(p) for p in scores if not _BYTE.fullmatch(p)), default=1)
+        # a text may hold the name of a byte, which is no piece there
+        self.spelled = {p: s for p, s in scores.items() if not _BYTE.fullmatch(p)}
+        self.longest = max(map(len, self.spelled), default=1)
 
     def arcs(self, word: bytes) -> tuple[int, list[tuple[int, int, str | None, float]]]:
         """How many characters the marked word has, and the arcs (from, to, piece or None for a character's bytes, score), in order of ``from``.
@@ -71,7 +73,7 @@ class Pieces:
         for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 piece = text[i:j]
-                if (s := self.scores.get(piece)) is not None and (i == 0) == (piece[0] == START):
+                if (s := self.spelled.get(piece)) is not None and (i == 0) == (piece[0] == START):
                     out.append((i, j, piece, s))
             spelled = text[i].encode("utf-8", "surrogateescape")
             out.append((i, i + 1, None, sum(self.bytes[b] for b in spelled)))

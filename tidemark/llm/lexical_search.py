@@ -251,11 +251,13 @@ class Best:
 def query_blocks(queries: DataFrame, key: str, text: str, max_bytes: int) -> Iterator[list[tuple[object, list[str]]]]:
     """Each distinct query's key and terms, in blocks of about ``max_bytes`` of text, so that what is broadcast is bounded."""
     rows = queries.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).distinct()
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_bytes))
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, min(n, -(-size // max_bytes)))
     for k in range(blocks):
         some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == k)
         found = [(r["key"], sorted({t.decode("utf-8", "replace") for t in terms_of(r["text"])})) for r in some.collect()]
-        yield [(q, terms) for q, terms in found if terms]
+        if found := [(q, terms) for q, terms in found if terms]:
+            yield found
 
 
 def weight(documents: int, holding: int) -> int:
@@ -273,18 +275,18 @@ def search(index: Index, queries: DataFrame, k: int = 10, key: str = "item_id",
     """
     spark = queries.sparkSession
     kind = queries.schema[key].dataType.simpleString()
-    out = None
+    out = spark.createDataFrame([], f"{key} {kind}, rank int, doc_id long, score long")
     for block in query_blocks(queries, key, text, max_bytes):
-        found = _search_block(index, block, k, max_bytes)
+        found = _search_block(index, block, k)
         names = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(block)], f"query int, {key} {kind}")
         order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked = ranked.join(F.broadcast(names), "query").select(key, "rank", "doc_id", "score")
-        out = ranked if out is None else out.unionByName(ranked)
+        out = out.unionByName(ranked)
     return out
 
 
-def _search_block(index: Index, block: list[tuple[object, list[str]]], k: int, max_bytes: int) -> DataFrame:
+def _search_block(index: Index, block: list[tuple[object, list[str]]], k: int) -> DataFrame:
     spark = index.rows.sparkSession
     documents, total = index.documents, index.terms
     wanted = spark.createDataFrame([(t,) for t in sorted({"", *(t for _, terms in block for t in terms)})], "term string")

@@ -1,74 +1,41 @@
-"""Upserts and append-only writes on Parquet tables.
-
-Tables are folders of Parquet; a rewrite goes to a new folder that then takes
-the old one's place, so a failed job leaves the table as it was.
-"""
+"""Upserts and append-only writes on versioned tables."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else like.limit(0)
+from tidemark.sources.snapshots import SnapshotTable
 
 
-def swap(df: DataFrame, path: str) -> None:
-    spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    fs, p = _fs(spark, path)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(p):
-        fs.rename(p, path_of(old))
-    fs.rename(path_of(fresh), p)
-    if fs.exists(path_of(old)):
-        fs.delete(path_of(old), True)
+def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A table as of its newest or an earlier version."""
+    return SnapshotTable(spark, path).read(version)
 
 
-def insert_ignore(rows: DataFrame, path: str, keys: list[str], order: str) -> int:
+def insert_ignore(rows: DataFrame, path: str, keys: list[str], order: str, batch: tuple[str, int] | None = None) -> int:
     """Appends the first row of each key that the table lacks; running it again adds nothing.  Returns how many."""
-    spark = rows.sparkSession
-    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
-    fresh = first.join(read_or_empty(spark, path, rows).select(*keys), keys, "left_anti").select(*rows.columns)
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").parquet(path)
-    return n
+    return SnapshotTable(rows.sparkSession, path).insert_ignore(rows, keys, order, batch)
 
 
-def insert_or_replace(rows: DataFrame, path: str, keys: list[str], version: str) -> None:
+def insert_or_replace(rows: DataFrame, path: str, keys: list[str], version: str) -> int:
     """The table with ``rows`` in it; of each key the row of the highest version stays."""
-    all_rows = read_or_empty(rows.sparkSession, path, rows).unionByName(rows)
-    swap(all_rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(version)))).where("_r = 1").drop("_r"), path)
+    return SnapshotTable(rows.sparkSession, path).insert_or_replace(rows, keys, version)
 
 
-def replace_version(rows: DataFrame, path: str, column: str) -> None:
-    """Rewrites just the partitions of the versions in ``rows``."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+def replace_version(rows: DataFrame, path: str, column: str) -> int:
+    """Replaces just the rows of the versions in ``rows``."""
+    return SnapshotTable(rows.sparkSession, path).replace_version(rows, column)
 
 
-def rebuild(rows: DataFrame, path: str) -> None:
-    swap(rows, path)
+def rebuild(rows: DataFrame, path: str) -> int:
+    return SnapshotTable(rows.sparkSession, path).rebuild(rows)
 
 
-def prune(spark: SparkSession, path: str, column: str, current: str) -> None:
-    swap(spark.read.parquet(path).where(F.col(column) == current), path)
+def prune(spark: SparkSession, path: str, column: str, current: str) -> int:
+    return SnapshotTable(spark, path).prune(column, current)
 
 
 class AppendOnly:
@@ -87,16 +54,17 @@ def freeze_artifact(spark: SparkSession, document: dict, path: str, name: str, v
     text = json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     row = spark.createDataFrame([(name, version, text)], "name string, version string, document string").withColumn("artifact_hash", F.sha2("document", 256))
     digest = row.first()["artifact_hash"]
-    had = read_or_empty(spark, path, row).where((F.col("name") == name) & (F.col("version") == version)).select("artifact_hash").limit(1).collect()
+    table = SnapshotTable(spark, path)
+    had = table.read(like=row).where((F.col("name") == name) & (F.col("version") == version)).select("artifact_hash").limit(1).collect()
     if had and had[0][0] != digest:
         raise ValueError(f"{name} {version} is frozen with other content")
     if not had:
-        row.write.mode("append").parquet(path)
+        table.insert_ignore(row, ["name", "version"], "artifact_hash")
     return digest
 
 
 def verify_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("name", "version", (F.sha2("document", 256) == F.col("artifact_hash")).alias("intact"))
+    return read(spark, path).select("name", "version", (F.sha2("document", 256) == F.col("artifact_hash")).alias("intact"))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +33,9 @@ def deduplicated(stream: DataFrame, delay: str = "3 days", at: str = "published_
 
 def append_observations(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
     """Appends what the table lacks, batch by batch; a replayed batch adds nothing."""
-    write = stream.writeStream.foreachBatch(lambda df, _: sinks.insert_ignore(df, path, ["observation_key"], "published_ts")).option("checkpointLocation", checkpoint)
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    add = lambda df, n: sinks.insert_ignore(df, path, ["observation_key"], "published_ts", (name, n))
+    write = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (write.trigger(availableNow=True) if once else write).start()
 
 

@@ -23,7 +23,7 @@ from tidemark.llm.common import bounded_batches, durable, table, tidied
 #: A language keeps the terms in so many of its documents at least, and a source reports so many terms.
 MIN_DOCS, TOP_TERMS = 10, 10
 #: Entries of a task's running counts, before they are sent on.
-RUNNING = 200_000
+RUNNING = 400_000
 #: Groups (lang, source) that may be broadcast; a result has a row for each pair of a language's sources, so there are not more in any that can be read.
 BROADCAST_GROUPS = 200_000
 
@@ -52,24 +52,28 @@ def term_counts(docs: DataFrame, running: int = RUNNING) -> DataFrame:
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def sent():
-            rows = [(*group, term.decode("utf-8", "replace"), n, holders[term]) for group, (times, holders) in counts.items() for term, n in times.items()]
+            columns: list[list] = [[], [], [], [], []]
+            for (lang, source), (times, holders) in counts.items():
+                terms = list(times)
+                parts = (pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()), pa.array(times.values(), pa.int64()), pa.array(map(holders.__getitem__, terms), pa.int64()))
+                for column, part in zip(columns, parts):
+                    column.append(part)
             counts.clear()
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["lang", "source", "term", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                terms = Counter(terms_of(text))
+                terms = terms_of(text)
                 if terms:
                     times, holders = counts.setdefault((lang, source), (Counter(), Counter()))
                     times.update(terms)
-                    holders.update(terms.keys())
+                    holders.update(set(terms))
             if sum(len(times) for times, _ in counts.values()) > running:
                 yield sent()
         if counts:
             yield sent()
 
-    return bounded_batches(docs).mapInArrow(tidied(run), "lang string, source string, term string, n long, docs long")
+    return bounded_batches(docs).mapInArrow(tidied(run), "lang string, source string, term binary, n long, docs long")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -82,20 +86,29 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, term, counts (source: occurrences, for sources with any) of the terms that a language keeps."""
-    counted = term_counts(docs).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    vectors = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts"))
-    return vectors.where(F.col("docs") >= min_docs).select("lang", "term", "counts")
+def places(groups: DataFrame) -> DataFrame:
+    """lang, source, at: the place of each source among those of its language, in the order of their names."""
+    listed = groups.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    return listed.select("lang", F.posexplode("sources").alias("at", "source"))
 
 
-def profiles(groups: DataFrame, vectors: DataFrame) -> DataFrame:
-    """lang, kept (terms), sources (sorted), totals (of kept terms, a place for each source): a row for each language."""
-    per_source = vectors.select("lang", F.explode("counts").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+def term_vectors(docs: DataFrame, at: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, term, counts (place of the source: occurrences, for sources with any) of the terms that a language keeps."""
+    counted = term_counts(docs).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).join(at, ["lang", "source"])
+    vectors = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("counts"))
+    return vectors.where(F.col("docs") >= min_docs).select("lang", F.col("term").cast("string").alias("term"), "counts")
+
+
+def profiles(at: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A row for each language: lang, kept (terms), and by place sources, totals (of kept terms) and absent, the share of a term that a source lacks."""
+    per_source = vectors.select("lang", F.explode("counts").alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("total"))
     kept = vectors.groupBy("lang").agg(F.count("*").alias("kept"))
-    known = groups.join(per_source, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("total", F.lit(0)).cast("long").alias("total")).alias("s"))
+    known = at.join(per_source, ["lang", "at"], "left").select("lang", F.struct("at", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total")).alias("s"))
     rows = known.groupBy("lang").agg(F.sort_array(F.collect_list("s")).alias("s")).join(kept, "lang", "left")
-    return rows.select("lang", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.col("s.source").alias("sources"), F.col("s.total").alias("totals"))
+    n = F.coalesce("kept", F.lit(0)).cast("long")
+    # with no terms kept nothing is divided
+    absent = F.transform("s", lambda x: F.when(n > 0, share(F.lit(0), x.total, n)).otherwise(1))
+    return rows.select("lang", n.alias("kept"), F.col("s.source").alias("sources"), F.col("s.total").alias("totals"), absent.alias("absent"))
 
 
 def source_divergence(
@@ -116,43 +129,39 @@ def source_divergence(
     one place is a term's vector, which has an entry for each source.
     """
     rows = named(docs, text, lang, source)
-    vectors = durable(term_vectors(rows, min_docs))
-    groups = rows.select("lang", "source").distinct()
-    found = durable(profiles(groups, vectors))
-    few = (found.agg(F.sum(F.size("sources"))).first()[0] or 0) <= BROADCAST_GROUPS
-    wide = vectors.join(F.broadcast(found) if few else found, "lang")
-
-    # a place for each source of the language: is it there, and its share with and without the term
-    n = lambda s: F.coalesce(F.try_element_at("counts", s), F.lit(0))
-    place = lambda s, i: F.struct(
-        n(s).alias("n"),
-        share(n(s), F.get("totals", i), F.col("kept")).alias("p"),
-        share(F.lit(0), F.get("totals", i), F.col("kept")).alias("p0"),
+    at = durable(places(rows.select("lang", "source").distinct()))
+    few = at.count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else lambda df: df
+    vectors = durable(term_vectors(rows, small(at), min_docs))
+    found = durable(profiles(at, vectors))
+    wide = vectors.join(small(found), "lang")
+
+    # a place for each source of the language: is the term there, and its share
+    place = lambda absent, i: F.struct(
+        F.map_contains_key("counts", i).alias("has"),
+        F.when(F.map_contains_key("counts", i), share(F.try_element_at("counts", i), F.get("totals", i), F.col("kept"))).otherwise(absent).alias("p"),
     )
-    placed = wide.select("lang", "term", "sources", "totals", "kept", F.transform("sources", place).alias("v"))
+    placed = wide.select("lang", F.transform("absent", place).alias("v"))
 
-    # what a term adds to a pair beyond what terms that neither source has add
+    # what a term adds to a pair of sources of which one has it at least
     def with_later(x: Column, i: Column) -> Column:
-        later = F.transform(
-            F.slice("v", i + 2, F.size("v")),
-            lambda y, k: F.struct(i.alias("i"), (i + 1 + k).alias("j"), (divergence(x.p, y.p) - divergence(x.p0, y.p0)).alias("d")),
-        )
-        return F.filter(later, lambda e: e.d != 0)
-
-    pairs = placed.select("lang", F.explode(F.flatten(F.transform("v", with_later))).alias("e")).groupBy("lang", "e.i", "e.j").agg(F.sum("e.d").alias("d"))
-    both = pairs.union(pairs.select("lang", "j", "i", "d"))
-    ends = found.select("lang", "kept", "sources", "totals", F.posexplode("sources").alias("i", "source"))
-    ends = ends.select("lang", "kept", "totals", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
-    absent = lambda c: share(F.lit(0), F.get("totals", F.col(c)), F.col("kept"))
-    # with no terms kept nothing is divided
-    base = F.when(F.col("kept") > 0, F.col("kept") * divergence(absent("i"), absent("j"))).otherwise(0)
-    apart = ends.join(both, ["lang", "i", "j"], "left").select("lang", "source", "item", (base + F.coalesce("d", F.lit(0))).cast("long").alias("value"))
+        later = F.transform(F.slice("v", i + 2, F.size("v")), lambda y, k: F.when(x.has | y.has, F.struct(i.alias("i"), (i + 1 + k).alias("j"), divergence(x.p, y.p).alias("d"))))
+        return F.filter(later, lambda e: e.isNotNull())
+
+    pairs = placed.select("lang", F.explode(F.flatten(F.transform("v", with_later))).alias("e")).groupBy("lang", "e.i", "e.j").agg(F.sum("e.d").alias("d"), F.count("*").alias("terms"))
+    both = pairs.union(pairs.select("lang", "j", "i", "d", "terms"))
+    ends = found.select("lang", "kept", "sources", "absent", F.posexplode("sources").alias("i", "source"))
+    ends = ends.select("lang", "kept", "absent", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
+    # and the terms that neither has, which all add the same
+    rest = (F.col("kept") - F.coalesce("terms", F.lit(0))) * divergence(F.get("absent", "i"), F.get("absent", "j"))
+    apart = ends.join(both, ["lang", "i", "j"], "left").select("lang", "source", "item", (rest + F.coalesce("d", F.lit(0))).cast("long").alias("value"))
 
     # the same vectors, against the language as a whole
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    q = share(total(F.col("v.n")), total(F.col("totals")), F.col("kept"))
-    more = placed.select("lang", "term", "sources", "v", q.alias("q")).select("lang", "term", "q", F.explode(F.arrays_zip("sources", "v")).alias("e"))
-    more = more.where("e.v.n > 0 AND e.v.p > q").select("lang", F.col("e.sources").alias("source"), F.col("term").alias("item"), divergence(F.col("e.v.p"), F.col("q")).alias("value"))
+    q = share(total(F.map_values("counts")), total(F.col("totals")), F.col("kept"))
+    more = wide.select("lang", "term", "sources", "totals", "kept", q.alias("q"), F.explode("counts").alias("at", "n"))
+    more = more.withColumn("p", share(F.col("n"), F.get("totals", "at"), F.col("kept"))).where("p > q")
+    more = more.select("lang", F.get("sources", "at").alias("source"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit(part))
     out = ranked(apart, "pair").unionByName(ranked(more, "term").where(F.col("rank") <= top))

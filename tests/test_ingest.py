@@ -146,3 +146,73 @@ def test_details_become_events(spark):
     assert got["disclosure:1"]["title"] == "c1: s1" and got["disclosure:1"]["published_ts"] == datetime(2023, 12, 29, 18, 23, 8)
     assert got["disclosure:2"]["title"] == "c2: subject" and got["disclosure:2"]["tickers"] == ["AAA"]
     assert got["disclosure:4"]["title"] == "?: ODA" and got["disclosure:4"]["event_type"] == "ODA/X"
+
+
+CALENDAR = [("2024-01-15", True, 65_400), ("2024-01-16", True, 65_400), ("2024-01-19", True, 46_800), ("2024-01-20", False, 65_400)]
+
+
+@pytest.fixture
+def calendar(spark):
+    return spark.createDataFrame(CALENDAR, "date string, is_trading boolean, close_sec int").withColumn("date", F.to_date("date"))
+
+
+def fetch(day, at, close=10.0, volume=5.0):
+    return {"date": day, "open": 9.0, "high": 12.0, "low": 8.0, "close": close, "volume": volume, "fetched_at": at}
+
+
+FETCH = "date date, open double, high double, low double, close double, volume double, fetched_at timestamp"
+
+
+def test_fetches_are_classified(spark, calendar):
+    data = [
+        fetch("2024-01-15", "2024-01-15 12:00:00"), fetch("2024-01-15", "2024-01-15 18:39:59"), fetch("2024-01-15", "2024-01-15 18:40:00"), fetch("2024-01-19", "2024-01-19 13:30:00", volume=0.0),
+        fetch("2024-01-20", "2024-01-21 12:00:00"), fetch("2024-01-15", None), fetch("2024-01-16", "2024-01-17 00:00:00", close=50.0), fetch("2024-01-15", "2024-01-16 00:00:00", volume=None), fetch("2031-01-01", "2031-01-02 00:00:00"),
+    ]
+    df = spark.read.schema(FETCH).json(spark.sparkContext.parallelize([json.dumps(x) for x in data], 1))
+    from tidemark.streaming import settlement
+
+    got = [(r["bar_status"], r["review"]) for r in settlement.classified(df.withColumn("i", F.monotonically_increasing_id()), calendar).orderBy("i").collect()]
+    assert got == [
+        ("provisional", None), ("provisional", None), ("complete", None), ("complete", "zero_volume_half"), ("provider_invalid", "non_trading_day"),
+        ("provisional", None), ("provider_invalid", None), ("complete", "missing_volume_full"), ("provider_invalid", "non_trading_day"),
+    ]
+
+
+def test_bars_settle_by_timers_and_corrections_stay(spark, calendar, tmp_path):
+    import os
+
+    from tidemark.streaming import settlement
+
+    batches = [
+        [fetch("2024-01-15", "2024-01-15 12:00:00", 9.5)],
+        [fetch("2024-01-15", "2024-01-15 18:45:00", 10.0), fetch("2024-01-16", "2024-01-16 12:00:00", 11.0)],  # the watermark passes the 15th's settlement
+        [fetch("2024-01-15", "2024-01-16 13:00:00", 10.0), fetch("2024-01-16", "2024-01-17 12:00:00", 11.0)],  # the 15th again, as it was
+        [fetch("2024-01-15", "2024-01-18 12:00:00", 10.5), fetch("2024-01-19", "2024-01-19 12:00:00", 8.5)],  # a correction
+        [fetch("2024-01-15", "2024-01-15 13:00:00", 1.0), fetch("2024-01-20", "2024-01-21 12:00:00", 8.5)],  # late and unsettled: dropped by the watermark; no session
+        [fetch("2024-01-16", "2024-01-22 12:00:00", 11.0)],  # now the 19th's timer goes off
+        [fetch("2024-01-19", "2024-01-22 13:00:00", 8.7)],  # settles late
+    ]
+    src = tmp_path / "src"
+    src.mkdir()
+    for n, rows_ in enumerate(batches):
+        (src / f"{n}.json").write_text("\n".join(map(json.dumps, rows_)))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n * 60,) * 2)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", settlement.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(FETCH).option("maxFilesPerTrigger", 1).json(str(src))
+        q = settlement.settled_bars(stream, calendar).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = sorted((r["date"], r["event"], r["close"], r["bar_status"]) for r in out.collect())
+    assert got == [
+        ("2024-01-15", "corrected", 10.5, "corrected"),
+        ("2024-01-15", "settled", 10.0, "complete"),
+        ("2024-01-16", "settled", 11.0, "complete"),
+        ("2024-01-19", "settled_late", 8.7, "complete"),
+        ("2024-01-19", "withheld", 8.5, "provisional"),
+        ("2024-01-20", "withheld", 8.5, "provider_invalid"),
+    ]
+    last = {r["date"]: (r["event"], r["close"]) for r in settlement.latest(out).collect()}
+    assert last == {"2024-01-15": ("corrected", 10.5), "2024-01-16": ("settled", 11.0), "2024-01-19": ("settled_late", 8.7), "2024-01-20": ("withheld", 8.5)}

@@ -34,6 +34,13 @@ def classify_bar(day: Column, fetched: Column, close_sec: Column, values: Sequen
     return status, flag
 
 
+def volume_review(trading: Column, close_sec: Column, volume: Column, early: int = 64_800) -> Column:
+    """Why a bar is to be looked at: a day without a session, or a session without volume; an early close has reasons of its own."""
+    kind = F.when(close_sec < early, "half").otherwise("full")
+    none = F.when(volume.isNull(), "missing_volume").when(volume == 0, "zero_volume")
+    return F.when(~trading, "non_trading_day").when(none.isNotNull(), F.concat_ws("_", none, kind))
+
+
 def resolve_bars(versions: DataFrame, key: str = "date", order: str = "fetched_at") -> DataFrame:
     """The standing bar of each key among its fetched versions.
 

@@ -205,6 +205,19 @@ def test_forward_recursion_sums_over_all_segmentations(word):
     assert size == pytest.approx(len(lattice_scores.START.encode()) + len(word), abs=1e-6)
 
 
+def test_many_words_at_once_are_as_each_alone():
+    r = random.Random(8)
+    letters = "abcdetuñ日▁<0x41>é"
+    words = ["".join(r.choice(letters) for _ in range(r.choice([1, 2, 4, 5, 9, 15, 30, 63, 64, 200]))).encode() for _ in range(120)] + [b"", b"\xff\xfea", b"the", b"the"]
+    pieces = lattice_scores.Pieces(lattice_scores.vocabulary(PATH))
+    assert pieces.log_probabilities(words) == pytest.approx([pieces.log_probability(w) for w in words], abs=1e-9)
+    many, one = defaultdict(float), defaultdict(float)
+    pieces.expected_in(words, many)
+    for w in words:
+        pieces.expected(w, one)
+    assert {k: v for k, v in many.items() if v > 1e-12} == pytest.approx({k: v for k, v in one.items() if v > 1e-12}, abs=1e-9)
+
+
 def test_no_utf8_and_long_words_have_a_score():
     pieces = lattice_scores.Pieces(lattice_scores.vocabulary(PATH))
     assert -100 < pieces.log_probability(b"\xff\xfe") < 0

@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Stands for the blank before a word in the vocabulary.
 START = "▁"
+#: Words up to these widths, with the blank, are read many at a time; longer ones one by one.
+WIDTHS, CHUNK = (6, 10, 16, 32, 64), 8_192
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -62,6 +65,27 @@ class Pieces:
         # a text may hold the name of a byte, which is no piece there
         self.spelled = {p: s for p, s in scores.items() if not _BYTE.fullmatch(p)}
         self.longest = max(map(len, self.spelled), default=1)
+        self._compile()
+
+    def _compile(self) -> None:
+        """The pieces as a trie: edges sorted by (node, character), and the piece that ends in a node, if any."""
+        self.names = list(self.spelled)
+        children: list[dict[int, int]] = [{}]
+        ends = [-1]
+        for k, piece in enumerate(self.names):
+            node = 0
+            for ch in map(ord, piece):
+                if (to := children[node].get(ch)) is None:
+                    to = children[node][ch] = len(children)
+                    children.append({})
+                    ends.append(-1)
+                node = to
+            ends[node] = k
+        edges = [(n << 21 | ch, to) for n, out in enumerate(children) for ch, to in out.items()]
+        keys, targets = (np.array(x, np.int64) for x in zip(*edges))
+        order = np.argsort(keys)
+        self.edges, self.targets = keys[order], targets[order]
+        self.ends, self.piece_scores = np.array(ends), np.array([self.spelled[p] for p in self.names])
 
     def arcs(self, word: bytes) -> tuple[int, list[tuple[int, int, str | None, float]]]:
         """How many characters the marked word has, and the arcs (from, to, piece or None for a character's bytes, score), in order of ``from``.
@@ -96,6 +120,36 @@ class Pieces:
         n, arcs = self.arcs(word)
         return self.forward(n, arcs)[n]
 
+    def together(self, words: list[bytes]) -> Iterator[tuple[list[int], Lattices]]:
+        """The lattices of all words that are not too long, many at a time, and the places of the words."""
+        by_width: dict[int, list[int]] = defaultdict(list)
+        for k, word in enumerate(words):
+            # no more characters than bytes
+            at = bisect_left(WIDTHS, 1 + len(word))
+            if at < len(WIDTHS):
+                by_width[WIDTHS[at]].append(k)
+        for width, places in by_width.items():
+            for a in range(0, len(places), CHUNK):
+                some = places[a : a + CHUNK]
+                yield some, Lattices(self, [words[k] for k in some], width)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        out = np.full(len(words), np.nan)
+        for places, lattices in self.together(words):
+            out[places] = lattices.total
+        for k in np.flatnonzero(np.isnan(out)):
+            out[k] = self.log_probability(words[k])
+        return out
+
+    def expected_in(self, words: list[bytes], into: dict[str, float]) -> None:
+        """Adds how often each piece is expected in all the words."""
+        known = np.zeros(len(words), bool)
+        for places, lattices in self.together(words):
+            known[places] = True
+            lattices.expected(into)
+        for k in np.flatnonzero(~known):
+            self.expected(words[k], into)
+
     def expected(self, word: bytes, into: dict[str, float], times: float = 1.0) -> None:
         """Adds how often each piece is expected in the word: forward and backward recursion."""
         n, arcs = self.arcs(word)
@@ -118,6 +172,65 @@ class Pieces:
                     into[f"<0x{b:02X}>"] += p
 
 
+class Lattices:
+    """The lattices of many words: ``forward``'s recursion as operations on a row for each word."""
+
+    def __init__(self, pieces: Pieces, words: list[bytes], width: int):
+        self.pieces, pad = pieces, "\U0010ffff"
+        texts = [START + w.decode("utf-8", "surrogateescape") for w in words]
+        self.sizes = np.array([len(t) for t in texts])
+        raw = "".join(t.ljust(width, pad) for t in texts).encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(raw, np.uint32).astype(np.int64).reshape(len(words), width)
+        self.characters, self.of = np.unique(codes, return_inverse=True)
+        self.of = self.of.reshape(codes.shape)
+        by_bytes = np.array([sum(pieces.bytes[b] for b in chr(c).encode("utf-8", "surrogateescape")) for c in self.characters.tolist()])[self.of]
+        # a mark inside the word is only bytes
+        codes = np.where((codes == ord(START)) & (np.arange(width) > 0), ord(pad), codes)
+        self.alpha = np.full((len(words), width + 1), -np.inf)
+        self.alpha[:, 0] = 0
+        #: (from, to, rows, pieces or None for bytes, scores), in order of from
+        self.steps: list[tuple] = []
+        for i in range(int(self.sizes.max(initial=0))):
+            rows = np.flatnonzero(self.sizes > i)
+            self._step(i, i + 1, rows, None, by_bytes[rows, i])
+            node = np.zeros(len(rows), np.int64)
+            for j in range(i, min(width, i + pieces.longest)):
+                key = node << 21 | codes[rows, j]
+                at = np.minimum(np.searchsorted(pieces.edges, key), len(pieces.edges) - 1)
+                ok = pieces.edges[at] == key
+                rows, node = rows[ok], pieces.targets[at[ok]]
+                if not len(rows):
+                    break
+                piece = pieces.ends[node]
+                some = piece >= 0
+                self._step(i, j + 1, rows[some], piece[some], pieces.piece_scores[piece[some]])
+        self.total = self.alpha[np.arange(len(words)), self.sizes]
+
+    def _step(self, i: int, j: int, rows: np.ndarray, piece: np.ndarray | None, scores: np.ndarray) -> None:
+        if len(rows):
+            self.steps.append((i, j, rows, piece, scores))
+            self.alpha[rows, j] = np.logaddexp(self.alpha[rows, j], self.alpha[rows, i] + scores)
+
+    def expected(self, into: dict[str, float]) -> None:
+        beta = np.full_like(self.alpha, -np.inf)
+        beta[np.arange(len(self.sizes)), self.sizes] = 0
+        by_piece, by_character = np.zeros(len(self.pieces.names)), np.zeros(len(self.characters))
+        for i, j, rows, piece, scores in reversed(self.steps):
+            rest = scores + beta[rows, j]
+            beta[rows, i] = np.logaddexp(beta[rows, i], rest)
+            p = np.exp(self.alpha[rows, i] + rest - self.total[rows])
+            if piece is None:
+                by_character += np.bincount(self.of[rows, i], p, len(by_character))
+            else:
+                by_piece += np.bincount(piece, p, len(by_piece))
+        for k in np.flatnonzero(by_piece).tolist():
+            into[self.pieces.names[k]] += float(by_piece[k])
+        for c, p in zip(self.characters.tolist(), by_character.tolist()):
+            if p:
+                for b in chr(c).encode("utf-8", "surrogateescape"):
+                    into[f"<0x{b:02X}>"] += p
+
+
 def log_sum(values: list[float]) -> float:
     if len(values) == 1:
         return values[0]
@@ -194,10 +307,13 @@ def learn_pieces(counts: DataFrame, start: dict[str, float], rounds: int = ROUND
         sent = spark.sparkContext.broadcast(scores)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent):
-            pieces, into = Pieces(sent.value), defaultdict(float)
+            pieces, into, words = Pieces(sent.value), defaultdict(float), []
             for batch in batches:
-                for word in batch.column("word").to_pylist():
-                    pieces.expected(word, into)
+                words += batch.column("word").to_pylist()
+                if len(words) >= CHUNK:
+                    pieces.expected_in(words, into)
+                    words = []
+            pieces.expected_in(words, into)
             if into:
                 yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "n"])
 
@@ -236,6 +352,13 @@ class Model:
             arcs.append(math.log(self.discount * self.distinct / self.tokens) + spelled)
         return log_sum(arcs) if arcs else math.log(0.5 / (self.tokens + 1))
 
+    def lattices(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """``lattice`` of many words."""
+        if not self.tokens:
+            return math.log(0.5) + spelled
+        whole = np.where(c > 0, np.log(np.maximum(c - self.discount, 1e-300) / self.tokens), -np.inf)
+        return np.logaddexp(whole, math.log(self.discount * self.distinct / self.tokens) + spelled)
+
 
 class Models:
     """The model of all training documents, and one of each language, which leaves a part to the former."""
@@ -249,6 +372,12 @@ class Models:
         own = (math.log(1 - SHARED) + m.lattice(n, spelled) for m, n in zip(self.languages, by))
         return [log_sum([shared, x]) / math.log(10) for x in own]
 
+    def scores_of(self, c: np.ndarray, by: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """``scores`` of many words, a row for each."""
+        shared = math.log(SHARED) + self.whole.lattices(c, spelled)
+        own = [math.log(1 - SHARED) + m.lattices(by[:, i], spelled) for i, m in enumerate(self.languages)]
+        return np.stack([np.logaddexp(shared, x) for x in own], axis=1) / math.log(10)
+
 
 def discount_of(once: int, twice: int) -> float:
     """Absolute discount from how many words occur once and twice."""
@@ -347,9 +476,11 @@ def scored_words(counts: DataFrame, models: Models, scores: Mapping[str, float])
     def run(batches: Iterable[pa.RecordBatch]):
         models, pieces = sent.value[0], Pieces(sent.value[1])
         for batch in batches:
-            words, n, by = (batch.column(c).to_pylist() for c in ("word", "c", "by"))
-            base = pa.array(map(models.whole.base, n), pa.float64())
-            found = pa.array([models.scores(c, b, pieces.log_probability(w)) for w, c, b in zip(words, n, by)], pa.list_(pa.float64()))
+            c = batch.column("c").to_numpy()
+            by = batch.column("by").flatten().to_numpy().reshape(len(c), -1)
+            base = pa.array(np.log10((c + SMOOTHING) / models.whole.under))
+            spelled = pieces.log_probabilities(batch.column("word").to_pylist())
+            found = pa.FixedSizeListArray.from_arrays(pa.array(models.scores_of(c, by, spelled).ravel()), by.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), base, found], ["word", "c", "base", "scores"])
 
     return bounded_batches(counts).mapInArrow(tidied(run), "word binary, c long, base double, scores array<double>")

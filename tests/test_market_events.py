@@ -88,8 +88,20 @@ def test_clustering_matches_the_sequential_rule(spark, seed):
         t = datetime(2024, 1, 2) + timedelta(hours=r.random() * 10 * 24) if r.random() < 0.8 else None
         rows.append((i, r.choice("fg"), t, (t or datetime(2024, 1, r.randint(2, 11))).date(), r.sample("abcdef", r.randint(1, 4)), r.sample("XY", r.randint(0, 1))))
     shuffled = r.sample(rows, len(rows))
-    got = {x["id"]: x["group_key"] for x in events.cluster_events(cluster_rows(spark, shuffled)).collect()}
-    assert got == reference_clusters(rows)
+    for block_rows in (60, 10**6):
+        got = {x["id"]: x["group_key"] for x in events.cluster_events(cluster_rows(spark, shuffled), block_rows=block_rows).collect()}
+        assert got == reference_clusters(rows)
+
+
+@pytest.mark.parametrize("gap", [1, 997])
+def test_close_ids_by_brute_force(spark, gap):
+    r = random.Random(gap)
+    rows = [(-500 + i * gap, datetime(2024, 1, 2) + timedelta(hours=r.random() * 5 * 24) if r.random() < 0.9 else None) for i in range(400)]
+    got = {x["id"]: x["close_id"] for x in events.close_ids(spark.createDataFrame(rows, "id long, moment timestamp_ntz"), 48).collect()}
+    far = lambda a, b: abs(int((a - datetime(2024, 1, 1)).total_seconds()) - int((b - datetime(2024, 1, 1)).total_seconds())) > 48 * 3600
+    want = {i: next((j for j, u in rows if j > i and t and u and far(t, u)), None) for i, t in rows}
+    assert got == want
+    assert events.close_ids(spark.createDataFrame([(1, None)], "id long, moment timestamp_ntz")).first()["close_id"] is None
 
 
 def test_event_timing_and_novelty(spark):

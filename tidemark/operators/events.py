@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -11,75 +12,141 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import finite, restrictiveness, sorted_list
 from tidemark.functions.text import jaccard
+from tidemark.sources.shared import written
 
 ALGORITHM = "cluster-v1"
 #: Hours that a group stays open after its seed, and thresholds with and without a common entity.
 OPEN_HOURS, WITH_ENTITY, WITHOUT_ENTITY = 48, 0.30, 0.60
 
 
+#: Children of a node of the tree over ids, as a power of two; rows that a block of a family has, about.
+FAN_BITS, BLOCK_ROWS = 6, 20_000
+
+
 def close_ids(rows: DataFrame, hours: int = OPEN_HOURS) -> DataFrame:
     """``rows`` (id, moment) with close_id: the first later id whose moment is more than ``hours`` from this one's.
 
     A group's anchor is its seed's moment and never moves, so this depends on no
-    assignment.  The first later id with a moment beyond (or before) the window
-    is found by blocks of ids with their least and greatest moments, so a row
-    meets few blocks and then the rows of one.
+    assignment.  Ids are the leaves of a tree, whose nodes know the least and
+    greatest moment below them.  A row looks among the later siblings of its leaf,
+    of that leaf's parent and so on up, and then down to the first leaf of what it
+    found: each step is a join on the parent, in which a row meets the children of
+    one node.
     """
     t = F.unix_seconds(F.col("moment").cast("timestamp"))
-    known = rows.where("moment IS NOT NULL").select("id", t.alias("t"))
-    size = 256
-    known = known.withColumn("blk", (F.col("id") / size).cast("long"))
-    blocks = known.groupBy("blk").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    limit = hours * 3600
-    # in the row's own block
-    a, b = known.alias("a"), known.alias("b")
-    far = F.abs(F.col("b.t") - F.col("a.t")) > limit
-    own = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("b.id") > F.col("a.id")) & far, "left").groupBy("a.id", "a.t", "a.blk").agg(F.min("b.id").alias("own"))
-    # else in the first later block that holds such a moment
-    rest = own.where("own IS NULL")
-    k = F.broadcast(blocks.alias("k"))  # one row for each 256 ids, of 24 bytes
-    hit = rest.join(k, (F.col("k.blk") > rest["blk"]) & ((F.col("hi") > F.col("t") + limit) | (F.col("lo") < F.col("t") - limit)), "left").groupBy("id", "t").agg(F.min("k.blk").alias("blk"))
-    c = known.select(F.col("id").alias("cid"), F.col("t").alias("ct"), "blk")
-    later = hit.join(c, "blk").where(F.abs(F.col("ct") - F.col("t")) > limit).groupBy("id").agg(F.min("cid").alias("later"))
-    found = own.select("id", "own").join(later, "id", "left").select("id", F.coalesce("own", "later").alias("close_id"))
-    return rows.join(found, "id", "left")
-
-
-def cluster_events(rows: DataFrame, family: str = "family", hours: int = OPEN_HOURS) -> DataFrame:
+    known = written(rows.where("moment IS NOT NULL").select("id", t.alias("t")))
+    first, last = known.agg(F.min("id"), F.max("id")).first()
+    if first is None:
+        return rows.withColumn("close_id", F.lit(None).cast("long"))
+    depth = max(1, -(-(last - first + 1).bit_length() // FAN_BITS))
+    leaf = F.col("id") - F.lit(first).cast("long")
+    at = lambda level: F.shiftright(leaf, FAN_BITS * level)
+    nodes = [written(known.groupBy(at(k).alias("n")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))) for k in range(depth)]
+    nodes = [x.withColumn("up", F.shiftright("n", FAN_BITS)) for x in nodes]
+    far = (F.col("hi") > F.col("t") + hours * 3600) | (F.col("lo") < F.col("t") - hours * 3600)
+    waiting, found = known, None
+    ups = []
+    for k in range(depth):
+        own = waiting.select("id", "t", at(k).alias("own"), F.shiftright(at(k), FAN_BITS).alias("up"))
+        hit = own.join(nodes[k], "up").where((F.col("n") > F.col("own")) & far).groupBy("id", "t").agg(F.min("n").alias("n"))
+        ups.append(written(hit))
+        waiting = waiting.join(ups[-1].select("id"), "id", "left_anti")
+    for k in range(depth - 1, 0, -1):
+        here = ups[k] if found is None else ups[k].unionByName(found)
+        found = here.withColumnRenamed("n", "up").join(nodes[k - 1], "up").where(far).groupBy("id", "t").agg(F.min("n").alias("n"))
+    leaves = ups[0] if found is None else ups[0].unionByName(found)
+    return rows.join(leaves.select("id", (F.col("n") + F.lit(first)).cast("long").alias("close_id")), "id", "left")
+
+
+class OpenGroups:
+    """The open groups of a family, taken from row to row in the order of ids."""
+
+    def __init__(self, state: str | None = None):
+        self.open = [g | {k: set(g[k]) for k in ("sessions", "words", "names")} for g in json.loads(state or "[]")]
+
+    def state(self, before: int | None) -> str:
+        """What a later block needs: the groups that are open at id ``before``, the same for the same groups."""
+        self.close(before)
+        return json.dumps([g | {k: sorted(g[k], key=lambda x: (x is None, x or "")) for k in ("sessions", "words", "names")} for g in self.open], sort_keys=True)
+
+    def close(self, at: int | None) -> None:
+        if at is not None:
+            self.open = [g for g in self.open if g["close"] is None or at < g["close"]]
+
+    def place(self, family: str, i: int, close: int | None, timed: bool, session: str | None, words: set[str], names: set[str]) -> tuple[str, float]:
+        self.close(i)
+        best, score = None, 0.0
+        for g in self.open:
+            if (not timed or not g["timed"]) and any(s != session for s in g["sessions"]):
+                continue
+            both = len(words & g["words"])
+            j = both / len(words | g["words"]) if words and g["words"] else 0.0
+            if j >= (WITH_ENTITY if names & g["names"] else WITHOUT_ENTITY) and j > score:
+                best, score = g, j
+        if best is None:
+            best, score = {"key": f"{family}:{i}", "close": close, "timed": timed, "sessions": set(), "words": words, "names": set()}, 1.0
+            self.open.append(best)
+        best["sessions"].add(session)
+        best["names"] |= names
+        return best["key"], score
+
+
+def cluster_events(rows: DataFrame, family: str = "family", hours: int = OPEN_HOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Candidate events: rows with group_key and similarity.
 
     ``rows``: id, family, moment (nullable), signal_date, tokens, entities (array
     of strings).  In id order, a row joins the open group of its family whose
     seed is most similar (the earliest seed wins ties) if the similarity reaches
-    0.30 with a common entity or 0.60 without; otherwise it seeds a group.  The
-    rule is sequential within a family, so a family is one task; families are the unit
-    of parallelism.
+    0.30 with a common entity or 0.60 without; otherwise it seeds a group.  Rows
+    without a family are a family of their own.
+
+    The rule is sequential, but a row depends on no more than the groups open
+    then.  So a family is cut into blocks of ids, which are placed side by side,
+    first as if nothing were open before them, and again for as long as the groups
+    that the block before leaves open are not those that it was placed with.  The
+    first block is right at once and each one after no later than a round after
+    the one before it; in practice a block forgets what came before within the
+    open hours, and few are placed more than twice or three times.  At the fixed
+    point the result is that of the sequential rule, and no task has more than a
+    block and the groups open before it.
     """
-    prepared = close_ids(rows, hours).select("id", F.col(family).alias("family"), "close_id", F.col("moment").isNotNull().alias("timed"), F.col("signal_date").cast("string").alias("session"), "tokens", "entities")
-
-    def assign(batch: pd.DataFrame) -> pd.DataFrame:
-        open_, out = [], []
-        for r in batch.sort_values("id").itertuples(index=False):
-            words, names = frozenset(r.tokens), set(r.entities)
-            open_ = [g for g in open_ if not (g["close"] == g["close"] and g["close"] is not None and r.id >= g["close"])]
-            best, score = None, 0.0
-            for g in open_:
-                if (not r.timed or not g["timed"]) and any(s != r.session for s in g["sessions"]):
-                    continue
-                both = len(words & g["words"])
-                j = both / len(words | g["words"]) if words and g["words"] else 0.0
-                if j >= (WITH_ENTITY if names & g["names"] else WITHOUT_ENTITY) and j > score:
-                    best, score = g, j
-            if best is None:
-                best = {"key": f"{r.family}:{r.id}", "close": r.close_id, "timed": r.timed, "sessions": set(), "words": words, "names": set()}
-                open_.append(best)
-                score = 1.0
-            best["sessions"].add(r.session)
-            best["names"] |= names
-            out.append((r.id, best["key"], score))
-        return pd.DataFrame(out, columns=["id", "group_key", "similarity"])
-
-    found = prepared.groupBy("family").applyInPandas(assign, "id long, group_key string, similarity double")
+    prepared = close_ids(rows, hours).select("id", F.coalesce(F.col(family).cast("string"), F.lit("")).alias("family"), "close_id", F.col("moment").isNotNull().alias("timed"), F.col("signal_date").cast("string").alias("session"), "tokens", "entities")
+    first, last, n = prepared.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    width = max(1, -(-(last - first + 1) // max(1, -(-n // block_rows)))) if n else 1
+    cut = F.floor((F.col("id") - F.lit(first or 0)) / width).cast("long")
+    placed = written(prepared.withColumn("block", cut))
+    key = ["family", "block"]
+    starts = placed.groupBy(*key).agg(F.min("id").alias("start"))
+    after = W.partitionBy("family").orderBy("block")
+    chain = written(starts.select(*key, F.lead("block").over(after).alias("next"), F.lead("start").over(after).alias("next_start")))
+
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: [] for c in ("family", "block", "id", "group_key", "similarity", "state")})
+        name, block = left["family"].iloc[0], left["block"].iloc[0]
+        groups, out = OpenGroups(right["state"].iloc[0] if len(right) else None), []
+        for r in left.sort_values("id").itertuples(index=False):
+            close = None if pd.isna(r.close_id) else int(r.close_id)
+            out.append((name, block, r.id, *groups.place(name, int(r.id), close, r.timed, r.session, set(r.tokens), set(r.entities)), None))
+        end = left["next_start"].iloc[0]
+        out.append((name, block, None, None, None, None if pd.isna(end) else groups.state(int(end))))
+        return pd.DataFrame(out, columns=["family", "block", "id", "group_key", "similarity", "state"]).astype({"id": "Int64"})
+
+    kind = "family string, block long, id long, group_key string, similarity double, state string"
+    spark = rows.sparkSession
+    given = spark.createDataFrame([], "family string, block long, state string")
+    todo, done = chain.select(*key), None
+    while True:
+        work = placed.join(todo, key).join(chain.select(*key, "next_start"), key)
+        now = written(work.groupBy(*key).cogroup(given.join(todo, key).groupBy(*key)).applyInPandas(place, kind))
+        kept = now if done is None else done.join(todo, key, "left_anti").unionByName(now)
+        done = written(kept)
+        left_open = done.where("id IS NULL").join(chain, key).where("next IS NOT NULL").select("family", F.col("next").alias("block"), "state")
+        todo = written(left_open.join(given.withColumnRenamed("state", "had"), key, "left").where("state <> coalesce(had, '[]')").select(*key))
+        given = left_open
+        if todo.isEmpty():
+            break
+    found = done.where("id IS NOT NULL").select("id", "group_key", "similarity")
     return rows.join(found, "id").withColumn("algorithm_version", F.lit(ALGORITHM))
 
 

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.pairs import overlap_pairs
+from tidemark.sources.shared import written
+
+#: Fixed value: similarity from which two groups that did not merge are worth a look, the threshold with a common entity less a band of 0.08.
+NEAR_MISS = 0.22
+#: Keys of a leaf of a hash tree, and children of a node.
+LEAF_KEYS, FAN = 1024, 64
+
 
 def crosstab(rows: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """Counts of row by column, with the columns named beforehand."""
@@ -99,6 +108,44 @@ def row_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
+def hash_tree(rows: DataFrame, key: str, columns: Sequence[str], leaf_keys: int = LEAF_KEYS, fan: int = FAN) -> DataFrame:
+    """level, node, n, digest: an ordered digest of ``rows`` as a tree over ranges of a whole-number key; the highest level has one node.
+
+    A leaf (level 0) is the hash of its rows' hashes in the order of (key, hash), a
+    node that of its children's in their order.  Equal roots mean equal rows in
+    equal order; where roots differ, ``tree_differences`` finds the ranges.  Leaves
+    are cut by key, so a change elsewhere does not move them; a leaf gathers the
+    hashes of ``leaf_keys`` keys (a key should not be repeated without bound), and
+    all else is smaller by ``fan`` from level to level.  Rows with a null key
+    are a leaf of their own, -1.
+    """
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    leaf = F.coalesce(F.floor(F.col(key) / leaf_keys).cast("long"), F.lit(-1))
+    ordered = lambda items, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("k"), items.alias("h")))), lambda x: x["h"]), "")
+    level = rows.groupBy(leaf.alias("node")).agg(F.count("*").alias("n"), F.sha2(ordered(row, F.coalesce(F.col(key).cast("long"), F.lit(0))), 256).alias("digest"))
+    out, number = [], 0
+    while True:
+        level = written(level.select(F.lit(number).alias("level"), "node", "n", "digest"))
+        out.append(level)
+        if level.count() <= 1:
+            return reduce(DataFrame.unionByName, out)
+        up = F.when(F.col("node") < 0, F.col("node")).otherwise(F.floor(F.col("node") / fan)).cast("long")
+        # when only the leaf of null keys and one other node are left, they meet
+        if level.count() == 2 and level.where("node <= 0").count() == 2:
+            up = F.lit(0).cast("long")
+        number += 1
+        level = level.groupBy(up.alias("node")).agg(F.sum("n").alias("n"), F.sha2(ordered(F.col("digest"), F.col("node")), 256).alias("digest"))
+
+
+def tree_differences(before: DataFrame, after: DataFrame, leaf_keys: int = LEAF_KEYS) -> DataFrame:
+    """The ranges of keys (from_key, to_key) in which two hash trees differ, with their rows before and after; null keys have a null range."""
+    a, b = (t.where("level = 0").select("node", F.col("n").alias(f"n_{x}"), F.col("digest").alias(f"d_{x}")) for t, x in ((before, "before"), (after, "after")))
+    off = a.join(b, "node", "full_outer").where(~F.col("d_before").eqNullSafe(F.col("d_after")))
+    key = lambda c: F.when(F.col("node") >= 0, c)
+    known = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return off.select(key(F.col("node") * leaf_keys).alias("from_key"), key((F.col("node") + 1) * leaf_keys - 1).alias("to_key"), known("n_before"), known("n_after"))
+
+
 def snapshot_markers(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Row count and highest key of each table."""
     out = None
@@ -173,9 +220,31 @@ def review_strata(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(links, "group_key", "left").select(F.explode(strata).alias("stratum"), "group_key", "similarity")
 
 
-def review_draw(groups: DataFrame, members: DataFrame, most: int = 15) -> DataFrame:
-    """The first ``most`` groups of each stratum in the order of their hashed keys."""
-    return stratified_sample(review_strata(groups, members), "stratum", "group_key", most)
+def review_draw(groups: DataFrame, members: DataFrame, most: int = 15, seeds: DataFrame | None = None) -> DataFrame:
+    """The first ``most`` groups of each stratum in the order of their hashed keys; with ``seeds``, the closest near misses too."""
+    drawn = stratified_sample(review_strata(groups, members), "stratum", "group_key", most)
+    if seeds is None:
+        return drawn
+    missed = near_miss_pairs(seeds, most).select(F.lit("near_miss_pair").alias("stratum"), "group_key", "similarity")
+    return drawn.select("stratum", "group_key", "similarity").unionByName(missed)
+
+
+def near_miss_pairs(seeds: DataFrame, most: int = 15, least: float = NEAR_MISS) -> DataFrame:
+    """The ``most`` closest pairs of groups that could have merged and did not: group_key, comparison_group_key, similarity.
+
+    ``seeds`` (group_key, family, session, tokens) are groups of one headline; those
+    of the same family and session are compared, if both are known.  A group goes
+    with the most similar of those behind it in the order of hashed keys, if
+    that is ``least`` similar.  Only groups that share a token in their prefixes
+    meet (``pairs.overlap_pairs``), never all of a session.
+    """
+    x = seeds.where("family IS NOT NULL AND session IS NOT NULL").select(F.col("group_key").alias("id"), "family", "session", F.array_distinct("tokens").alias("tokens"))
+    met = overlap_pairs(x, x, 1, same=["family", "session"], least_jaccard=least)
+    order = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    later = met.where((F.col("a") != F.col("b")) & (order("a") < order("b")))
+    best = later.groupBy(F.col("a").alias("group_key")).agg(F.min_by(F.struct("b", "jaccard"), F.struct(F.negative("jaccard"), order("b"))).alias("x"))
+    out = best.select("group_key", F.col("x.b").alias("comparison_group_key"), F.round("x.jaccard", 4).alias("similarity"))
+    return out.orderBy(F.desc("similarity"), order("group_key")).limit(most)
 
 
 def review_sheet(groups: DataFrame, mappings: DataFrame, headlines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.operators import events, indicators, market, provenance, reports,
 from tidemark.plans.common import assigned, eligible, shown, sql, trading_calendar
 from tidemark.plans.signal_plans import DOMESTIC, TONE
 from tidemark.plans.study_plans import DATASET, SCORED, _scored
-from tidemark.plans.text_plans import EVENT_GROUPS, HARD, KEY, SOFT, STRONG, TITLES, _folded, _groups, _has
+from tidemark.plans.text_plans import EVENT_GROUPS, HARD, KEY, SOFT, STRONG, TITLES, TOKENS, _folded, _groups, _has, _tokens
 from tidemark.sources import driver_tables as d
 
 QUERIES, SQL = {}, {}
@@ -139,6 +139,46 @@ def review_draw(spark, sf_dir):
     return shown(_review(spark, sf_dir)[1])
 
 
+@query(f"""WITH {TITLES}, {TOKENS}, seeds AS (SELECT 'doc:' || t.id AS k, d.lang AS family, d.source AS session, t.tokens FROM tok t JOIN documents d ON d.doc_id = t.id WHERE d.lang IS NOT NULL AND d.source IS NOT NULL),
+x AS (SELECT k, family, session, unnest(tokens) AS t FROM seeds), m AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.family = b.family AND a.session = b.session AND sha256(a.k) < sha256(b.k) GROUP BY 1, 2),
+j AS (SELECT a, b, n / (len(u.tokens) + len(v.tokens) - n) AS jaccard FROM m JOIN seeds u ON u.k = a JOIN seeds v ON v.k = b),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, sha256(b)) AS i FROM j WHERE jaccard >= {reports.NEAR_MISS})
+SELECT a AS group_key, b AS comparison_group_key, round(jaccard, 4) AS similarity FROM best WHERE i = 1 ORDER BY similarity DESC, sha256(a) LIMIT 15""")
+def near_miss_pairs(spark, sf_dir):
+    """Each document stands for a group of one headline, of its language and source."""
+    named = d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("family"), F.col("source").alias("session"))
+    seeds = _tokens(spark, sf_dir).select("id", "tokens").join(named, "id").withColumn("group_key", F.concat(F.lit("doc:"), "id"))
+    return shown(reports.near_miss_pairs(seeds))
+
+
+ORDER_ROW = "sha256(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '~'), coalesce(o_orderstatus, '~'), coalesce(strftime(o_orderdate, '%Y-%m-%d'), '~')))"
+ORDER_COLUMNS = ("o_orderkey", "o_orderstatus", "o_orderday")
+
+
+def _orders(spark, sf_dir):
+    return d.table(spark, sf_dir, "orders").withColumn("o_orderday", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query(f"""WITH leaf AS (SELECT o_orderkey // 1024 AS node, count(*) AS n, sha256(string_agg(h, '' ORDER BY o_orderkey, h)) AS digest FROM (SELECT o_orderkey, {ORDER_ROW} AS h FROM orders) x GROUP BY 1),
+one AS (SELECT node // 64 AS node, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM leaf GROUP BY 1),
+two AS (SELECT node // 64 AS node, sum(n) AS n, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM one GROUP BY 1),
+tree AS (SELECT 0 AS level, * FROM leaf UNION ALL SELECT 1, * FROM one WHERE (SELECT count(*) FROM leaf) > 1 UNION ALL SELECT 2, * FROM two WHERE (SELECT count(*) FROM one) > 1)
+SELECT CAST(level AS BIGINT) AS level, CAST(node AS BIGINT) AS node, CAST(n AS BIGINT) AS n, digest FROM tree""")
+def ordered_digest(spark, sf_dir):
+    return shown(reports.hash_tree(_orders(spark, sf_dir), "o_orderkey", ORDER_COLUMNS))
+
+
+@query("""WITH changed AS (SELECT DISTINCT o_orderkey // 1024 AS node FROM orders WHERE o_orderkey % 5000 IN (1, 2)),
+b AS (SELECT o_orderkey // 1024 AS node, count(*) AS n, count(CASE WHEN o_orderkey % 5000 <> 2 THEN 1 END) AS m FROM orders GROUP BY 1)
+SELECT CAST(b.node * 1024 AS BIGINT) AS from_key, CAST(b.node * 1024 + 1023 AS BIGINT) AS to_key, n AS n_before, m AS n_after FROM b JOIN changed ON changed.node = b.node""")
+def digest_differences(spark, sf_dir):
+    """Against a copy in which some orders have another status and some are gone."""
+    orders, k = _orders(spark, sf_dir), F.col("o_orderkey")
+    changed = orders.where(k % 5000 != 2).withColumn("o_orderstatus", F.when(k % 5000 == 1, "?").otherwise(F.col("o_orderstatus")))
+    before, after = (reports.hash_tree(x, "o_orderkey", ORDER_COLUMNS) for x in (orders, changed))
+    return shown(reports.tree_differences(before, after))
+
+
 @query(sql("assigned", f"WITH {REVIEW} SELECT group_key, id AS headline_id, source, label FROM g0 WHERE group_key IN (SELECT group_key FROM drawn WHERE i <= 15)"))
 def review_sheet(spark, sf_dir):
     headlines, drawn, members = _review(spark, sf_dir)

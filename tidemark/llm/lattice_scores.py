@@ -425,7 +425,7 @@ def score_documents(
     models = fitted(counts, ends)
     pieces = learn_pieces(counts, vocabulary(path))
     known = durable(scored_words(counts, models, pieces))
-    first = known.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    first = most_frequent(known, frequent).collect()
     place = {bytes(r["word"]): i for i, r in enumerate(first)}
     sent = spark.sparkContext.broadcast((place, np.array([(r["c"] > 0, r["base"], *r["scores"]) for r in first], float).reshape(len(first), 2 + len(ends))))
     whole = models.whole
@@ -469,6 +469,24 @@ def score_documents(
     )
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` at most and all of equal counts or none.
+
+    Counts are put into steps of a hundredth of their size, and a step's words are
+    all taken or none, so that only a short table of steps and then the words
+    themselves go to the driver, not every task's own highest.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in words.where("c > 0").groupBy(step).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    return words.where(F.lit(False) if least is None else (F.col("c") > 0) & (step >= least))
+
+
 def scored_words(counts: DataFrame, models: Models, scores: Mapping[str, float]) -> DataFrame:
     """word, c, and its scores by the base model and by the lattice in each language, worked out once for each word."""
     sent = counts.sparkSession.sparkContext.broadcast((models, scores))

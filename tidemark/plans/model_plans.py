@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import core
-from tidemark.operators import calendar, history, market, models, reports
+from tidemark.operators import calendar, grid, history, market, models, reports
 from tidemark.plans.common import eligible, shown, sql, trading_calendar
 from tidemark.plans.report_plans import camp
 from tidemark.sources import driver_tables as d
@@ -105,6 +105,52 @@ def baseline_comparison(spark, sf_dir):
     return shown(models.compare_to_baselines(_walk(spark, sf_dir, ("lags_ridge", LAGS, "ridge"), ("lag_ridge", LAGS[:1], "ridge"), ("mean", [], "mean")), ["mean"], "session"))
 
 
+FEATURE_SETS = {"none": [], "lag": ["lag_1"], "lags": LAGS, "sparse": ["lag_1", "sparse_1"]}
+SENSITIVITIES = {"all": "true", "busy": "volume_1 >= 5", "late": "session >= DATE'1997-06-01'"}
+
+
+def _grid(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    u = u.withColumns({"sparse_1": F.when(F.dayofmonth("session") == 3, F.col("lag_2")), "next_target": F.lead("target", 1).over(W.orderBy("session"))})
+    specs = grid.expand(FEATURE_SETS, ["target", "next_target"], list(SENSITIVITIES))
+    return u, models.build_folds(u, "session", GEOMETRY), specs
+
+
+def _holes(columns: list[str]) -> str:
+    """The columns with nulls and how many, in order of name, as the library lists them."""
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN count(*) > count({c}) THEN '{c}=' || (count(*) - count({c})) END" for c in sorted(columns)) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def _gate_sql(sensitivity: str, target: str, name: str) -> str:
+    columns = [*FEATURE_SETS[name], target]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    condition = SENSITIVITIES[sensitivity].replace("DATE'", "DATE '")
+    return f"""SELECT '{sensitivity}' AS sensitivity, '{target}' AS target, '{name}' AS feature_set, count(*) AS rows_total, count(CASE WHEN {complete} THEN 1 END) AS rows_complete, {_holes(columns)} AS missing,
+(SELECT coalesce(string_agg(CAST(fold AS VARCHAR), ',' ORDER BY fold), '') FROM (SELECT fold FROM f JOIN g USING (session) WHERE ({condition}) AND {complete.replace('target IS', 'g.target IS') if target == 'target' else complete} GROUP BY fold HAVING count(CASE WHEN role = 'train' THEN 1 END) >= 200 AND count(CASE WHEN role = 'test' THEN 1 END) >= 20) z) AS folds
+FROM g WHERE {condition}"""
+
+
+GATES_SQL = " UNION ALL ".join(_gate_sql(s, t, n) for s in SENSITIVITIES for t in ("target", "next_target") for n in FEATURE_SETS)
+
+
+@query(sql("long_bars", f"""WITH {UNITS}, g0 AS (SELECT session, target, lag(target) OVER (ORDER BY session) AS lag_1, lag(target, 2) OVER (ORDER BY session) AS lag_2, CAST(lag(volume) OVER (ORDER BY session) AS DOUBLE) AS volume_1, lead(target) OVER (ORDER BY session) AS next_target FROM y),
+g AS (SELECT *, CASE WHEN day(session) = 3 THEN lag_2 END AS sparse_1 FROM g0), gates AS ({GATES_SQL})
+SELECT sensitivity, target, feature_set, rows_total, rows_complete, CASE WHEN rows_total > 0 THEN round(rows_complete / rows_total, 4) END AS coverage, missing, folds, CASE WHEN rows_complete < 200 OR folds = '' THEN 'insufficient_sample' ELSE 'fitted' END AS status,
+CASE WHEN rows_complete < 200 THEN rows_complete || ' usable rows < minimum_sessions_to_fit 200' WHEN NOT EXISTS (SELECT 1 FROM f WHERE role IS NOT NULL) THEN 'no folds could be built from the available session range' WHEN folds = '' THEN 'no fold has >= 200 training and >= 20 test sessions with complete features' END AS requirement FROM gates"""))
+def validation_gates(spark, sf_dir):
+    """Which samples of the grid may be fitted at all, and what binds the others."""
+    u, folds, specs = _grid(spark, sf_dir)
+    out = grid.gates(u, folds, specs, SENSITIVITIES, minimum=200, minimum_test=20)
+    return shown(out.withColumn("folds", F.array_join(F.transform("fittable_folds", lambda x: x.cast("string")), ",")).drop("fittable_folds"))
+
+
+@query("")
+def validation_grid(spark, sf_dir):
+    """Every specification, fitted or refused; tests/test_grid.py holds the numbers against numpy."""
+    u, folds, specs = _grid(spark, sf_dir)
+    return shown(grid.run_grid(u, folds, specs, SENSITIVITIES, minimum=200, minimum_test=20)[0].drop("fittable_folds"))
+
+
 @query("")
 def cluster_bootstrap(spark, sf_dir):
     p = _mean_baseline(spark, sf_dir).withColumns({"error": F.abs(F.col("actual") - F.col("predicted")), "spec": F.lit("mean")})

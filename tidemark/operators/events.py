@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.core import finite, restrictiveness, sorted_list
 from tidemark.functions.text import jaccard
+from tidemark.operators.order_stats import grouped_quantiles
 from tidemark.sources.shared import written
 
 ALGORITHM = "cluster-v1"
@@ -155,13 +156,14 @@ def summarise_events(members: DataFrame, strong: float = 0.5) -> DataFrame:
     s = F.col("score")
     by_source = members.groupBy("group_key", "source").agg(F.avg(s).alias("m")).groupBy("group_key").agg(F.when(F.count("m") >= 2, F.stddev_pop("m")).alias("cross_source_std"))
     out = members.groupBy("group_key").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("headline_count"), F.count_distinct("source").alias("source_count"), F.avg(s).alias("mean_sentiment"), F.median(s).alias("median_sentiment"),
+        F.min("id").alias("first_id"), F.count("*").alias("headline_count"), F.count_distinct("source").alias("source_count"), F.avg(s).alias("mean_sentiment"),
         F.when(F.count(s) > 1, F.stddev_pop(s)).alias("dispersion"), F.min("moment").alias("first_seen"), F.max("moment").alias("last_seen"),
         F.count_if(s >= strong).alias("strong_positive"), F.count_if(s <= -strong).alias("strong_negative"), sorted_list(F.collect_set("source")).alias("sources"),
         F.count_if(F.col("moment").isNull()).alias("untimed"), F.count_if(F.col("is_recap") == 1).alias("recap_count"), F.count_distinct("signal_date").alias("sessions"),
     )
     span = (F.unix_seconds(F.col("last_seen").cast("timestamp")) - F.unix_seconds(F.col("first_seen").cast("timestamp"))) / 3600.0
-    return out.join(by_source, "group_key").withColumn("span_hours", span)
+    medians = grouped_quantiles(members, ["group_key"], s, {"median_sentiment": 0.5})
+    return out.join(by_source, "group_key").join(medians, "group_key", "left").withColumn("span_hours", span)
 
 
 def event_timing(members: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -163,40 +164,78 @@ def calibration(p: DataFrame, bins: int = 4) -> DataFrame:
     return p.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("predicted").alias("mean_predicted"), F.avg((F.col("actual") > 0).cast("double")).alias("observed"))
 
 
-def cluster_bootstrap(p: DataFrame, cluster: str, value: str, by: Sequence[str] = ("spec",), draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+#: Clusters of a block of the bootstrap, about, and draws that a task makes at once.
+BLOCK_CLUSTERS, DRAWS_AT_ONCE = 20_000, 100
+
+
+def resampled(sums: DataFrame, by: Sequence[str], cluster: str, values: Sequence[str], draws: int, seed: int, block: int = BLOCK_CLUSTERS) -> DataFrame:
+    """by, draw (-1 for the clusters as they are) and the sums of ``values`` over each draw of clusters with replacement.
+
+    Clusters are dealt into blocks.  How many picks of a draw fall to each block
+    is multinomial by the blocks' sizes, and every task works that out from (seed,
+    draw) alike; how often a block's own clusters are picked follows from (seed,
+    draw, block).  Together that is a draw of all clusters, of which a task sees a
+    block, and what it sends back has a row for each draw.
+    """
+    n = sums.groupBy(*by).agg(F.count("*").alias("_all"))
+    number = F.pmod(F.xxhash64(F.col(cluster)), F.greatest(F.lit(1), F.ceil(F.col("_all") / block))).cast("int")
+    left, right = sums.alias("s"), n.alias("n")
+    on = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by], F.lit(True))
+    dealt = left.join(F.broadcast(right), on).select("s.*", number.alias("_block"))
+    sizes = dealt.groupBy(*by, "_block").agg(F.count("*").alias("_size")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "_size"))).alias("_sizes"))
+    left, right = dealt.alias("d"), sizes.alias("z")
+    on = reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"z.{c}")) for c in by], F.lit(True))
+    rows = left.join(F.broadcast(right), on).select("d.*", "_sizes")
+
+    def draw(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(cluster, kind="stable")
+        mine, blocks = key[-1], [(int(z["_block"]), int(z["_size"])) for z in batch["_sizes"].iloc[0]]
+        numbers, counts = [k for k, _ in blocks], np.array([c for _, c in blocks])
+        at, all_ = numbers.index(mine), counts.sum()
+        x = batch[list(values)].to_numpy(float)
+        out = [(-1, *x.sum(axis=0))]
+        for a in range(0, draws, DRAWS_AT_ONCE):
+            for d in range(a, min(draws, a + DRAWS_AT_ONCE)):
+                picks = np.random.default_rng([seed, d]).multinomial(all_, counts / all_)[at]
+                chosen = np.random.default_rng([seed, d, mine + 1]).integers(0, len(x), picks)  # a last 0 would not count
+                out.append((d, *(np.bincount(chosen, minlength=len(x)) @ x)))
+        found = pd.DataFrame(out, columns=["draw", *values])
+        for c, k in reversed(list(zip(by, key))):
+            found.insert(0, c, k)
+        return found
+
+    names = "".join(f"`{c}` {sums.schema[c].dataType.simpleString()}, " for c in by)
+    parts = rows.groupBy(*by, "_block").applyInPandas(draw, f"{names}draw long, " + ", ".join(f"{v} double" for v in values))
+    return parts.groupBy(*by, "draw").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def _interval(draws: DataFrame, by: Sequence[str], estimate: Column) -> DataFrame:
+    """by, estimate, low and high: the estimate of the clusters as they are, and the 2.5th and 97.5th percentiles of its draws."""
+    e = draws.withColumn("_e", estimate)
+    drawn = F.col("draw") >= 0
+    share = lambda p: F.percentile(F.when(drawn, F.col("_e")), F.lit(p))
+    return e.groupBy(*by).agg(F.max(F.when(~drawn, F.col("_e"))).alias("estimate"), share(0.025).alias("low"), share(0.975).alias("high"))
+
+
+def cluster_bootstrap(p: DataFrame, cluster: str, value: str, by: Sequence[str] = ("spec",), draws: int = DRAWS, seed: int = SEED, block: int = BLOCK_CLUSTERS) -> DataFrame:
     """Mean of ``value`` with a 95 % interval from resampled clusters; one cluster gives no interval.
 
     Spark sums each cluster first; what is resampled is one pair of numbers a session.
     """
-    sums = p.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    sums = p.groupBy(*by, cluster).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).cast("double").alias("_n"))
+    clusters = sums.groupBy(*by).agg(F.count("*").alias("clusters"))
+    found = _interval(resampled(sums, by, cluster, ["_s", "_n"], draws, seed, block), by, F.try_divide("_s", F.greatest(F.col("_n"), F.when(F.col("draw") >= 0, 1.0).otherwise(0.0))))
+    several = lambda c: F.when(F.col("clusters") > 1, F.col(c)).alias(c)
+    return found.join(clusters, list(by)).select(*by, "estimate", several("low"), several("high"), "clusters")
 
-    def one(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(cluster)
-        s, n = batch["_s"].to_numpy(float), batch["_n"].to_numpy(float)
-        row = {**dict(zip(by, key)), "estimate": s.sum() / n.sum() if n.sum() else None, "low": None, "high": None, "clusters": len(s)}
-        if len(s) > 1:
-            pick = np.random.RandomState(seed).randint(0, len(s), size=(draws, len(s)))
-            m = s[pick].sum(axis=1) / np.maximum(n[pick].sum(axis=1), 1)
-            row["low"], row["high"] = np.percentile(m, [2.5, 97.5])
-        return pd.DataFrame([row])
 
-    names = ", ".join(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in by)
-    return sums.groupBy(*by).applyInPandas(one, f"{names}, estimate double, low double, high double, clusters long")
-
-
-def camp_gap_bootstrap(rows: DataFrame, camp, value: str, date: str, draws: int = 2000, seed: int = 20260707) -> DataFrame:
+def camp_gap_bootstrap(rows: DataFrame, camp, value: str, date: str, draws: int = 2000, seed: int = 20260707, block: int = BLOCK_CLUSTERS) -> DataFrame:
     """Interval of the difference of two camps' means by resampling dates; dates are summed first."""
-    sums = rows.groupBy(date).agg(*[f(F.when(camp == c, F.col(value))).alias(f"{n}{c}") for c in ("a", "b") for n, f in (("s", F.sum), ("n", F.count))]).na.fill(0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(batches)).sort_values(date)
-        m = {c: t[c].to_numpy(float) for c in ("sa", "na", "sb", "nb")}
-        gap = lambda i: m["sa"][i].sum(-1) / np.maximum(m["na"][i].sum(-1), 1) - m["sb"][i].sum(-1) / np.maximum(m["nb"][i].sum(-1), 1)
-        pick = np.random.default_rng(seed).choice(len(t), size=(draws, len(t)))
-        low, high = np.percentile(gap(pick), [2.5, 97.5])
-        yield pd.DataFrame([{"gap": float(gap(np.arange(len(t)))), "low": low, "high": high, "dates": len(t)}])
-
-    return sums.coalesce(1).mapInPandas(run, "gap double, low double, high double, dates long")
+    named = [(f(F.when(camp == c, F.col(value))), f"{n}{c}") for c in ("a", "b") for n, f in (("s", F.sum), ("n", F.count))]
+    sums = rows.groupBy(date).agg(*[F.coalesce(x, F.lit(0)).cast("double").alias(n) for x, n in named])
+    mean = lambda c: F.col(f"s{c}") / F.greatest(F.col(f"n{c}"), F.lit(1.0))
+    found = _interval(resampled(sums, (), date, ["sa", "na", "sb", "nb"], draws, seed, block), (), mean("a") - mean("b"))
+    return found.select(F.col("estimate").alias("gap"), "low", "high").crossJoin(F.broadcast(sums.agg(F.count("*").alias("dates"))))
 
 
 def sample_gate(folds: DataFrame, complete: DataFrame, session: str, features: int, per_feature: int = 5) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import finite, legacy_time_weight
+from tidemark.operators.order_stats import grouped_quantiles
 
 COMPOSITE = "__domestic__"
 
@@ -100,7 +103,6 @@ def family_signals(rows: DataFrame, observed: DataFrame, *keys: str) -> DataFram
     base = rows.groupBy(*keys).agg(
         F.avg(s).alias("simple_mean"),
         _mean(s, F.coalesce(F.col("relevance"), F.lit(1.0))).alias("relevance_weighted"),
-        F.median(s).alias("median_sentiment"),
         F.min(s).alias("min_sentiment"),
         F.max(s).alias("max_sentiment"),
         F.when(F.count(s) > 1, F.stddev_pop(s)).alias("sentiment_std"),
@@ -111,12 +113,11 @@ def family_signals(rows: DataFrame, observed: DataFrame, *keys: str) -> DataFram
         F.count_if(s.isNull()).alias("unresolved_count"),
         F.sum("is_ambiguous").alias("ambiguous_count"),
     )
+    medians = grouped_quantiles(rows, keys, s, {"median_sentiment": 0.5})
     carried = rows.select("id", *keys).join(observed, "id").where("source <> ''").groupBy(*keys).agg(F.count_distinct("source").alias("source_count"))
-    same = None
-    for k in keys:
-        on = F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}"))
-        same = on if same is None else same & on
-    out = base.alias("b").join(carried.alias("c"), same, "left").select("b.*", F.coalesce("c.source_count", F.lit(0)).alias("source_count"))
+    same = lambda side: reduce(lambda a, b: a & b, [F.col(f"b.{k}").eqNullSafe(F.col(f"{side}.{k}")) for k in keys])
+    out = base.alias("b").join(carried.alias("c"), same("c"), "left").join(medians.alias("m"), same("m"), "left")
+    out = out.select("b.*", "m.median_sentiment", F.coalesce("c.source_count", F.lit(0)).alias("source_count"))
     return out.withColumn("sample_sufficiency", sufficiency(F.col("headline_count"), F.col("source_count")))
 
 

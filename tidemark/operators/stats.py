@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import safe_corr
+from tidemark.operators.order_stats import average_ranks, grouped_quantiles
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -58,9 +59,7 @@ def correlation(rows: DataFrame, a: str, b: str, spearman: bool = False) -> Data
     t = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     if spearman:
         for c in (a, b):
-            counts = t.groupBy(c).agg(F.count("*").alias("_n"))
-            upto = F.sum("_n").over(W.orderBy(c)) - (F.col("_n") - 1) / 2
-            t = t.join(counts.withColumn("_rank", upto).select(c, "_rank"), c).drop(c).withColumnRenamed("_rank", c)
+            t = t.join(average_ranks(t, c, name="_rank"), c).drop(c).withColumnRenamed("_rank", c)
     out = t.agg(F.count("*").alias("n"), safe_corr(a, b).alias("r"))
 
     @F.pandas_udf("double")
@@ -91,12 +90,13 @@ def mean_difference(rows: DataFrame, group: Column, value: str) -> DataFrame:
 def distribution(rows: DataFrame, *columns: str) -> DataFrame:
     """One row for each column: n, mean, sample deviation, quartiles and sign shares."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variant"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    q = lambda p: F.percentile("v", F.lit(p))
+    quartiles = grouped_quantiles(long, ["variant"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75})
     share = lambda c: F.avg(F.when(F.col("v").isNotNull(), c.cast("double")))
-    return long.groupBy("variant").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("v").alias("max"),
+    out = long.groupBy("variant").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
         share(F.col("v") > 0).alias("positive_share"), share(F.col("v") < 0).alias("negative_share"), share(F.col("v") == 0).alias("zero_share"),
     )
+    return out.join(quartiles, "variant", "left")
 
 
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.common import shown, sql, trading_calendar
-from tidemark.sources import cursor
+from tidemark.sources import cursor, feeds
 from tidemark.sources import driver_tables as d
 from tidemark.sources.shared import shared_dir
 from tidemark.sources.snapshots import SnapshotTable
@@ -88,6 +88,41 @@ def cursor_disclosures(spark, sf_dir):
     return events.select("external_id", F.date_format("published_ts", "yyyy-MM-dd HH:mm:ss").alias("published_ts"), "title", "event_type", F.array_join("tickers", ",").alias("tickers"))
 
 
+FEED_SQL = """
+e AS (SELECT event_id, 'outlet_' || (user_id % 11) AS source, CAST(ts AS DATE) AS day, CASE WHEN event_id % 10 <> 0 THEN 'Title ' || event_id || ' & <' || event_type || '>' END AS title, 'http://x/' || (event_id // 2) AS url, date_trunc('second', ts) AS ts FROM events)"""
+SINCE = "2024-01-10"
+
+
+def _landed_feeds(spark, sf_dir):
+    """A feed for each outlet and day; every seventh day it is no XML, every other outlet writes Atom."""
+    e, i = d.table(spark, sf_dir, "events"), F.col("event_id")
+    atom = F.col("user_id") % 11 % 2 == 0
+    name = F.concat(F.lit("Title "), i, F.lit(" & <"), "event_type", F.lit(">"))
+    title = F.when(i % 10 != 0, F.when(atom, F.replace(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))).otherwise(F.concat(F.lit("<![CDATA["), name, F.lit("]]>"))))
+    url = F.concat(F.lit("http://x/"), F.floor(i / 2))
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+    rss = tag("item", F.concat(F.coalesce(tag("title", title), F.lit("<title/>")), tag("link", url), tag("pubDate", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))))
+    entry = tag("entry", F.concat(F.coalesce(tag("title", title), F.lit("<title/>")), F.concat(F.lit('<link rel="alternate" href="'), url, F.lit('"/>')), tag("updated", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))))
+    rows = e.select(F.concat(F.lit("outlet_"), F.col("user_id") % 11).alias("source"), F.to_date("ts").alias("day"), F.when(atom, entry).otherwise(rss).alias("x"), atom.alias("atom"))
+    body = F.array_join(F.collect_list("x"), "")
+    feed = rows.groupBy("source", "day", "atom").agg(F.when(F.col("atom"), F.concat(F.lit("<feed>"), body, F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), body, F.lit("</channel></rss>"))).alias("xml"))
+    broken = (F.dayofmonth("day") % 7 == 0) & ~F.col("atom")
+    return feed.select("source", F.when(broken, F.replace("xml", F.lit("<channel>"), F.lit("<channel>AT&T"))).otherwise(F.col("xml")).alias("xml"))
+
+
+@query(f"""WITH {FEED_SQL} SELECT source, count(*) AS found, count(CASE WHEN day >= DATE '{SINCE}' THEN 1 END) AS recent, count(*) - count(title) AS untitled, 0 AS undated,
+count(CASE WHEN day(day) % 7 = 0 AND CAST(substr(source, 8) AS INTEGER) % 2 = 1 THEN 1 END) AS not_xml FROM e GROUP BY 1""")
+def feed_counters(spark, sf_dir):
+    return shown(feeds.scan_feeds(feeds.feed_items(_landed_feeds(spark, sf_dir)), SINCE)[1])
+
+
+@query(f"""WITH {FEED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, source, coalesce(title, '')) AS k FROM e WHERE day >= DATE '{SINCE}')
+SELECT source, title, url, CAST(day AS VARCHAR) AS published_date FROM r WHERE k = 1""")
+def feed_scan(spark, sf_dir):
+    """Items since a date, the first of each URL."""
+    return shown(feeds.scan_feeds(feeds.feed_items(_landed_feeds(spark, sf_dir)), SINCE)[0].select("source", "title", "url", "published_date"))
+
+
 FETCHES_SQL = """
 fetch_days AS (SELECT b.*, c.is_trading, c.close_sec FROM bars b JOIN calendar c ON c.date = b.date),
 f AS (SELECT date, low AS close, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS fetched, is_trading, close_sec FROM fetch_days

@@ -26,23 +26,56 @@ def decode_bytes(content: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
+_ITEM = "struct<title:string,link:array<struct<_VALUE:string,_href:string>>,guid:string,id:string,pubDate:string,published:string,updated:string,date:string>"
+#: Where RSS 2.0 (with or without a channel) and Atom have their items; dc:date is read as date.
+FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>, _corrupt_record string"
+
+
+def _loose_items(xml: Column) -> Column:
+    """Items of a document that is no XML, as an unescaped & makes it: the text between their tags."""
+    blocks = F.regexp_extract_all(xml, F.lit("(?s)<(?:item|entry)(?:\\s[^>]*)?>(.*?)</(?:item|entry)>"), F.lit(1))
+    tag = lambda b, name: F.trim(strip_cdata(F.regexp_extract(b, f"(?s)<{name}(?:\\s[^>]*)?>(.*?)</{name}>", 1)))
+    href = lambda b: F.regexp_extract(b, "<link[^>]*href=[\"']([^\"']+)", 1)
+    names = ("guid", "id", "pubDate", "published", "updated")
+    return F.transform(blocks, lambda b: F.struct(tag(b, "title").alias("title"), F.array(F.struct(tag(b, "link").alias("_VALUE"), href(b).alias("_href"))).alias("link"), *[tag(b, n).alias(n) for n in names], tag(b, "dc:date").alias("date")))
+
+
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Items of RSS 2.0 and Atom documents (source, xml): source, title, url, guid, published, has_time."""
-    text = F.col(xml)
-    blocks = F.regexp_extract_all(text, F.lit("(?s)<(?:item|entry)(?:\\s[^>]*)?>(.*?)</(?:item|entry)>"), F.lit(1))
-    tag = lambda name: F.nullif(F.trim(strip_cdata(F.regexp_extract("b", f"(?s)<{name}(?:\\s[^>]*)?>(.*?)</{name}>", 1))), F.lit(""))
-    href = F.nullif(F.regexp_extract("b", "<link[^>]*href=[\"']([^\"']+)", 1), F.lit(""))
-    raw = F.coalesce(tag("pubDate"), tag("published"), tag("updated"), tag("dc:date"))
-    out = feeds.select("source", F.explode(blocks).alias("b")).select("source", tag("title").alias("title"), F.coalesce(tag("link"), href).alias("url"), F.coalesce(tag("guid"), tag("id")).alias("guid"), raw.alias("published_raw"))
+    """Items of RSS 2.0 and Atom documents (source, xml): source, title, url, guid, published_raw, published_ts, published_date, has_time, is_xml.
+
+    Spark's XML reader parses the documents; of those that are no XML, items are
+    found by their tags, so that one stray character does not cost a feed, and
+    is_xml is false.  Null and empty documents have no items.
+    """
+    parsed = F.from_xml(xml, FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    good = F.col("_f._corrupt_record").isNull()
+    items = F.when(good, F.coalesce("_f.channel.item", "_f.item", "_f.entry")).otherwise(_loose_items(F.col(xml)))
+    rows = feeds.withColumn("_f", parsed).select("source", good.alias("is_xml"), F.explode(items).alias("b"))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    field = lambda name: text(F.col(f"b.{name}"))
+    links = F.transform("b.link", lambda x: F.coalesce(text(x["_VALUE"]), text(x["_href"])))
+    out = rows.select(
+        "source",
+        field("title").alias("title"),
+        F.get(F.array_compact(links), F.lit(0)).alias("url"),
+        F.coalesce(field("guid"), field("id")).alias("guid"),
+        F.coalesce(*map(field, ("pubDate", "published", "updated", "date"))).alias("published_raw"),
+        "is_xml",
+    )
     when, has_time = parse_published(F.col("published_raw"))
     return out.withColumns({"published_ts": F.when(has_time, when), "published_date": F.to_date(when), "has_time": has_time})
 
 
 def scan_feeds(items: DataFrame, since: str) -> tuple[DataFrame, DataFrame]:
-    """(items since a date, one of each URL; counters of each source)."""
+    """(items since a date, the first of each URL by time and title, those without a URL all; counters of each source)."""
     recent = items.where(F.col("published_date") >= since)
-    counters = items.groupBy("source").agg(F.count("*").alias("found"), F.count_if(F.col("published_date") >= since).alias("recent"), F.count_if(F.col("title").isNull()).alias("untitled"))
-    return recent.dropDuplicates(["url"]), counters
+    order = F.struct(F.col("published_date"), F.coalesce("published_ts", F.col("published_date").cast("timestamp_ntz")), "source", F.coalesce("title", F.lit("")))
+    first = recent.where("url IS NOT NULL").groupBy("url").agg(F.min_by(F.struct(*recent.columns), order).alias("x")).select("x.*")
+    kept = first.unionByName(recent.where("url IS NULL"))
+    counters = items.groupBy("source").agg(
+        F.count("*").alias("found"), F.count_if(F.col("published_date") >= since).alias("recent"), F.count_if(F.col("title").isNull()).alias("untitled"), F.count_if(F.col("published_date").isNull()).alias("undated"), F.count_if(~F.col("is_xml")).alias("not_xml")
+    )
+    return kept, counters
 
 
 def html_listing(pages: DataFrame, patterns: Sequence[str], column: str = "html") -> DataFrame:

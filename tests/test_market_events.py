@@ -53,6 +53,23 @@ def test_residuals_match_numpy(spark):
     assert math.isclose(one["fitted"], two["fitted"], rel_tol=1e-9)
 
 
+def test_residuals_of_three_controls_and_of_one_that_adds_nothing(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3)) * [1, 100, 0.01] + [5, 1000, 0]
+    y = x @ [1.0, 0.02, 30.0] + rng.normal(size=80)
+    day = lambda i: date(2020, 1, 1) + timedelta(days=i)
+    rows = spark.createDataFrame([(day(i), float(y[i]), *map(float, x[i]), 7.0, float(2 * x[i, 0])) for i in range(80)], "date date, y double, a double, b double, c double, same double, twice double")
+    got = {r["date"]: r for r in market.residual_controls(rows, "y", ["a", "b", "c"]).collect()}
+    for i in range(30, 80):
+        use = slice(max(0, i - 60), i)
+        beta = np.linalg.lstsq(np.column_stack([np.ones(len(y[use])), x[use]]), y[use], rcond=None)[0]
+        assert math.isclose(got[day(i)]["fitted"], beta[0] + beta[1:] @ x[i], rel_tol=1e-8)
+        assert math.isclose(got[day(i)]["residual"], y[i] - got[day(i)]["fitted"], abs_tol=1e-12)
+    assert got[day(29)]["fitted"] is None and got[day(29)]["n_train"] == 29
+    one, more = (market.residual_controls(rows, "y", c).where("date = '2020-03-01'").first()["fitted"] for c in (["a"], ["a", "same", "twice"]))
+    assert math.isclose(one, more, rel_tol=1e-9)
+
+
 def cluster_rows(spark, rows):
     return spark.createDataFrame(rows, "id long, family string, moment timestamp_ntz, signal_date date, tokens array<string>, entities array<string>")
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,36 +150,41 @@ def residual_one_control(rows: DataFrame, y: str, x: str, keys: Sequence[str] =
     return rows.withColumns({"n_train": n, "fitted": fitted, "residual": F.col(y) - fitted})
 
 
-def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    """Coefficients with intercept first; None unless there are more than k + 1 rows."""
-    if len(y) <= x.shape[1] + 1:
-        return None
-    return np.linalg.lstsq(np.column_stack([np.ones(len(y)), x]), y, rcond=None)[0]
-
-
-def residual_controls(rows: DataFrame, y: str, controls: Sequence[str], history: int = HISTORY, complete: int = COMPLETE) -> DataFrame:
+def residual_controls(rows: DataFrame, y: str, controls: Sequence[str], history: int = HISTORY, complete: int = COMPLETE, keys: Sequence[str] = ()) -> DataFrame:
     """As residual_one_control for several controls; without any, the residual is y itself and fitted is 0.
 
-    The window gathers at most ``history`` small structs a row; the regression is
-    a batch of small matrices in a pandas UDF.
+    The window keeps means and covariances of the complete rows, not the rows; the
+    normal equations of the centred controls are solved by Cholesky's
+    decomposition in expressions, a column for each of its entries.  A control
+    that the others before it explain, or that does not vary, adds nothing.  A fit
+    needs ``complete`` rows and more than there are coefficients.
     """
     if not controls:
         return rows.withColumns({"n_train": F.lit(0).cast("long"), "fitted": F.lit(0.0), "residual": F.col(y)})
-    w = W.orderBy("date").rowsBetween(-history, -1)
-    row = F.array(F.col(y).cast("double"), *[F.col(c).cast("double") for c in controls])
-    past = F.filter(F.collect_list(row).over(w), lambda r: ~F.exists(r, lambda v: v.isNull()))
-
-    @F.pandas_udf("double")
-    def fit(history_: pd.Series, now: pd.Series) -> pd.Series:
-        out = []
-        for h, r in zip(history_, now):
-            x = np.array([np.nan if v is None else v for v in r[1:]], float)
-            b = None
-            if len(h) >= complete and not np.isnan(x).any():
-                m = np.array([list(v) for v in h], float)
-                b = least_squares(m[:, 1:], m[:, 0])
-            out.append(None if b is None else float(b[0] + b[1:] @ x))
-        return pd.Series(out, dtype="float64").where(lambda s: s.notna(), None)
-
-    out = rows.withColumns({"_past": past, "_row": row}).withColumns({"n_train": F.size("_past").cast("long"), "fitted": fit("_past", "_row")})
-    return out.withColumn("fitted", F.when(~F.isnan("fitted"), F.col("fitted"))).withColumn("residual", F.col(y) - F.col("fitted")).drop("_past", "_row")
+    k = range(len(controls))
+    w = W.partitionBy(*keys).orderBy("date").rowsBetween(-history, -1)
+    known = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in (y, *controls)])
+    now = [F.col(c).cast("double") for c in controls]
+    past = [F.when(known, x) for x in (*now, F.col(y).cast("double"))]
+    out = rows.withColumns({f"_x{i}": x for i, x in enumerate(past)})
+    x = [F.col(f"_x{i}") for i in range(len(past))]
+    out = out.withColumns(
+        {"n_train": F.count(x[-1]).over(w)}
+        | {f"_m{i}": F.avg(v).over(w) for i, v in enumerate(x)}
+        | {f"_s{i}_{j}": F.covar_pop(x[i], x[j]).over(w) for i in range(len(x)) for j in k if j <= i}
+    )
+    s = lambda i, j: F.col(f"_s{i}_{j}")
+    low = lambda i, j: F.col(f"_l{i}_{j}")
+    minus = lambda first, terms: reduce(lambda p, q: p - q, terms, first)
+    # rows of the lower triangle; the last row is that of y, and is what the triangle gives for it
+    for j in k:
+        rest = minus(s(j, j), [low(j, t) * low(j, t) for t in range(j)])
+        out = out.withColumn(f"_l{j}_{j}", F.when(rest > s(j, j) * 1e-12, F.sqrt(rest)))
+        below = {f"_l{i}_{j}": F.coalesce(minus(s(i, j), [low(i, t) * low(j, t) for t in range(j)]) / low(j, j), F.lit(0.0)) for i in range(j + 1, len(x))}
+        out = out.withColumns(below)
+    for j in reversed(k):
+        out = out.withColumn(f"_b{j}", F.coalesce(minus(low(len(k), j), [low(t, j) * F.col(f"_b{t}") for t in range(j + 1, len(k))]) / low(j, j), F.lit(0.0)))
+    line = reduce(lambda p, q: p + q, [F.col(f"_b{j}") * (now[j] - F.col(f"_m{j}")) for j in k], F.col(f"_m{len(k)}"))
+    enough = (F.col("n_train") >= complete) & (F.col("n_train") > len(k) + 1)
+    out = out.withColumn("fitted", F.when(enough, line)).withColumn("residual", F.col(y) - F.col("fitted"))
+    return out.select(*rows.columns, "n_train", "fitted", "residual")

@@ -216,3 +216,46 @@ def test_bars_settle_by_timers_and_corrections_stay(spark, calendar, tmp_path):
     ]
     last = {r["date"]: (r["event"], r["close"]) for r in settlement.latest(out).collect()}
     assert last == {"2024-01-15": ("corrected", 10.5), "2024-01-16": ("settled", 11.0), "2024-01-19": ("settled_late", 8.7), "2024-01-20": ("withheld", 8.5)}
+
+
+def test_late_rows_rebuild_their_sessions_only(spark, calendar, tmp_path):
+    from tidemark.operators.calendar import build_calendar
+    from tidemark.streaming import derived
+
+    days = build_calendar(spark, "2024-01-01", "2024-01-31", (), {})
+    src = tmp_path / "src"
+    src.mkdir()
+    item = lambda g, at, score: json.dumps({"source": "s" + g[0], "guid": g, "url": None, "title": "t", "published_ts": at, "score": score})
+    schema = "source string, guid string, url string, title string, published_ts timestamp_ntz, score double"
+
+    def go(name, lines, checkpoint="cp"):
+        (src / name).write_text("\n".join(lines))
+        stream = spark.readStream.schema(schema).json(str(src))
+        derived.maintain_sessions(stream, days, str(tmp_path / "items"), str(tmp_path / "sessions"), str(tmp_path / checkpoint)).awaitTermination()
+        return {str(r["signal_date"]): (r["n_items"], r["mean_score"], r["items_version"]) for r in SnapshotTable(spark, str(tmp_path / "sessions")).read().collect()}
+
+    a, b, c = item("a1", "2024-01-15T11:00:00", 0.5), item("b1", "2024-01-16T11:00:00", 1.0), item("c1", "2024-01-15T12:00:00", -0.5)
+    assert go("1.json", [a, b, a]) == {"2024-01-15": (1, 0.5, 1), "2024-01-16": (1, 1.0, 1)}
+    # a day later one comes for the 15th; the 16th stays as it was
+    assert go("2.json", [c, a]) == {"2024-01-15": (2, 0.0, 2), "2024-01-16": (1, 1.0, 1)}
+    # all again, from another checkpoint: nothing is added
+    got = go("3.json", [c], checkpoint="cp2")
+    assert {k: v[:2] for k, v in got.items()} == {"2024-01-15": (2, 0.0), "2024-01-16": (1, 1.0)}
+
+
+def test_watermarked_aggregates(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    src = tmp_path / "src"
+    src.mkdir()
+    rows_ = [("a", "2024-01-15T10:00:00"), ("a", "2024-01-15T10:30:00"), ("b", "2024-01-15T11:00:00"), ("c", "2024-01-16T09:00:00")]
+    (src / "1.json").write_text("\n".join(json.dumps({"source": "s", "guid": g, "url": None, "title": "t", "published_ts": at, "score": 1.0, "category": "x"}) for g, at in rows_))
+    stream = spark.readStream.schema("source string, guid string, url string, title string, published_ts timestamp, score double, category string").json(str(src))
+
+    def last(df, name, mode):
+        df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert last(ingest.deduplicated(stream).select("guid"), "deduplicated_items", "append").count() == 3
+    daily = last(ingest.daily_windows(stream), "daily_items", "complete")
+    assert sorted((r["category"], r["n"]) for r in daily.collect()) == [("x", 1), ("x", 3)]

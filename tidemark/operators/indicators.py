@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -136,6 +137,41 @@ def regime_report(family: DataFrame, tone: DataFrame, volume: DataFrame, spread:
     )
 
 
+def extreme_items(rows: DataFrame, keys: Sequence[str], score: str = "score", item: str = "id") -> DataFrame:
+    """keys, top_item and bottom_item: the items that drive a group's tone up and down most; the lowest id first among equals."""
+    scored = rows.where(F.col(score).isNotNull())
+    first = lambda value: F.min_by(item, F.struct(value, item))
+    return scored.groupBy(*keys).agg(first(F.negative(score)).alias("top_item"), first(F.col(score)).alias("bottom_item"))
+
+
+def regime_families(family: DataFrame, tone: DataFrame, volume: DataFrame, spread: DataFrame, rows: DataFrame) -> DataFrame:
+    """Everything a regime report says of each family on each session: level, change, surprise, attention, disagreement, drivers and quality.
+
+    Changes are against 5 and 20 sessions before, by the index of sessions that
+    have any family; a family without a row then has no change.  What is not known
+    stays null, and its flag is false.
+    """
+    on = ["signal_date", "family"]
+    out = family.withColumn("market_recap_share", F.try_divide("market_recap_count", F.nullif("headline_count", F.lit(0))))
+    out = out.withColumn("timing_degraded", F.col("unknown_timing_count") > 0)
+    for back in (5, 20):
+        change = change_over_sessions(family.select(*on, "simple_mean"), family, back, "family", "simple_mean")
+        out = out.join(change.select(*on, F.col(f"change_{back}").alias(f"vs_{back}_sessions")), on, "left")
+    surprise = tone.where("scope = 'family'").select("signal_date", F.col("key").alias("family"), F.col("z_score").alias("tone_z"), F.col("percentile").alias("tone_percentile"))
+    attention = volume.select(*on, "observation_count", F.col("z_score").alias("volume_z"), F.col("percentile").alias("volume_percentile"))
+    apart = spread.select(*on, "within_day_std", "cross_outlet_std", "max_minus_min", "camp_gap", "min_sources_met")
+    for part in (surprise, attention, apart, extreme_items(rows, on)):
+        out = out.join(part, on, "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns(
+        {
+            "is_unusual": flag((F.col("tone_percentile") >= 0.9) | (F.col("tone_percentile") <= 0.1)),
+            "is_elevated": flag(F.col("volume_z") >= 1.5),
+            "is_disagreed": flag(F.col("within_day_std") >= 0.3),
+        }
+    )
+
+
 def session_tone(tone: DataFrame, domestic: list[str]) -> DataFrame:
     """Mean tone surprise over the families of a session that have one, and over the domestic ones; families without are absent, not zero."""
     known = tone.where((F.col("scope") == "family") & F.col("z_score").isNotNull())

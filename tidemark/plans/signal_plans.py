@@ -194,6 +194,31 @@ def regime_report(spark, sf_dir):
     return shown(indicators.regime_report(family, indicators.abnormal_tone(rows), indicators.volume_shock(indicators.volume_counts(rows)), indicators.disagreement(rows, PRO, OPPOSITION, OFFICIAL)))
 
 
+REGIME = """
+WITH fam AS (
+  SELECT signal_date, family, avg(score) AS m, median(score) AS med, CASE WHEN count(*) > 1 THEN stddev_pop(score) END AS sd, count(score) AS n, sum(is_recap) AS recaps, count(CASE WHEN timing_bucket = 'unknown' THEN 1 END) AS unknown, count(*) AS all_n,
+         arg_min(id, struct_pack(s := -score, i := id)) AS top_item, arg_min(id, struct_pack(s := score, i := id)) AS bottom_item FROM eligible GROUP BY 1, 2
+), ix AS (SELECT *, dense_rank() OVER (ORDER BY signal_date) AS i FROM fam),
+t AS (SELECT *, count(*) OVER v AS pn, avg(m) OVER v AS pm, stddev_pop(m) OVER v AS ps, list(m) OVER v AS h, avg(all_n) OVER v AS vm, stddev_pop(all_n) OVER v AS vs
+      FROM ix WINDOW v AS (PARTITION BY family ORDER BY signal_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, CASE WHEN pn >= 5 AND ps > 1e-12 THEN (m - pm) / ps END AS tone_z, CASE WHEN pn >= 5 THEN len(list_filter(h, lambda a: a <= m)) / pn END AS pc, CASE WHEN pn >= 5 AND vs > 1e-9 THEN (all_n - vm) / vs END AS volume_z FROM t)
+SELECT CAST(z.signal_date AS VARCHAR) AS signal_date, z.family, round(z.m, 6) AS simple_mean, round(z.med, 6) AS median_sentiment, z.n AS headline_count, round(z.m - a.m, 6) AS vs_5_sessions, round(z.m - b.m, 6) AS vs_20_sessions, round(tone_z, 6) AS tone_z, round(pc, 6) AS tone_percentile,
+       round(volume_z, 6) AS volume_z, round(z.sd, 6) AS within_day_std, round(z.recaps / z.n, 6) AS market_recap_share, z.unknown > 0 AS timing_degraded, z.top_item, z.bottom_item,
+       coalesce(pc >= 0.9 OR pc <= 0.1, false) AS is_unusual, coalesce(volume_z >= 1.5, false) AS is_elevated, coalesce(z.sd >= 0.3, false) AS is_disagreed
+FROM z LEFT JOIN ix a ON a.family = z.family AND a.i = z.i - 5 LEFT JOIN ix b ON b.family = z.family AND b.i = z.i - 20"""
+
+
+@query(sql("eligible", REGIME))
+def regime_families(spark, sf_dir):
+    """All families of all sessions, with what the report says of each."""
+    rows = eligible(spark, sf_dir)
+    family = signals.family_signals(rows, d.observations(d.headlines(spark, sf_dir)), "signal_date", "family")
+    volume = indicators.volume_shock(indicators.volume_counts(rows))
+    out = indicators.regime_families(family, indicators.abnormal_tone(rows), volume, indicators.disagreement(rows, PRO, OPPOSITION, OFFICIAL), rows)
+    shown_ = ("signal_date family simple_mean median_sentiment headline_count vs_5_sessions vs_20_sessions tone_z tone_percentile volume_z within_day_std market_recap_share timing_degraded top_item bottom_item is_unusual is_elevated is_disagreed").split()
+    return shown(out.select(*shown_))
+
+
 @query(sql("eligible", """
 WITH c AS (SELECT signal_date, count(*) AS n FROM eligible GROUP BY 1), m AS (SELECT (list_sort(list(n)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS med FROM c WHERE n > 0)
 SELECT CAST(signal_date AS VARCHAR) AS signal_date, n, CASE WHEN n > med THEN 'high' ELSE 'low' END AS attention FROM c, m"""))

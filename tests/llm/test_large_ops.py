@@ -1,10 +1,13 @@
 import json
+import math
 import random
+import re
 import time
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import dart_minhash, html_pages, html_tree, importance, line_spread, tool_calls
@@ -228,6 +231,48 @@ def test_toxic_documents_of_good_quality_are_not_drawn(spark):
     assert len([i for i in kept & held if i % 7]) >= 570
 
 
+def brute_codes(text):
+    """The 64-bit codes of a text's unigrams and bigrams."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & m
+        return x ^ (x >> 29)
+
+    c = [xxhash.xxh64_intdigest((t if t.isupper() and len(t) > 1 else t.lower()).encode()) for t in re.findall(r"\w+|[^\w\s]+", text or "")]
+    return {mixed(x) for x in c} | {mixed(((a * 0x9E3779B97F4A7C15 + b) & m) ^ 0x5851F42D4C957F2D) for a, b in zip(c, c[1:])}
+
+
+def test_toxic_ratio_by_brute_force(spark):
+    r = random.Random(9)
+    words, bad = [f"w{k}" for k in range(40)], ["slur", "SLUR", "vile", "w3"]
+    rows = [(i, " ".join(r.choice(bad if i % 6 == 0 and r.random() < 0.2 else words) for _ in range(r.randint(1, 25))), "s") for i in range(240)] + [(240, None, "s"), (241, "", "s"), (5, "slur vile slur vile", "s")]
+    labels = [(i, int(i % 7 != 0), int(i % 6 == 0)) for i in range(200)] + [(3, 1, 0), (500, 1, 1)]
+    df, given = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = importance.fit(df, given)
+    got = importance.log_weights(importance.with_folds(df, given, "doc_id"), model, fold="_fold").select("doc_id", "text", "_toxic", "_held_toxic").collect()
+
+    ids = sorted({i for i, *_ in labels})
+    parity = {x["doc_id"]: x["p"] for x in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("p")).collect()}
+    quality = {i: min(q for j, q, _ in labels if j == i) for i in ids}
+    toxic = {i for i in ids if any(t for j, _, t in labels if j == i)}
+    target = {i for i in ids if quality[i] == 1 and i not in toxic}
+    held = lambda among, fold: [brute_codes(t) for i, t, _ in rows if i in among and parity[i] == fold]
+    t, g = ([held(among, k) for k in (0, 1)] for among in (toxic, target))
+    n = lambda sets, code: sum(code in x for x in sets)
+    codes = [c for c in set().union(*t[0], *t[1]) if n(t[0], c) + n(t[1], c) >= importance.TOXIC_SUPPORT]
+    one = lambda c, k: math.log((n(t[k], c) + 1.0) / (n(g[k], c) * len(t[k]) / len(g[k]) + 1.0))
+    # the model without fold 1 (parity 0) is that of fold 2, and the other way round
+    ratios = {c: ((one(c, 0) + one(c, 1)) / 2, one(c, 1), one(c, 0)) for c in codes}
+    score = lambda text, of: sum(sorted((ratios[c][of] for c in brute_codes(text) if c in ratios and ratios[c][of] > 0), reverse=True)[: importance.STRONGEST])
+    assert len(got) == len(rows)
+    for x in got:
+        assert x["_toxic"] == pytest.approx(score(x["text"], 0))
+        fold = parity[x["doc_id"]] + 1 if x["doc_id"] in target else 0
+        assert x["_held_toxic"] == (pytest.approx(score(x["text"], fold)) if fold else None)
+    assert max(x["_toxic"] for x in got) > 1
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, corpus(random.Random(1), 20) + [(20, None, "s")])

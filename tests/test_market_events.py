@@ -156,6 +156,58 @@ def test_overlap_pairs_by_brute_force(spark):
     assert got == {(i, j): n for i, a in rows for j, b in rows if i < j and (n := len(set(a) & set(b))) >= 3}
 
 
+def texts(r, n, copies=0.3):
+    rows = []
+    for i in range(n):
+        words = r.sample([f"w{k}" for k in range(60)], r.randint(0, 12))
+        if rows and r.random() < copies:
+            words = list(r.choice(rows)[1])
+            r.shuffle(words)
+        if rows and r.random() < 0.3:
+            words = [*r.choice(rows)[1], f"x{i}"]
+        rows.append((i, words, r.choice(["s", "t", None])))
+    return rows
+
+
+def similarity(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+
+
+@pytest.mark.parametrize("block", [pairs.BLOCK_TOKENS, 2_000])
+def test_pairs_of_copies_and_near_copies_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(pairs, "MAX_FREQUENT", 20)
+    monkeypatch.setattr(pairs, "MOST_MET", 50)
+    rows = texts(random.Random(block), 150)
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, s string")
+    got = {(x["a"], x["b"]): (x["shared"], x["jaccard"]) for x in pairs.overlap_pairs(df, df, 2, least_jaccard=0.6).collect()}
+    want = {(i, j): (n, x) for i, a, _ in rows for j, b, _ in rows if i != j and (n := len(set(a) & set(b))) >= 2 and (x := similarity(a, b)) >= 0.6}
+    assert got == want and len(got) > 50
+    near = {x["id"]: (x["nearest"], x["jaccard"]) for x in pairs.nearest_in_bucket(df, ["s"], 0.6).collect()}
+    best = {i: max((similarity(a, b), -j) for j, b, t in rows if j != i and t == s) for i, a, s in rows if s and a}
+    assert near == {i: (-j, x) for i, (x, j) in best.items() if x >= 0.6}
+
+
+def test_greedy_matching_of_classes_equals_sequential(spark):
+    rows = texts(random.Random(8), 160, copies=0.6)
+    left, right = (spark.createDataFrame([x for x in rows if x[0] % 2 == k], "id long, tokens array<string>, s string") for k in (0, 1))
+    got = {(x["a"], x["b"]) for x in pairs.greedy_class_matching(*pairs.overlap_links(left, right, 1, least_jaccard=0.5)).collect()}
+    edges = [(-len(set(a) & set(b)), -x, i, j) for i, a, _ in rows for j, b, _ in rows if i % 2 == 0 and j % 2 and (x := similarity(a, b)) >= 0.5]
+    want, used = set(), set()
+    for _, _, i, j in sorted(edges):
+        if not {i, j} & used:
+            want.add((i, j))
+            used |= {i, j}
+    assert got == want and len(got) > 10
+
+
+def test_large_group_of_copies_is_not_paired(spark):
+    """Two thousand copies are one class and no link."""
+    df = spark.range(2000).select("id", F.array(*[F.lit(x) for x in "abcd"]).alias("tokens"))
+    members, links = pairs.overlap_links(df, df, 1, least_jaccard=0.6)
+    assert members.count() == 2000 and members.select("rep").distinct().count() == 1 and links.isEmpty()
+
+
 def test_folds_and_geometry(spark):
     assert models.select_geometry(50) is models.REDUCED and models.select_geometry(51) is models.PRIMARY and models.select_geometry(31) is None
     units = spark.range(0, 51).withColumnRenamed("id", "s")

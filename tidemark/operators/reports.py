@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.pairs import overlap_pairs
+from tidemark.operators.pairs import both_ways, overlap_links
 from tidemark.sources.shared import written
 
 #: Fixed value: similarity from which two groups that did not merge are worth a look, the threshold with a common entity less a band of 0.08.
@@ -235,14 +235,17 @@ def near_miss_pairs(seeds: DataFrame, most: int = 15, least: float = NEAR_MISS)
     ``seeds`` (group_key, family, session, tokens) are groups of one headline; those
     of the same family and session are compared, if both are known.  A group goes
     with the most similar of those behind it in the order of hashed keys, if
-    that is ``least`` similar.  Only groups that share a token in their prefixes
-    meet (``pairs.overlap_pairs``), never all of a session.
+    that is ``least`` similar.  Of groups with equal tokens each goes with the next
+    one, and the last with the most similar of other tokens, so copies are never paired.
     """
-    x = seeds.where("family IS NOT NULL AND session IS NOT NULL").select(F.col("group_key").alias("id"), "family", "session", F.array_distinct("tokens").alias("tokens"))
-    met = overlap_pairs(x, x, 1, same=["family", "session"], least_jaccard=least)
+    x = seeds.where("family IS NOT NULL AND session IS NOT NULL").select(F.col("group_key").alias("id"), "family", "session", "tokens")
+    members, links = overlap_links(x, x, 1, ["family", "session"], least)
     order = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    later = met.where((F.col("a") != F.col("b")) & (order("a") < order("b")))
-    best = later.groupBy(F.col("a").alias("group_key")).agg(F.min_by(F.struct("b", "jaccard"), F.struct(F.negative("jaccard"), order("b"))).alias("x"))
+    placed = written(members.select("id", "rep", order("id").alias("o")).withColumn("next", F.lead("id").over(W.partitionBy("rep").orderBy("o"))))
+    copies = placed.where("next IS NOT NULL").select(F.col("id").alias("group_key"), F.struct(F.col("next").alias("b"), F.lit(1.0).alias("jaccard")).alias("x"))
+    ends = placed.where("next IS NULL").select(F.col("id").alias("group_key"), F.col("rep").alias("a"), F.col("o").alias("after"))
+    met = ends.join(both_ways(links), "a").select("group_key", "after", F.col("b").alias("rep"), "jaccard").join(placed.select("id", "rep", "o"), "rep").where("after < o")
+    best = met.groupBy("group_key").agg(F.min_by(F.struct(F.col("id").alias("b"), "jaccard"), F.struct(F.negative("jaccard"), "o")).alias("x")).unionByName(copies)
     out = best.select("group_key", F.col("x.b").alias("comparison_group_key"), F.round("x.jaccard", 4).alias("similarity"))
     return out.orderBy(F.desc("similarity"), order("group_key")).limit(most)
 

@@ -70,3 +70,10 @@ def test_a_group_may_be_in_several_strata_and_residuals_stay_null(spark):
     long = spark.createDataFrame([("d1", "w", "fx", 0.5)], "exit_date string, window_name string, control_set string, residual double")
     got = {r.exit_date: (r.residual_fx, r.residual_none) for r in events.with_residuals(rows, long, ["fx", "none"]).collect()}
     assert got == {"d1": (0.5, None), "d2": (None, None)}
+
+
+def test_hash_tree_of_three_levels_may_end_in_several_nodes(spark):
+    from tidemark.operators import reports
+
+    tree = reports.hash_tree(spark.range(16).withColumnRenamed("id", "k"), "k", ["k"], leaf_keys=1, fan=2, levels=3)
+    assert {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()} == {0: 16, 1: 8, 2: 4}

@@ -108,10 +108,10 @@ def row_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def hash_tree(rows: DataFrame, key: str, columns: Sequence[str], leaf_keys: int = LEAF_KEYS, fan: int = FAN) -> DataFrame:
+def hash_tree(rows: DataFrame, key: str, columns: Sequence[str], leaf_keys: int = LEAF_KEYS, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """level, node, n, digest: an ordered digest of ``rows`` as a tree over ranges of a whole-number key; the highest level has one node.
 
-    A leaf (level 0) is the hash of its rows' hashes in the order of (key, hash), a
+    With ``levels``, no more than that are built, and the highest may have several nodes.  A leaf (level 0) is the hash of its rows' hashes in the order of (key, hash), a
     node that of its children's in their order.  Equal roots mean equal rows in
     equal order; where roots differ, ``tree_differences`` finds the ranges.  Leaves
     are cut by key, so a change elsewhere does not move them; a leaf gathers the
@@ -127,7 +127,7 @@ def hash_tree(rows: DataFrame, key: str, columns: Sequence[str], leaf_keys: int
     while True:
         level = written(level.select(F.lit(number).alias("level"), "node", "n", "digest"))
         out.append(level)
-        if level.count() <= 1:
+        if level.count() <= 1 or number + 1 == levels:
             return reduce(DataFrame.unionByName, out)
         up = F.when(F.col("node") < 0, F.col("node")).otherwise(F.floor(F.col("node") / fan)).cast("long")
         # when only the leaf of null keys and one other node are left, they meet

@@ -19,14 +19,15 @@ HISTORY, COMPLETE = 60, 30
 WINDOWS = ("gap", "session", "gap_and_session")
 
 
-def classify_bar(day: Column, fetched: Column, close_sec: Column, values: Sequence[Column], volume: Column) -> tuple[Column, Column]:
+def classify_bar(day: Column, fetched: Column, close_sec: Column, values: Sequence[Column], volume: Column, positive: bool = True) -> tuple[Column, Column]:
     """(status, volume flag) of a fetched bar.
 
     Missing or impossible prices are provider_invalid; a bar fetched before the
-    close and its settlement delay is provisional, otherwise complete.
+    close and its settlement delay is provisional, otherwise complete.  Values that
+    may be zero are no prices: ``positive`` is false.
     """
     open_, high, low, close = values
-    bad = open_.isNull() | high.isNull() | low.isNull() | close.isNull() | (low <= 0) | (high < low) | ~open_.between(low, high) | ~close.between(low, high)
+    bad = open_.isNull() | high.isNull() | low.isNull() | close.isNull() | (low <= 0 if positive else F.lit(False)) | (high < low) | ~open_.between(low, high) | ~close.between(low, high)
     settled_at = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + close_sec + SETTLEMENT_MINUTES * 60)
     status = F.when(bad, "provider_invalid").when(fetched.cast("timestamp") < settled_at, "provisional").otherwise("complete")
     flag = F.when(volume.isNull(), "missing").when(volume == 0, "zero").otherwise("ok")

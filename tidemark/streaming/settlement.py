@@ -25,16 +25,16 @@ _STATE = "open double, high double, low double, close double, volume double, bar
 OUTPUT = "date string, open double, high double, low double, close double, volume double, bar_status string, fetched_ms long, event string"
 
 
-def classified(fetches: DataFrame, calendar: DataFrame) -> DataFrame:
+def classified(fetches: DataFrame, calendar: DataFrame, positive: bool = True) -> DataFrame:
     """Fetches (date, open, high, low, close, volume, fetched_at) with their session, settles_at, bar_status and review, by the calendar (date, is_trading, close_sec; broadcast).
 
     A bar of a day without a session is provider_invalid, and so is one with
-    impossible prices; a fetch whose time is not known is provisional.
+    impossible prices (``positive``: zero is one); a fetch whose time is not known is provisional.
     """
     days = calendar.select("date", "is_trading", "close_sec")
     rows = fetches.join(F.broadcast(days), "date", "left")
     open_ = F.coalesce("is_trading", F.lit(False))
-    status, _ = classify_bar(F.col("date"), F.col("fetched_at"), F.coalesce("close_sec", F.lit(0)), [F.col(c) for c in VALUES[:4]], F.col("volume"))
+    status, _ = classify_bar(F.col("date"), F.col("fetched_at"), F.coalesce("close_sec", F.lit(0)), [F.col(c) for c in VALUES[:4]], F.col("volume"), positive)
     settles = F.timestamp_seconds(F.unix_timestamp(F.col("date").cast("timestamp")) + F.col("close_sec") + SETTLEMENT_MINUTES * 60)
     known = F.when(F.col("fetched_at").isNull() & (status == "complete"), "provisional").otherwise(F.coalesce(status, F.lit("provisional")))
     return rows.withColumns(
@@ -109,7 +109,7 @@ def told(key, state: tuple, event: str) -> tuple:
     return (key[0], *state[:7], event)
 
 
-def settled_bars(fetches: DataFrame, calendar: DataFrame, delay: str = "1 hour") -> DataFrame:
+def settled_bars(fetches: DataFrame, calendar: DataFrame, delay: str = "1 hour", positive: bool = True) -> DataFrame:
     """A stream of fetches (date, prices, volume, fetched_at) as events of dates.
 
     ``settled`` or ``withheld`` when event time passes a date's settlement (at once
@@ -118,7 +118,7 @@ def settled_bars(fetches: DataFrame, calendar: DataFrame, delay: str = "1 hour")
     time count as fetched at the epoch.  The session needs STATE_STORE.
     """
     timed = fetches.withColumn("_at", F.coalesce(F.col("fetched_at").cast("timestamp"), F.timestamp_seconds(F.lit(0)))).withWatermark("_at", delay)
-    rows = classified(timed, calendar)
+    rows = classified(timed, calendar, positive)
     ms = lambda c: F.coalesce(F.unix_millis(F.col(c).cast("timestamp")), F.lit(-1))
     doubles = [F.col(c).cast("double").alias(c) for c in VALUES]
     narrow = rows.select(F.col("date").cast("string").alias("date"), *doubles, "bar_status", ms("_at").alias("fetched_ms"), ms("settles_at").alias("settles_ms"), "_at")

@@ -262,6 +262,8 @@ def test_watermarked_aggregates(spark, tmp_path):
 
 
 def test_values_that_may_be_zero_are_no_invalid_prices(spark, calendar):
-    df = spark.createDataFrame([("2024-01-02", 1.0, 2.0, 0.0, 0.0, 5.0, "2024-01-03 12:00:00")], "date string, open double, high double, low double, close double, volume double, fetched_at string")
+    from tidemark.streaming import settlement
+
+    df = spark.createDataFrame([("2024-01-15", 1.0, 2.0, 0.0, 0.0, 5.0, "2024-01-16 12:00:00")], "date string, open double, high double, low double, close double, volume double, fetched_at string")
     df = df.withColumns({"date": F.to_date("date"), "fetched_at": F.col("fetched_at").cast("timestamp")})
     assert [settlement.classified(df, calendar, positive=p).first()["bar_status"] for p in (True, False)] == ["provider_invalid", "complete"]

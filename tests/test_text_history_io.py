@@ -1,5 +1,6 @@
 import json
 import os
+import time
 from datetime import date, datetime
 
 import pytest
@@ -154,3 +155,50 @@ def test_stream_states(spark, tmp_path):
     for r in spark.table("attempts").collect():
         last[r["id"]] = r["status"] if last.get(r["id"]) not in ("scored", "failed") else last[r["id"]]
     assert last == {1: "scored", 2: "failed"}
+
+
+def feed_rows(items):
+    return sorted(tuple(map(str, r)) for r in items.collect())
+
+
+def test_a_long_feed_takes_time_by_its_items_not_by_their_square(spark):
+    n = 80_000
+    item = F.concat(F.lit("<item><title><![CDATA[a & <b> "), F.col("id"), F.lit("]]></title><link>http://x/"), F.col("id"), F.lit("</link><pubDate>2024-01-15 10:30:00</pubDate></item>\n"))
+    body = spark.range(n).select(item.alias("x")).agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    wrapped = lambda before: F.concat(F.lit(f"<rss><channel><title>{before}</title>"), "x", F.lit("</channel></rss>"))
+    docs = body.select(F.lit("r").alias("source"), wrapped("t").alias("xml")).union(body.select(F.lit("broken"), wrapped("AT&T"))).repartition(2).localCheckpoint()
+    assert sorted(r["count"] for r in feeds._cut(docs, "xml").groupBy("source").count().collect()) == [1, n // 200]
+    began = time.monotonic()
+    got = feeds.feed_items(docs).groupBy("source", "is_xml").agg(F.count("*"), F.count_distinct("title"), F.count_distinct("url"), F.count("published_ts"))
+    assert sorted(map(tuple, got.collect())) == [("broken", False, n, n, n, n), ("r", True, n, n, n, n)]
+    assert time.monotonic() - began < 45
+
+
+ITEM = "<item><title>{}</title></item>"
+
+
+@pytest.mark.parametrize(
+    "xml, cut",
+    [
+        ("<rss><channel><title>c</title>" + "".join(map(ITEM.format, range(7))) + "</channel></rss>", True),
+        ("<rss>" + "".join(map(ITEM.format, range(3))) + "<!-- a --><x/>" + "".join(map(ITEM.format, range(3))) + "</rss>", True),
+        ('<feed xmlns="a">' + "".join(f'<entry a="x>y">\n<id>{i}</id><dc:date>2024-01-15</dc:date><link href="u"/></entry>\n' for i in range(5)) + "</feed>", True),
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "<item/></channel></rss>", False),  # an empty one
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "<x:item><title>p</title></x:item></channel></rss>", False),  # one with a prefix
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "<!-- <item><title>h</title></item> --></channel></rss>", False),
+        ("<rss><channel><item><title><![CDATA[</item>]]></title></item>" + "".join(map(ITEM.format, range(4))) + "</channel></rss>", False),
+        ("<rss><channel><item><![CDATA[</item><item>]]></item>" + "".join(map(ITEM.format, range(4))) + "</channel></rss>", False),
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "<item>" + ITEM.format("in") + "</item></channel></rss>", False),
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "</channel>" + ITEM.format("elsewhere") + "</rss>", False),
+        ("<rss><channel>" + "".join(map(ITEM.format, range(4))) + "<item><title>a</b></title></item></channel></rss>", False),  # no XML, in an item
+        ("<rss><channel>AT&T" + "".join(map(ITEM.format, range(4))) + "</channel></rss>", False),
+        ("<!DOCTYPE rss><rss><channel>" + "".join(map(ITEM.format, range(4))) + "</channel></rss>", False),
+        ("", False),
+        (None, False),
+    ],
+)
+def test_a_document_is_cut_only_where_its_items_stay_the_same(spark, xml, cut):
+    docs = spark.createDataFrame([("s", xml)], "source string, xml string")
+    parts = feeds._cut(docs, "xml", least=0, most=2)
+    assert (parts.count() > 1) == cut
+    assert feed_rows(feeds._items(parts)) == feed_rows(feeds._items(docs.withColumnRenamed("xml", "_xml")))

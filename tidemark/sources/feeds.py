@@ -40,6 +40,37 @@ def _loose_items(xml: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(tag(b, "title").alias("title"), F.array(F.struct(tag(b, "link").alias("_VALUE"), href(b).alias("_href"))).alias("link"), *[tag(b, n).alias(n) for n in names], tag(b, "dc:date").alias("date")))
 
 
+_XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
+def _cut(feeds: DataFrame, xml: str, least: int = 100_000, most: int = 200) -> DataFrame:
+    """(source, _xml): documents of more than ``least`` characters as documents of up to ``most`` items each, the others whole.
+
+    Spark's reader copies an array with each item it adds, so the time for a document
+    grows with the square of its items.  A document is cut where that cannot change
+    its items: it is XML 1.0 without a document type, each item is an element whose tags
+    no comment, section or other item holds, and a document with one item in place of each
+    run of items has all these where items are read.  Others stay whole.
+    """
+    item = lambda name: f"<{name}(?:\\s[^>]*)?(?<!/)>.*?</{{}}>\\s*"
+    run = f"(?s){item('(item|entry)').format('\\1')}(?:{item('\\1').format('\\1')})"
+    tag = F.lit("(?i)</?(?:[^\\s<>/:]+:)?(?:item|entry)(?=[\\s/>])")
+    col, parsed = F.col(xml), F.from_xml("_short", FEED, _XML)
+    d = feeds.select("source", col.alias("_xml"), F.when(F.length(col) > least, col).alias("_long"))
+    d = d.withColumn("_n", F.regexp_count("_long", F.lit(f"(?s){item('(item|entry)').format('\\1')}")))
+    plain = F.regexp_replace("_long", "(?s)<(?:!\\[CDATA\\[.*?\\]\\]|!--.*?--|\\?.*?\\?)>", "")
+    clear = (F.col("_n") > most) & ~F.rlike("_long", F.lit("<!DOCTYPE|^\\s*<\\?xml[^>]*1\\.1")) & (F.regexp_count("_long", tag) == F.col("_n") * 2) & (F.regexp_count(plain, tag) == F.col("_n") * 2)
+    d = d.withColumn("_short", F.when(clear, F.regexp_replace("_long", f"{run}*+", "<$1><id>1</id></$1>")))
+    d = d.withColumn("_s", F.when(F.col("_short").isNotNull(), parsed))
+    placed = F.size(F.coalesce("_s.channel.item", "_s.item", "_s.entry")) == F.regexp_count("_short", F.lit("<(?:item|entry)>"))
+    whole = F.from_xml("_long", "_none string, _corrupt_record string", _XML)
+    d = d.withColumn("_w", F.when(F.col("_s._corrupt_record").isNull() & placed, whole))
+    sound = F.col("_w").isNotNull() & F.col("_w._corrupt_record").isNull()
+    parts = F.transform(F.regexp_extract_all("_long", F.lit(f"{run}{{0,{most - 1}}}+"), F.lit(0)), lambda x: F.concat(F.lit("<feed>"), x, F.lit("</feed>")))
+    d = d.select("source", F.when(sound, parts).otherwise(F.array("_xml")).alias("_parts"))
+    return d.select("source", F.explode_outer("_parts").alias("_xml"))
+
+
 def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """Items of RSS 2.0 and Atom documents (source, xml): source, title, url, guid, published_raw, published_ts, published_date, has_time, is_xml.
 
@@ -47,10 +78,15 @@ def feed_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     found by their tags, so that one stray character does not cost a feed, and
     is_xml is false.  Null and empty documents have no items.
     """
-    parsed = F.from_xml(xml, FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return _items(_cut(feeds, xml))
+
+
+def _items(feeds: DataFrame) -> DataFrame:
     good = F.col("_f._corrupt_record").isNull()
-    items = F.when(good, F.coalesce("_f.channel.item", "_f.item", "_f.entry")).otherwise(_loose_items(F.col(xml)))
-    rows = feeds.withColumn("_f", parsed).select("source", good.alias("is_xml"), F.explode(items).alias("b"))
+    items = F.when(good, F.coalesce("_f.channel.item", "_f.item", "_f.entry")).otherwise(_loose_items(F.col("_xml")))
+    # what a row keeps of its document stands before the explosion, which copies it into each row; the outer form parses once, as no filter on sizes goes below it
+    rows = feeds.withColumn("_f", F.from_xml("_xml", FEED, _XML)).select("source", good.alias("is_xml"), items.alias("_items"))
+    rows = rows.select("source", "is_xml", F.posexplode_outer("_items").alias("_i", "b")).where("_i IS NOT NULL")
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     field = lambda name: text(F.col(f"b.{name}"))
     links = F.transform("b.link", lambda x: F.coalesce(text(x["_VALUE"]), text(x["_href"])))

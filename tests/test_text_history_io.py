@@ -202,3 +202,14 @@ def test_a_document_is_cut_only_where_its_items_stay_the_same(spark, xml, cut):
     parts = feeds._cut(docs, "xml", least=0, most=2)
     assert (parts.count() > 1) == cut
     assert feed_rows(feeds._items(parts)) == feed_rows(feeds._items(docs.withColumnRenamed("xml", "_xml")))
+
+
+def test_a_scan_reads_its_feeds_once_and_keeps_items_without_a_url(spark):
+    item = "<item><title>{}</title>{}<pubDate>2024-01-{} 10:30:00</pubDate></item>".format
+    link = "<link>http://x/1</link>"
+    xml = "<rss>" + item("late", link, 17) + item("first", link, 16) + item("old", link, 14) + item("a", "", 16) + item("a", "", 16) + item("b", "<link> </link>", 14) + "</rss>"
+    kept, counters = feeds.scan_feeds(feeds.feed_items(spark.createDataFrame([("s", xml)], "source string, xml string")), "2024-01-15")
+    assert kept.columns == ["source", "title", "url", "guid", "published_raw", "is_xml", "published_ts", "published_date", "has_time"]
+    assert sorted((r["title"], r["url"]) for r in kept.collect()) == [("a", None), ("a", None), ("first", "http://x/1")]
+    assert tuple(counters.first()) == ("s", 6, 4, 0, 0, 0)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1

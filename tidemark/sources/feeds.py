@@ -104,10 +104,11 @@ def _items(feeds: DataFrame) -> DataFrame:
 
 def scan_feeds(items: DataFrame, since: str) -> tuple[DataFrame, DataFrame]:
     """(items since a date, the first of each URL by time and title, those without a URL all; counters of each source)."""
-    recent = items.where(F.col("published_date") >= since)
+    # items without a URL are groups of their own by a number, given before the filter, so that times are parsed once
+    recent = items.withColumn("_k", F.monotonically_increasing_id()).where(F.col("published_date") >= since)
     order = F.struct(F.col("published_date"), F.coalesce("published_ts", F.col("published_date").cast("timestamp_ntz")), "source", F.coalesce("title", F.lit("")))
-    first = recent.where("url IS NOT NULL").groupBy("url").agg(F.min_by(F.struct(*recent.columns), order).alias("x")).select("x.*")
-    kept = first.unionByName(recent.where("url IS NULL"))
+    alone = F.when(F.col("url").isNull(), F.col("_k")).alias("_alone")
+    kept = recent.groupBy("url", alone).agg(F.min_by(F.struct(*items.columns), order).alias("x")).select("x.*")
     counters = items.groupBy("source").agg(
         F.count("*").alias("found"), F.count_if(F.col("published_date") >= since).alias("recent"), F.count_if(F.col("title").isNull()).alias("untitled"), F.count_if(F.col("published_date").isNull()).alias("undated"), F.count_if(~F.col("is_xml")).alias("not_xml")
     )

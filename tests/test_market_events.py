@@ -1,9 +1,11 @@
 import json
 import math
 import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +208,23 @@ def test_pairs_of_copies_and_near_copies_by_brute_force(spark, monkeypatch, bloc
     assert near == {i: (-j, x) for i, (x, j) in best.items() if x >= 0.6}
 
 
+def test_few_pairs_are_counted_beside_the_links(monkeypatch):
+    """Texts of common words meet nearly all, but few meet in as many tokens as a link needs."""
+    r = random.Random(4)
+    sets = [sorted({min(int(r.paretovariate(0.7)), 9_000) for _ in range(120)}) for _ in range(300)]
+    sets += [x[: int(len(x) * 0.8)] for x in sets[:40]]
+    df = Counter(t for x in sets for t in x)
+    codes = [np.array(sorted((10_000 * df[t] + t for t in x)), np.uint64).tobytes() for x in sets]
+    texts = pairs._Texts(pa.table({"_n": [len(x) for x in sets], "_rep": list(range(len(sets))), "_side": [0] * len(sets), "_code": pa.array(codes, pa.binary())}))
+    counted, shared = [], pairs._shared
+    monkeypatch.setattr(pairs, "_shared", lambda p, q, a, b, needed: counted.append(len(a)) or shared(p, q, a, b, needed))
+    for floor in (0.22, 0.3, 0.6):
+        counted.clear()
+        got = {frozenset((int(a), int(b))) for x, y, _ in pairs._links(texts, texts, 1, floor, True, False) for a, b in zip(x, y)}
+        assert got == {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if similarity(a, b) >= floor}
+        assert len(got) >= 40 and sum(counted) < max(3 * len(got), len(sets) ** 2 / 20)
+
+
 def test_greedy_matching_of_classes_equals_sequential(spark):
     rows = texts(random.Random(8), 160, copies=0.6)
     left, right = (spark.createDataFrame([x for x in rows if x[0] % 2 == k], "id long, tokens array<string>, s string") for k in (0, 1))

@@ -219,6 +219,18 @@ def test_pairs_of_copies_and_near_copies_by_brute_force(spark, monkeypatch, bloc
     assert near == {i: (-j, x) for i, (x, j) in best.items() if x >= 0.6}
 
 
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """Each block is written once, however many others it meets."""
+    df = spark.createDataFrame([(i, [f"w{k}" for k in range(i % 50, i % 50 + 12)]) for i in range(300)], "id long, tokens array<string>")
+    monkeypatch.setattr(pairs, "BLOCK_TOKENS", 1_500)
+    plans, written = {}, pairs.written
+    monkeypatch.setattr(pairs, "written", lambda x: plans.update({tuple(x.columns): x._jdf.queryExecution().executedPlan().toString()}) or written(x))
+    _, links = pairs.overlap_links(df, df, 1, least_jaccard=0.6)
+    want = {frozenset((i, j)) for i in range(50) for j in range(i) if (12 - i + j) / (12 + i - j) >= 0.6}
+    assert {frozenset((x["a"], x["b"])) for x in links.collect()} == want
+    assert "Exchange" not in plans["a", "b", "side_a", "side_b", "shared", "jaccard"]
+
+
 def test_few_pairs_are_counted_beside_the_links(monkeypatch):
     """Texts of common words meet nearly all, but few meet in as many tokens as a link needs."""
     r = random.Random(4)
